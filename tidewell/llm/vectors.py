@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 NEIGHBOURS = 10
-FACTOR = 1.6
+FACTOR = 3.0
 LEAF = 64
 #: Components of a shard's vectors, together, and queries of a block.
 SHARD_COMPONENTS, BLOCK = 1 << 21, 512
