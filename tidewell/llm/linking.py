@@ -1,10 +1,10 @@
-"""Links from buckets, and union-find over links, both as distributed jobs.
+"""Components from buckets: links between members, and union-find over them, as distributed jobs.
 
 Pairs inside a bucket are not all written out.  Every member is paired with the smallest member of
 its bucket; buckets of at most ``SMALL`` members give all their pairs as well.  Members of larger
-buckets that turned out not to be linked to the smallest one are dealt again, by their bucket
-together with each of their other buckets, and what even that leaves meets in full.  No bucket is
-cut short.
+buckets that are still in another component than the smallest one are dealt again, by their bucket
+together with each of their other buckets, and what even that leaves apart meets in full.  No bucket
+is cut short; pairs that are connected already need no further link.
 """
 
 from __future__ import annotations
@@ -38,33 +38,38 @@ def pairs_of(grouped: DataFrame) -> DataFrame:
     return star.union(all_pairs(grouped.where(f"n BETWEEN 3 AND {SMALL}"))).distinct()
 
 
-def links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], what: str) -> DataFrame:
-    """Verified links (a < b) between nodes that share a bucket.
+def apart(grouped: DataFrame, roots: DataFrame) -> DataFrame:
+    """(bucket, node): members of large buckets whose component is not that of the bucket's centre."""
+    large = grouped.where((F.col("n") > SMALL) & (F.col("node") != F.col("centre")))
+    met = large.join(roots.withColumnRenamed("root", "own"), "node", "left").join(
+        roots.select(F.col("node").alias("centre"), F.col("root").alias("its")), "centre", "left"
+    )
+    return met.where(F.coalesce("own", "node") != F.coalesce("its", "centre")).select("bucket", "node")
 
-    ``members``: (bucket long, node), each once.  ``verify`` keeps the pairs that are similar.
+
+def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], what: str) -> DataFrame:
+    """(node, root) for every node that a chain of verified links connects to another.
+
+    ``members``: (bucket long, node), each once.  ``verify`` keeps the pairs (a, b) that are similar.
     """
     grouped = with_centre(members)
     found = written(verify(pairs_of(grouped)), what)
-    out = found
+    roots = written(components(found), what + "-roots")
     for last in range(ROUNDS + 1):
-        large = grouped.where((F.col("n") > SMALL) & (F.col("node") != F.col("centre")))
-        left = large.join(
-            found.select(F.col("a").alias("centre"), F.col("b").alias("node")), ["centre", "node"], "left_anti"
-        ).select("bucket", "node")
-        left = written(left, what + "-left")
+        left = written(apart(grouped, roots), what + "-left")
         if left.isEmpty():
             break
         if last == ROUNDS:
-            found = written(verify(all_pairs(left).distinct()), what)
-            out = out.union(found)
-            break
-        other = members.select(F.col("bucket").alias("other"), "node")
-        again = left.join(other, "node").where("bucket <> other")
-        finer = again.select(F.xxhash64("bucket", "other").alias("bucket"), "node").distinct()
-        grouped = with_centre(finer)
-        found = written(verify(pairs_of(grouped)), what)
-        out, members = out.union(found), finer
-    return out.distinct()
+            pairs = all_pairs(left).distinct()
+        else:
+            other = members.select(F.col("bucket").alias("other"), "node")
+            again = left.join(other, "node").where("bucket <> other")
+            members = again.select(F.xxhash64("bucket", "other").alias("bucket"), "node").distinct()
+            grouped = with_centre(members)
+            pairs = pairs_of(grouped)
+        found = found.union(written(verify(pairs), what))
+        roots = written(components(found), what + "-roots")
+    return roots
 
 
 def components(edges: DataFrame) -> DataFrame:
