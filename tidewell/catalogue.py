@@ -1,6 +1,615 @@
-"""The registered queries of the library and their SQL."""
+"""The registered queries of the library, each over the given tables, and their SQL for comparison."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import text as T
+from .functions import urls as U
+from .operators import catalog, docs, graph, history, rows, similarity
+from .plans import news
+from .sources import html
+from .streaming import events as streams
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+
+NORM = r"trim(regexp_replace(lower(strip_accents({})), '\s+', ' ', 'g'))"
+HOST = "lower(regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1))"
+PATH = "regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1)"
+STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
+TERMS = f"list_filter(regexp_extract_all({NORM}, '[a-z0-9ñ]{{{{4,}}}}'), lambda x: NOT list_contains({STOP}, x))"
+KEYWORDS = ["the", "der", "que", "les"]
+SEARCHED = ["licen", "version", "general public"]
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+# ---------------------------------------------------------------- scalar functions
+
+
+@query("SELECT doc_id, strip_accents(text) AS plain FROM documents")
+def fold_accents(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.fold_accents(F.col("text")).alias("plain"))
+
+
+@query(f"SELECT doc_id, {NORM.format('text')} AS plain FROM documents")
+def norm(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.norm(F.col("text")).alias("plain"))
+
+
+@query(r"SELECT doc_id, trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g')) AS plain FROM documents")
+def norm_alnum(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.norm_alnum(F.col("text")).alias("plain"))
+
+
+@query(f"SELECT page_id, {HOST} AS host, regexp_replace(split_part({HOST}, ':', 1), '^www\\.', '') AS clave FROM pages")
+def host_key(spark, sf):
+    return table(spark, sf, "pages").select("page_id", U.host(F.col("url")).alias("host"), U.host_key(F.col("url")).alias("clave"))
+
+
+@query(r"""SELECT page_id, regexp_replace(regexp_replace(lower(url), '^https?://(www\.)?', ''), '/+$', '') AS clave,
+           regexp_replace(split_part(trim(url), '#', 1), '/+$', '') AS clave_noticia FROM pages""")
+def url_key(spark, sf):
+    return table(spark, sf, "pages").select("page_id", U.url_key(F.col("url")).alias("clave"), U.news_key(F.col("url")).alias("clave_noticia"))
+
+
+@query(f"SELECT page_id, url AS valida, regexp_extract({PATH}, '^/+([^/]+)', 1) AS seccion FROM pages WHERE {HOST} LIKE '%.%'")
+def url_valid_norm(spark, sf):
+    """The host is cut off and must be taken for a bare domain again."""
+    bare = F.regexp_replace("url", "^https?://", "")
+    scheme = F.regexp_extract("url", "^(https?)://", 1)
+    again = F.when(scheme == "https", U.valid_url(bare)).otherwise(U.valid_url(F.col("url")))
+    return table(spark, sf, "pages").select("page_id", again.alias("valida"), U.section(F.col("url")).alias("seccion")).where("valida IS NOT NULL")
+
+
+@query(f"SELECT page_id, regexp_matches(lower({PATH}), '\\.({'|'.join(U.SKIPPED_FILES)})$') AS archivo FROM pages")
+def filt_skip_ext(spark, sf):
+    return table(spark, sf, "pages").select("page_id", U.is_file(F.col("url")).alias("archivo"))
+
+
+@query(f"SELECT page_id FROM pages WHERE {HOST} = 'tionsh.example.net' OR {HOST} LIKE '%.tionsh.example.net'")
+def filt_same_site(spark, sf):
+    return table(spark, sf, "pages").where(U.same_site(F.col("url"), "tionsh.example.net")).select("page_id")
+
+
+@query("SELECT page_id FROM pages WHERE (url LIKE '%/en/%' OR url LIKE '%/de/%') AND url NOT LIKE '%utm_%'")
+def filt_paths(spark, sf):
+    url = F.col("url")
+    return table(spark, sf, "pages").where((url.contains("/en/") | url.contains("/de/")) & ~url.contains("utm_")).select("page_id")
+
+
+@query()
+def lnk_canon(spark, sf):
+    return table(spark, sf, "pages").select("page_id", U.canonical()(F.col("url")).alias("canonica"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '… (+' || (length(text) - 200) || ' caracteres)'
+          ELSE text END AS vista FROM conversations""")
+def preview_value(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.preview_value(F.col("text")).alias("vista"))
+
+
+@query(r"SELECT p_partkey, coalesce(nullif(regexp_replace(p_brand, '\D', '', 'g'), ''), 'sin') AS cifras FROM part")
+def digits_only(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", T.digits_only(F.col("p_brand"), "sin").alias("cifras"))
+
+
+@query("SELECT c_custkey, CASE WHEN abs(c_acctbal) <= 180 THEN c_acctbal END AS grados FROM customer")
+def num_coord(spark, sf):
+    comma = F.replace(F.col("c_acctbal").cast("string"), F.lit("."), F.lit(","))
+    return table(spark, sf, "customer").select("c_custkey", T.num_coord(comma).alias("grados"))
+
+
+@query("SELECT doc_id, lower(quality::VARCHAR) IN ('true', 'si', 'sí', '1', 'yes') AS cierto FROM labels")
+def truthy(spark, sf):
+    return table(spark, sf, "labels").select("doc_id", T.truthy(F.col("quality")).alias("cierto"))
+
+
+@query("SELECT event_id, strftime(ts, '%H:%M') AS hora FROM events")
+def time_hhmm(spark, sf):
+    loose = F.concat(F.hour("ts").cast("string"), F.lit(":"), F.date_format("ts", "mm"))
+    return table(spark, sf, "events").select("event_id", T.time_hhmm(loose).alias("hora"))
+
+
+@query("SELECT o_orderkey, o_orderdate::TIMESTAMP AS fecha FROM orders")
+def parse_date(spark, sf):
+    """Dates written the RFC 2822 way are read back."""
+    mail = F.date_format(F.col("o_orderdate").cast("timestamp"), "EEE, dd MMM yyyy HH:mm:ss")
+    return table(spark, sf, "orders").select("o_orderkey", T.parse_date(F.concat(mail, F.lit(" +0000"))).cast("timestamp_ntz").alias("fecha"))
+
+
+@query("SELECT s_suppkey, list_filter(list_transform(string_split_regex(s_name, '[,;\\n#]'), lambda x: trim(x)), lambda x: x <> '') AS partes FROM supplier")
+def parse_list(spark, sf):
+    listed = F.replace(F.col("s_name"), F.lit("#"), F.lit(";"))
+    return table(spark, sf, "supplier").select("s_suppkey", T.parse_list(listed).alias("partes"))
+
+
+@query("SELECT event_id, replace(event_type, 'error', '***') AS tapado FROM events")
+def mask_needles(spark, sf):
+    return table(spark, sf, "events").select("event_id", T.mask_needles(F.col("event_type"), ["error", "abc"]).alias("tapado"))
+
+
+@query("""SELECT s_suppkey, ['nodo', 'vars'] AS raices FROM supplier""")
+def tmpl_refs(spark, sf):
+    template = F.concat(F.lit("{{ vars.a }} "), F.col("s_name"), F.lit(" {{nodo.result[0]}} {{ vars.b | default:1 }}"))
+    return table(spark, sf, "supplier").select("s_suppkey", T.tmpl_refs(template).alias("raices"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS valor, coalesce(json_extract_string(props, '$.falta'), 'nada') AS falta FROM events")
+def json_path(spark, sf):
+    value, missing = T.json_path(F.col("props"), "k"), T.json_path(F.col("props"), "falta")
+    return table(spark, sf, "events").select("event_id", value.alias("valor"), F.coalesce(missing, F.lit("nada")).alias("falta"))
+
+
+# ---------------------------------------------------------------- projections and filters
+
+
+@query(r"""SELECT doc_id::VARCHAR AS id, CASE WHEN text IS NULL THEN '' WHEN regexp_matches(substr(text, 1, 32000), '^[=+\-@\t\r]')
+           THEN '''' || substr(text, 1, 32000) ELSE substr(text, 1, 32000) END AS texto FROM documents""")
+def proj_csv_cell(spark, sf):
+    return rows.csv_cells(table(spark, sf, "documents"), ["doc_id", "text"], {"doc_id": "id", "text": "texto"})
+
+
+@query("SELECT l_orderkey AS pedido, l_quantity AS cantidad, l_returnflag AS marca FROM lineitem")
+def proj_select_rename(spark, sf):
+    chosen = table(spark, sf, "lineitem").select("l_orderkey", "l_quantity", "l_returnflag")
+    return chosen.withColumnsRenamed({"l_orderkey": "pedido", "l_quantity": "cantidad", "l_returnflag": "marca"})
+
+
+@query("SELECT doc_id, CASE WHEN coalesce(length(text), 0) = 0 THEN 'vacio' WHEN length(text) < 250 THEN 'corto' ELSE 'ok' END AS cuerpo FROM documents")
+def filt_min_body(spark, sf):
+    size = F.length(F.coalesce("text", F.lit("")))
+    return table(spark, sf, "documents").select("doc_id", F.when(size == 0, "vacio").when(size < 250, "corto").otherwise("ok").alias("cuerpo"))
+
+
+@query("SELECT d.doc_id, d.source FROM documents d SEMI JOIN (SELECT doc_id FROM labels WHERE quality = 1) l ON d.doc_id = l.doc_id")
+def filt_relevant(spark, sf):
+    good = table(spark, sf, "labels").where("quality = 1").select("doc_id")
+    return table(spark, sf, "documents").select("doc_id", "source").join(good, "doc_id", "left_semi")
+
+
+@query("SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 24 HOURS")
+def filt_time_window(spark, sf):
+    e = table(spark, sf, "events")
+    newest = e.agg(F.max("ts").alias("newest"))
+    return e.join(F.broadcast(newest)).where(F.col("ts") >= F.col("newest") - F.expr("INTERVAL 24 HOURS")).select("event_id")
+
+
+TAGGED = " OR ".join(f"regexp_matches(' ' || {NORM.format('text')} || ' ', '[^a-z0-9_]{w}[^a-z0-9_]')" for w in KEYWORDS)
+
+
+@query(f"SELECT doc_id, ({TAGGED})::INT AS ind_relevante FROM documents")
+def txt_kw_tag(spark, sf):
+    found = T.kw_match(F.col("text"), KEYWORDS)
+    return table(spark, sf, "documents").select("doc_id", (F.size(found) > 0).cast("int").alias("ind_relevante"))
+
+
+@query("""SELECT source AS medio, count(*) FILTER (length(text) > 0 AND length(text) < 250) AS cortos,
+          count(*) FILTER (coalesce(length(text), 0) = 0) AS vacios, count(*) FILTER (length(text) >= 250) AS quedan FROM documents GROUP BY source""")
+def agg_discards(spark, sf):
+    marked = news.reasons(news.articles(table(spark, sf, "documents")))
+    return marked.groupBy("medio").agg(
+        F.count_if(F.col("motivo") == "texto_corto").alias("cortos"),
+        F.count_if(F.col("motivo") == "sin_texto").alias("vacios"),
+        F.count_if(F.col("motivo").isNull()).alias("quedan"),
+    )
+
+
+# ---------------------------------------------------------------- aggregates
+
+
+@query(f"""WITH d AS (SELECT source AS medio, ({TAGGED})::INT AS r FROM documents)
+           SELECT medio, count(*) AS total, sum(r)::BIGINT AS relevantes FROM d GROUP BY medio""")
+def agg_outlet_summary(spark, sf):
+    tagged = news.relevant(news.articles(table(spark, sf, "documents")), [])
+    found = T.kw_match(F.col("contenido"), KEYWORDS)
+    return similarity.outlet_summary(tagged.withColumn("ind_relevante", (F.size(found) > 0).cast("int")))
+
+
+@query("SELECT string_agg('  - ' || source || ': ' || n || ' noticias', chr(10) ORDER BY source) AS resumen FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)")
+def agg_summary_text(spark, sf):
+    counts = table(spark, sf, "documents").groupBy("source").count()
+    line = F.concat(F.lit("  - "), "source", F.lit(": "), F.col("count").cast("string"), F.lit(" noticias"))
+    return counts.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source", line.alias("line")))), lambda x: x["line"]), "\n").alias("resumen"))
+
+
+@query(f"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({TERMS.format('text')}) AS term FROM documents) GROUP BY term")
+def agg_doc_freq(spark, sf):
+    return similarity.document_frequencies(similarity.term_frequencies(table(spark, sf, "documents"), "doc_id", F.col("text")))
+
+
+@query(f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TERMS.format('text')}) AS term FROM documents) GROUP BY doc_id, term")
+def agg_term_freq(spark, sf):
+    return similarity.term_frequencies(table(spark, sf, "documents"), "doc_id", F.col("text"))
+
+
+VECTORS = f"""
+  tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({TERMS.format('body')}) AS term FROM d) GROUP BY id, term),
+  df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), n AS (SELECT count(*) AS n FROM d),
+  raw AS (SELECT id, term, df, n, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS r FROM tf JOIN df USING (term), n),
+  v AS (SELECT id, term, df, n, r / sqrt(sum(r * r) OVER (PARTITION BY id)) AS w FROM raw)"""
+PAIRS = f"""{VECTORS},
+  rare AS (SELECT id, term FROM v WHERE df <= greatest(3, floor(n * 0.25)) AND df BETWEEN 2 AND 60),
+  cand AS (SELECT x.id AS a, y.id AS b FROM rare x JOIN rare y ON x.term = y.term AND x.id < y.id GROUP BY 1, 2 HAVING count(*) >= 2),
+  sim AS (SELECT a, b, sum(x.w * y.w) AS sim FROM cand JOIN v x ON x.id = a JOIN v y ON y.id = b AND y.term = x.term GROUP BY a, b HAVING sum(x.w * y.w) >= 0.4)"""
+
+
+@query(f"WITH d AS (SELECT doc_id AS id, text AS body FROM documents), {VECTORS} SELECT id AS doc_id, term, round(w, 6) AS w FROM v")
+def txt_tfidf(spark, sf):
+    return similarity.tfidf(table(spark, sf, "documents"), "doc_id", F.col("text")).select("doc_id", "term", F.round("w", 6).alias("w"))
+
+
+@query(f"WITH d AS (SELECT doc_id AS id, substr(text, 1, 1200) AS body FROM documents), {PAIRS} SELECT a, b, round(sim, 4) AS sim FROM sim")
+def txt_similar(spark, sf):
+    return similarity.similar_pairs(table(spark, sf, "documents"), "doc_id", F.substring("text", 1, 1200))
+
+
+NEWS = f"""WITH RECURSIVE art AS (
+    SELECT doc_id AS id, source AS medio, substr(split_part(text, chr(10), 1), 1, 80) AS titulo, text,
+           'https://' || source || '.example.com/' || lang || '/' || doc_id AS url
+    FROM documents WHERE length(text) >= 250),
+  d AS (SELECT id, medio, titulo, url, titulo || ' ' || substr(text, 1, 1200) AS body,
+        (regexp_matches(' ' || {NORM.format("titulo || ' ' || text")} || ' ', '[^a-z0-9_](tion|der|les|ciones)[^a-z0-9_]'))::INT AS rel FROM art),
+  {PAIRS},
+  e AS (SELECT a, b FROM sim JOIN d x ON x.id = a JOIN d y ON y.id = b WHERE x.medio <> y.medio),
+  arcs AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+  walk(id, root) AS (SELECT a, a FROM arcs UNION SELECT arcs.b, walk.root FROM walk JOIN arcs ON arcs.a = walk.id),
+  comp AS (SELECT id, min(root) AS root FROM walk GROUP BY id),
+  g AS (SELECT root, count(*) AS size, list_sort(list(DISTINCT medio)) AS outlets FROM comp JOIN d USING (id) GROUP BY root HAVING count(DISTINCT medio) >= 2),
+  named AS (SELECT root, outlets, printf('REC_%04d', row_number() OVER (ORDER BY size DESC, root)) AS rec FROM g)
+  SELECT d.id AS _seq, medio, titulo, url, NULL::VARCHAR AS fecha_iso, rel AS ind_relevante,
+         CASE WHEN rec IS NULL THEN 'No' ELSE 'Sí' END AS recurrencia, coalesce(rec, '') AS id_recurrencia,
+         coalesce(len(outlets), 1)::INT AS nro_medios, coalesce(array_to_string(outlets, ', '), medio) AS medios
+  FROM d LEFT JOIN comp USING (id) LEFT JOIN named USING (root)"""
+
+
+@query(NEWS)
+def news_daily(spark, sf):
+    return news.news_daily(table(spark, sf, "documents"))
+
+
+@query("SELECT l_orderkey, to_json(list({'id': l_linenumber, 'texto': l_returnflag} ORDER BY l_linenumber, l_returnflag)) AS lote FROM lineitem GROUP BY l_orderkey")
+def agg_batch_prompt(spark, sf):
+    piece = F.struct(F.col("l_linenumber").alias("id"), F.col("l_returnflag").alias("texto"))
+    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.to_json(F.array_sort(F.collect_list(piece))).alias("lote"))
+
+
+@query("""SELECT o_custkey, CASE WHEN bool_or(o_orderstatus = 'P') THEN 'cancelled' WHEN bool_or(o_orderstatus = 'F' AND o_orderpriority LIKE '1%') THEN 'error'
+          WHEN bool_or(o_orderstatus = 'F') THEN 'partial' ELSE 'ok' END AS estado FROM orders GROUP BY o_custkey""")
+def agg_run_status(spark, sf):
+    status = F.when(F.col("o_orderstatus") == "P", "cancelled").when(F.col("o_orderstatus") == "F", "error").otherwise("ok")
+    on_error = F.when(F.col("o_orderpriority").startswith("1"), "stop").otherwise("continue")
+    return history.run_status(table(spark, sf, "orders").select("o_custkey", status.alias("status"), on_error.alias("on_error")), "o_custkey")
+
+
+@query("SELECT o_custkey, count(*) FILTER (o_orderstatus IN ('O', 'P')) AS activos FROM orders GROUP BY o_custkey")
+def agg_active_count(spark, sf):
+    return table(spark, sf, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus").isin("O", "P")).alias("activos"))
+
+
+# ---------------------------------------------------------------- joins and sets
+
+
+@query("SELECT c_custkey, o_orderkey, o_orderstatus FROM customer LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS p FROM orders) o ON o_custkey = c_custkey AND p = 1")
+def join_last_run(spark, sf):
+    runs = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderstatus", "o_orderdate")
+    newest = history.last_run(table(spark, sf, "customer").select("c_custkey"), runs, "c_custkey", [F.desc("o_orderdate"), F.desc("o_orderkey")])
+    return newest.select("c_custkey", "o_orderkey", "o_orderstatus")
+
+
+@query("SELECT s_suppkey, coalesce(n_name, '') AS nombre FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey")
+def join_user_labels(spark, sf):
+    names = table(spark, sf, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    met = table(spark, sf, "supplier").join(names, "s_nationkey", "left")  # the engine broadcasts it if its size allows
+    return met.select("s_suppkey", F.coalesce("n_name", F.lit("")).alias("nombre"))
+
+
+@query(f"""WITH l(linea) AS (SELECT n_name FROM nation UNION SELECT substr(n_name, 1, 7) FROM nation UNION SELECT '7' UNION SELECT 'nadie'),
+   m AS (SELECT linea, n_nationkey::VARCHAR AS id, n_name AS nombre, {NORM.format('n_name')} AS nn, {NORM.format('linea')} AS nl FROM l, nation),
+   h AS (SELECT *, regexp_matches(nl, '^[0-9]+$') OR nn = nl AS ex FROM m WHERE CASE WHEN regexp_matches(nl, '^[0-9]+$') THEN id = nl ELSE contains(nn, nl) END)
+   SELECT linea, id, nombre FROM h QUALIFY ex = max(ex) OVER (PARTITION BY linea)""")
+def join_name_match(spark, sf):
+    names = table(spark, sf, "nation").select(F.col("n_name").alias("linea"))
+    lines = names.union(names.select(F.substring("linea", 1, 7))).union(names.select(F.lit("7"))).union(names.select(F.lit("nadie"))).distinct()
+    return catalog.name_match(lines, table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("nombre")))[0]
+
+
+@query("SELECT s_suppkey, y::INT AS anio FROM supplier, range(2021, 2026) t(y)")
+def join_entity_year(spark, sf):
+    return catalog.entity_years(table(spark, sf, "supplier").select("s_suppkey"), 2021, 2025)
+
+
+@query("SELECT DISTINCT o_custkey, year(o_orderdate)::INT AS anio, CASE WHEN o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) THEN 'ya existía' ELSE 'nuevo' END AS estado FROM orders")
+def join_existing_files(spark, sf):
+    wanted = table(spark, sf, "orders").select("o_custkey", F.year("o_orderdate").alias("anio")).distinct()
+    present = table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
+    return catalog.existing_status(wanted, present, ["o_custkey"])
+
+
+@query("SELECT page_id FROM pages ANTI JOIN documents ON page_id = doc_id AND length(text) >= 1000")
+def join_seen_anti(spark, sf):
+    seen = table(spark, sf, "documents").where("length(text) >= 1000").select(F.col("doc_id").alias("page_id"))
+    return table(spark, sf, "pages").select("page_id").join(seen, "page_id", "left_anti")
+
+
+@query("SELECT n_name AS medio FROM nation ANTI JOIN (SELECT n_name FROM nation JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 5000) USING (n_name)")
+def join_expected_missing(spark, sf):
+    nations = table(spark, sf, "nation")
+    rich = table(spark, sf, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("n_nationkey"))
+    return similarity.missing_outlets(nations.join(rich, "n_nationkey").select(F.col("n_name").alias("medio")), nations.select(F.col("n_name").alias("medio")))
+
+
+@query("SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'pending' WHEN l.quality = 1 THEN 'enabled' ELSE 'changed' END AS estado FROM documents d LEFT JOIN labels l USING (doc_id)")
+def join_approved_hash(spark, sf):
+    current = table(spark, sf, "documents").select("doc_id", F.lit(1).alias("huella"))
+    stored = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("huella"))
+    return rows.changed_status(current, stored, "doc_id", "huella").select("doc_id", "estado")
+
+
+@query("SELECT d.doc_id, coalesce(l.quality = 1 AND l.toxic = 0, false) AS reusado FROM documents d LEFT JOIN labels l USING (doc_id)")
+def join_cache_reuse(spark, sf):
+    current = table(spark, sf, "documents").select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    return docs.reuse_cache(current, table(spark, sf, "labels"), "doc_id", ["quality", "toxic"]).select("doc_id", "reusado")
+
+
+@query("SELECT doc_id AS id FROM documents UNION SELECT page_id FROM pages UNION SELECT item_id FROM benchmark")
+def set_union_distinct(spark, sf):
+    d, p, b = (table(spark, sf, t).select(F.col(c).alias("id")) for t, c in (("documents", "doc_id"), ("pages", "page_id"), ("benchmark", "item_id")))
+    return d.union(p).union(b).distinct()
+
+
+@query("SELECT doc_id AS id, lang, NULL::VARCHAR AS url FROM documents UNION ALL SELECT page_id, NULL, url FROM pages")
+def set_union_all(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang")
+    return rows.union_rows(d, table(spark, sf, "pages").select(F.col("page_id").alias("id"), "url"))
+
+
+@query(r"""SELECT page_id, CASE WHEN row_number() OVER (PARTITION BY regexp_replace(regexp_replace(lower(url), '^https?://(www\.)?', ''), '/+$', '') ORDER BY page_id) = 1
+           THEN 'queda' ELSE 'duplicado' END AS motivo FROM pages""")
+def set_dedupe_links(spark, sf):
+    kept, lost = rows.first_per_key(table(spark, sf, "pages").select("page_id", "url"), U.url_key(F.col("url")), ["page_id"])
+    return kept.select("page_id", F.lit("queda").alias("motivo")).union(lost.select("page_id", F.lit("duplicado")))
+
+
+@query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
+def set_except(spark, sf):
+    return table(spark, sf, "documents").select("doc_id").subtract(table(spark, sf, "labels").select("doc_id"))
+
+
+# ---------------------------------------------------------------- windows, sorts, top-k
+
+
+@query("SELECT page_id, url FROM pages QUALIFY row_number() OVER (PARTITION BY regexp_replace(split_part(trim(url), '#', 1), '/+$', '') ORDER BY page_id) = 1")
+def win_first_per_key(spark, sf):
+    return rows.first_per_key(table(spark, sf, "pages").select("page_id", "url"), U.news_key(F.col("url")), ["page_id"])[0]
+
+
+@query("""SELECT conv_id, turn, substr(concat_ws(' ', lead(text, 1) OVER w, lead(text, 2) OVER w), 1, 200) AS contexto, lag(text) OVER w AS anterior
+          FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+def win_context_lines(spark, sf):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    after = F.substring(F.concat_ws(" ", F.lead("text", 1).over(w), F.lead("text", 2).over(w)), 1, 200)
+    return table(spark, sf, "conversations").select("conv_id", "turn", after.alias("contexto"), F.lag("text").over(w).alias("anterior"))
+
+
+@query("SELECT user_id, event_id, event_type FROM events QUALIFY lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS DISTINCT FROM event_type")
+def win_consecutive_dedupe(spark, sf):
+    return rows.neighbours_differ(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], "event_type").select("user_id", "event_id", "event_type")
+
+
+@query("SELECT l_orderkey, l_linenumber, ((row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1) // 3)::BIGINT AS lote FROM lineitem")
+def win_batch_no(spark, sf):
+    return rows.batches(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber"), ["l_linenumber"], 3, ["l_orderkey"])
+
+
+@query("SELECT o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) > 5")
+def win_keep_newest(spark, sf):
+    return history.beyond_newest(table(spark, sf, "orders"), "o_custkey", [F.desc("o_orderdate"), F.desc("o_orderkey")], 5).select("o_orderkey")
+
+
+@query("""WITH s AS (SELECT event_id, user_id, epoch_us(ts) AS us, (event_type = 'error')::INT AS bad,
+     sum((event_type <> 'error')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS ses FROM events)
+   SELECT event_id, (sum(bad) OVER (PARTITION BY user_id, ses ORDER BY us RANGE BETWEEN 299999999 PRECEDING AND CURRENT ROW))::BIGINT AS fallos,
+     sum(bad) OVER (PARTITION BY user_id, ses ORDER BY us RANGE BETWEEN 299999999 PRECEDING AND CURRENT ROW) >= 2 AS bloqueado FROM s""")
+def win_failure_lock(spark, sf):
+    locked = history.locked_out(table(spark, sf, "events"), ["user_id"], "ts", "event_id", F.col("event_type") == "error", most=2)
+    return locked.select("event_id", "fallos", "bloqueado")
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) >= 43200000000 THEN 1 ELSE 0 END AS f FROM events),
+   s AS (SELECT user_id, ts, (sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING))::BIGINT AS sesion FROM g)
+   SELECT user_id, sesion, count(*) AS eventos, max(epoch_us(ts)) - min(epoch_us(ts)) <= 1209600000000 AS vigente FROM s GROUP BY user_id, sesion""")
+def str_session_idle(spark, sf):
+    return history.idle_sessions(table(spark, sf, "events"), ["user_id"], "ts", 12 * 3600, 14 * 86400)
+
+
+@query("SELECT o_orderkey, o_orderdate, o_totalprice FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 30")
+def topk_recent_runs(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_totalprice").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(30)
+
+
+@query("SELECT doc_id, quality FROM documents LEFT JOIN labels USING (doc_id) ORDER BY quality NULLS LAST, doc_id")
+def sort_nulls_last(spark, sf):
+    met = table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return met.orderBy(F.asc_nulls_last("quality"), "doc_id")
+
+
+@query("SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 60")
+def limit_rows(spark, sf):
+    """The first sixty articles of each outlet, which is what the operator is for."""
+    w = Window.partitionBy("source").orderBy("doc_id")
+    return table(spark, sf, "documents").select("doc_id", F.row_number().over(w).alias("p")).where("p <= 60").select("doc_id")
+
+
+# ---------------------------------------------------------------- documents as pages
+
+
+PLAIN = r"lower(strip_accents(linea))"
+FOUND = {t: r"(^|[^a-z0-9])" + r"\s+".join(w + "(?:es|s)?" for w in t.split()) + r"($|[^a-z0-9])" for t in SEARCHED}
+
+
+@query(
+    "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS linea FROM documents) "
+    + " UNION ALL ".join(f"SELECT DISTINCT doc_id, '{t}' AS termino FROM l WHERE regexp_matches({PLAIN}, '{p}')" for t, p in FOUND.items())
+)
+def txt_term_search(spark, sf):
+    return docs.term_hits(doc_pages(spark, sf), SEARCHED, ["doc_id", "page"]).select("doc_id", "termino").distinct()
+
+
+def doc_pages(spark, sf):
+    """The lines of a document stand for its pages."""
+    return table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("page", "text"))
+
+
+@query()
+def agg_doc_rollup(spark, sf):
+    return docs.doc_rollup(docs.term_hits(doc_pages(spark, sf), SEARCHED, ["doc_id", "page"]), "doc_id", "page")
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS linea FROM documents)
+           SELECT doc_id, CASE WHEN bool_or(length(regexp_replace(linea, '\s', '', 'g')) >= 25) THEN 'texto' ELSE 'escaneado' END AS tipo FROM l GROUP BY doc_id""")
+def pred_doc_kind(spark, sf):
+    return docs.doc_kinds(doc_pages(spark, sf), "doc_id")
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity >= 25 THEN 'texto' WHEN l_linenumber >= 3 THEN 'vectorial' WHEN l_returnflag = 'R' THEN 'escaneada'
+          ELSE 'vacia' END AS clase FROM lineitem""")
+def pred_page_kind(spark, sf):
+    kind = docs.page_kind(F.col("l_quantity"), F.col("l_linenumber") * 10, F.col("l_returnflag") == "R")
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", kind.alias("clase"))
+
+
+@query()
+def txt_chunk(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", docs.chunks("text", 5, 30000).alias("trozos"))
+
+
+@query()
+def sink_doc_text(spark, sf):
+    return docs.doc_text(doc_pages(spark, sf), "doc_id", "page")
+
+
+# ---------------------------------------------------------------- graphs and histories
+
+
+@query("""WITH RECURSIVE e AS (SELECT p_partkey AS node, p_partkey // 2 AS source FROM part WHERE p_partkey >= 2),
+   a(node, ancestor) AS (SELECT node, source FROM e UNION SELECT a.node, e.source FROM a JOIN e ON e.node = a.ancestor) SELECT node, ancestor FROM a""")
+def dag_ancestors(spark, sf):
+    return graph.ancestors(part_tree(spark, sf))
+
+
+def part_tree(spark, sf):
+    return table(spark, sf, "part").where("p_partkey >= 2").select(F.expr("p_partkey div 2").alias("source"), F.col("p_partkey").alias("target"))
+
+
+@query("SELECT p_partkey AS node, floor(log2(p_partkey) + 1e-9)::INT AS level FROM part WHERE p_partkey >= 1 AND (SELECT count(*) FROM part) > 1")
+def dag_levels(spark, sf):
+    return graph.levels(part_tree(spark, sf))[0]
+
+
+@query("SELECT p_partkey AS node, floor(log2(p_partkey) + 1e-9)::INT AS depth FROM part WHERE p_partkey BETWEEN 1 AND 15")
+def crawl_bfs(spark, sf):
+    """What a walk of three links from the first part reaches."""
+    tree = part_tree(spark, sf)
+    return graph.reach(tree, tree.select(F.min("source").alias("node")), 3)
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 90 DAYS")
+def run_retention(spark, sf):
+    o = table(spark, sf, "orders")
+    newest = o.agg(F.max("o_orderdate").alias("newest"))
+    return o.join(F.broadcast(newest)).where(F.col("o_orderdate") >= F.col("newest") - F.expr("INTERVAL 90 DAYS")).select("o_orderkey")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus IN ('O', 'P') THEN 'error' ELSE 'ok' END AS estado FROM orders")
+def run_mark_interrupted(spark, sf):
+    status = F.when(F.col("o_orderstatus") == "O", "running").when(F.col("o_orderstatus") == "P", "queued").otherwise("ok")
+    return table(spark, sf, "orders").select("o_orderkey", history.interrupted(status).alias("estado"))
+
+
+@query("""WITH r AS (SELECT o_orderkey, o_custkey, o_orderdate AS s, o_orderdate + INTERVAL 30 DAYS AS f FROM orders)
+   SELECT o_orderkey FROM r QUALIFY s < max(f) OVER (PARTITION BY o_custkey ORDER BY s, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def run_overlap(spark, sf):
+    runs = table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").alias("s"), (F.col("o_orderdate") + F.expr("INTERVAL 30 DAYS")).alias("f"))
+    return history.overlaps(runs, "o_custkey", "s", "f", "o_orderkey").select("o_orderkey")
+
+
+@query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
+def run_upsert(spark, sf):
+    return rows.latest_per_key(table(spark, sf, "events"), ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "event_type")
+
+
+@query("SELECT doc_id, CASE WHEN strlen(text) > 2000 THEN '{\"truncado\":true,\"bytes\":' || strlen(text) || '}' ELSE text END AS resultado FROM documents")
+def run_result_cap(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", history.capped_result(F.col("text"), 2000).alias("resultado"))
+
+
+@query("""SELECT o_orderkey, min(t) AS proxima FROM (SELECT o_orderkey, o_orderdate AS d, date_trunc('day', o_orderdate)::TIMESTAMP + to_days(i::INT) + INTERVAL 450 MINUTES AS t
+          FROM orders, range(9) r(i)) WHERE t > d AND isodow(t) <= 5 GROUP BY o_orderkey""")
+def sched_next_fire(spark, sf):
+    after = F.col("o_orderdate").cast("timestamp_ntz")
+    return table(spark, sf, "orders").select("o_orderkey", history.next_fire(after.cast("timestamp"), 7, 30, [0, 1, 2, 3, 4]).cast("timestamp_ntz").alias("proxima"))
+
+
+# ---------------------------------------------------------------- pages
+
+
+@query()
+def page_links(spark, sf):
+    return html.page_links(table(spark, sf, "pages"))
+
+
+@query()
+def page_article(spark, sf):
+    return html.page_articles(table(spark, sf, "pages"))
+
+
+@query()
+def page_heading_ffill(spark, sf):
+    return html.page_lines(table(spark, sf, "pages"))
+
+
+@query()
+def lnk_resolve(spark, sf):
+    pages = table(spark, sf, "pages")
+    links = html.page_links(pages).join(pages.select("page_id", "url"), "page_id")
+    return links.select("page_id", "pos", U.resolved()(F.col("url"), F.col("href")).alias("enlace"))
+
+
+# ---------------------------------------------------------------- streaming
+
+
+def drained(spark, stream, mode="append"):
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
+    at = f"{base}/stream-{uuid.uuid4().hex}"
+    streams.drained(stream, f"{at}/out", f"{at}/state", mode)
+    return spark.read.parquet(f"{at}/out")
+
+
+@query("SELECT user_id, event_type FROM (SELECT DISTINCT user_id, event_type FROM events)")
+def str_seen_dedupe(spark, sf):
+    stream = streams.table_stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return drained(spark, streams.seen_once(stream, ["user_id", "event_type"], "ts", "3650 days").select("user_id", "event_type"))
+
+
+@query("SELECT event_type, date_trunc('day', ts)::TIMESTAMP AS dia, count(*) AS total FROM events GROUP BY 1, 2")
+def str_outlet_counts(spark, sf):
+    stream = streams.table_stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return drained(spark, streams.daily_counts(stream, "event_type", "ts"), "complete").withColumn("dia", F.col("dia").cast("timestamp_ntz"))
