@@ -10,27 +10,32 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.llm import exact_dedup, language, near_dedup, packing, pseudonyms
-from tidewell.llm.common import table, written
+from tidewell.llm.common import small_batches, table, written
 from tidewell.llm.queries import RANKS, VOCABULARY
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return language.keep_known(docs, language.train(docs))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return exact_dedup.deduplicate(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return near_dedup.deduplicate(docs)
 
 
 def pseudonym_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return pseudonyms.with_pseudonyms(docs, pseudonyms.KEY)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return packing.pack(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.path(RANKS))
 
 

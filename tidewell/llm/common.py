@@ -10,12 +10,22 @@ from pyspark.sql import functions as F
 
 #: Rows that one array of ``repeat_rows`` may hold.
 REPEAT_BLOCK = 4096
+#: Rows of texts that a Python worker holds at once.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows of texts go to Python workers in batches of less memory than the default ones."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 

@@ -1,10 +1,11 @@
 """Components from buckets: links between members, and union-find over them, as distributed jobs.
 
-Pairs inside a bucket are not all written out.  Every member is paired with the smallest member of
-its bucket; buckets of at most ``SMALL`` members give all their pairs as well.  Members of larger
-buckets that are still in another component than the smallest one are dealt again, by their bucket
-together with each of their other buckets, and what even that leaves apart meets in full.  No bucket
-is cut short; pairs that are connected already need no further link.
+Pairs inside a bucket are not all written out.  Every member is paired with the centre of its bucket,
+the member that shares most with others over all its buckets, and in large buckets with a second one;
+buckets of at most ``SMALL`` members give all their pairs as well.  Members of larger buckets that are
+still in another component than the centre are dealt once more, by pairs of such buckets of theirs,
+and compared in the same way.  The number of pairs grows with the members, not with the square of a
+bucket's size; what the README says about the links that this can miss belongs to it.
 """
 
 from __future__ import annotations
@@ -18,14 +19,16 @@ from .common import checkpointed, written
 
 #: Buckets up to this size give all pairs: at most half as many pairs as this for each member.
 SMALL = 12
-#: Times that unlinked members of large buckets are dealt again before all their pairs are formed.
-ROUNDS = 2
 
 
-def with_centre(members: DataFrame) -> DataFrame:
-    """(bucket, node, centre, n) for buckets of two members or more."""
-    stats = members.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return members.join(stats, "bucket")
+def with_centre(members: DataFrame, what: str) -> DataFrame:
+    """(bucket, node, n, centre, second) for buckets of two members or more."""
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = written(members.join(sizes, "bucket"), what + "-buckets")
+    score = shared.groupBy("node").agg(F.sum("n").alias("score"))
+    central = F.max_by("node", F.struct("score", "node"))
+    centres = shared.join(score, "node").groupBy("bucket").agg(central.alias("centre"), F.min("node").alias("second"))
+    return shared.join(centres, "bucket")
 
 
 def all_pairs(members: DataFrame) -> DataFrame:
@@ -34,8 +37,10 @@ def all_pairs(members: DataFrame) -> DataFrame:
 
 
 def pairs_of(grouped: DataFrame) -> DataFrame:
-    star = grouped.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"))
-    return star.union(all_pairs(grouped.where(f"n BETWEEN 3 AND {SMALL}"))).distinct()
+    star = grouped.select("centre", "node")
+    other = grouped.where(F.col("n") > SMALL).select("second", "node")
+    stars = star.union(other).toDF("a", "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return stars.union(all_pairs(grouped.where(f"n BETWEEN 3 AND {SMALL}"))).distinct()
 
 
 def apart(grouped: DataFrame, roots: DataFrame) -> DataFrame:
@@ -52,24 +57,17 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], what: s
 
     ``members``: (bucket long, node), each once.  ``verify`` keeps the pairs (a, b) that are similar.
     """
-    grouped = with_centre(members)
+    grouped = written(with_centre(members, what), what + "-grouped")
     found = written(verify(pairs_of(grouped)), what)
     roots = written(components(found), what + "-roots")
-    for last in range(ROUNDS + 1):
-        left = written(apart(grouped, roots), what + "-left")
-        if left.isEmpty():
-            break
-        if last == ROUNDS:
-            pairs = all_pairs(left).distinct()
-        else:
-            other = members.select(F.col("bucket").alias("other"), "node")
-            again = left.join(other, "node").where("bucket <> other")
-            members = again.select(F.xxhash64("bucket", "other").alias("bucket"), "node").distinct()
-            grouped = with_centre(members)
-            pairs = pairs_of(grouped)
-        found = found.union(written(verify(pairs), what))
-        roots = written(components(found), what + "-roots")
-    return roots
+    left = written(apart(grouped, roots), what + "-left")
+    if left.isEmpty():
+        return roots
+    other = left.select(F.col("bucket").alias("other"), "node")
+    twice = left.join(other, "node").where("bucket < other").select(F.xxhash64("bucket", "other").alias("bucket"), "node")
+    grouped = written(with_centre(twice, what), what + "-grouped")
+    found = found.union(written(verify(pairs_of(grouped)), what))
+    return written(components(found), what + "-roots")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -100,14 +100,9 @@ class Encoder:
 
     def __init__(self, path: str, ranks: str | None):
         import base64
-        import os
+        import json
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.slow, self.fast = Tokenizer.from_file(path), None
-        self.slow.no_truncation()
-        self.slow.no_padding()
+        self.path, self.fast, self.loaded = path, None, None
         if ranks:
             import tiktoken
 
@@ -115,9 +110,24 @@ class Encoder:
 
             with open(ranks, "rb") as file:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-            added = {t.content: i for i, t in self.slow.get_added_tokens_decoder().items()}
+            with open(path, encoding="utf-8") as file:
+                added = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
             self.fast = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=table, special_tokens=added)
 
+    @property
+    def slow(self):
+        """The tokenizers library, loaded only where it is needed."""
+        if self.loaded is None:
+            import os
+
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self.loaded = Tokenizer.from_file(self.path)
+            self.loaded.no_truncation()
+            self.loaded.no_padding()
+        return self.loaded
+
     def packed(self, text: str, end: int) -> bytes:
         import numpy as np
 
