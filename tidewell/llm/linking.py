@@ -1,7 +1,7 @@
 """Components from buckets: links between members, and union-find over them, as distributed jobs.
 
 Pairs inside a bucket are not all written out.  Every member is paired with the centre of its bucket,
-the member that shares most with others over all its buckets, and in large buckets with a second one;
+the member that shares most with others over all its buckets, and in large buckets with two more such members;
 buckets of at most ``SMALL`` members give all their pairs as well.  Members of larger buckets that are
 still in another component than the centre are dealt once more, by pairs of such buckets of theirs,
 and compared in the same way.  The number of pairs grows with the members, not with the square of a
@@ -22,12 +22,13 @@ SMALL = 12
 
 
 def with_centre(members: DataFrame, what: str) -> DataFrame:
-    """(bucket, node, n, centre, second) for buckets of two members or more."""
+    """(bucket, node, n, centre, second, third) for buckets of two members or more."""
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = written(members.join(sizes, "bucket"), what + "-buckets")
     score = shared.groupBy("node").agg(F.sum("n").alias("score"))
-    central = F.max_by("node", F.struct("score", "node"))
-    centres = shared.join(score, "node").groupBy("bucket").agg(central.alias("centre"), F.min("node").alias("second"))
+    # among equally central members each bucket picks others, so that all of them have a chance somewhere
+    central = [F.max_by("node", F.struct("score", F.xxhash64("bucket", "node", F.lit(i)))).alias(c) for i, c in enumerate(("centre", "second", "third"))]
+    centres = shared.join(score, "node").groupBy("bucket").agg(*central)
     return shared.join(centres, "bucket")
 
 
@@ -38,8 +39,8 @@ def all_pairs(members: DataFrame) -> DataFrame:
 
 def pairs_of(grouped: DataFrame) -> DataFrame:
     star = grouped.select("centre", "node")
-    other = grouped.where(F.col("n") > SMALL).select("second", "node")
-    stars = star.union(other).toDF("a", "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    large = grouped.where(F.col("n") > SMALL)
+    stars = star.union(large.select("second", "node")).union(large.select("third", "node")).toDF("a", "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return stars.union(all_pairs(grouped.where(f"n BETWEEN 3 AND {SMALL}"))).distinct()
 
 
