@@ -1,11 +1,13 @@
 """Components from buckets: links between members, and union-find over them, as distributed jobs.
 
 Pairs inside a bucket are not all written out.  Every member is paired with the centre of its bucket,
-the member that shares most with others over all its buckets, and in large buckets with two more such members;
-buckets of at most ``SMALL`` members give all their pairs as well.  Members of larger buckets that are
-still in another component than the centre are dealt once more, by pairs of such buckets of theirs,
-and compared in the same way.  The number of pairs grows with the members, not with the square of a
-bucket's size; what the README says about the links that this can miss belongs to it.
+the member that shares most with others over all its buckets.  From then on only pairs of different
+components count, as all others cannot change a class: buckets of at most ``SMALL`` members give all
+of them, and in larger ones two members that are apart from the centre are compared with the rest.
+Members of larger buckets that are still in another component than the centre are dealt once more,
+by pairs of such buckets of theirs, and compared in the same way.  The number of pairs grows with the
+members, not with the square of a bucket's size; what the README says about the links that this can
+miss belongs to it.
 """
 
 from __future__ import annotations
@@ -21,36 +23,44 @@ from .common import checkpointed, written
 SMALL = 12
 
 
+def ordered(one, two) -> list:
+    return [F.least(one, two).alias("a"), F.greatest(one, two).alias("b")]
+
+
 def with_centre(members: DataFrame, what: str) -> DataFrame:
-    """(bucket, node, n, centre, second, third) for buckets of two members or more."""
+    """(bucket, node, n, score, centre) for buckets of two members or more."""
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = written(members.join(sizes, "bucket"), what + "-buckets")
-    score = shared.groupBy("node").agg(F.sum("n").alias("score"))
-    # among equally central members each bucket picks others, so that all of them have a chance somewhere
-    central = [F.max_by("node", F.struct("score", F.xxhash64("bucket", "node", F.lit(i)))).alias(c) for i, c in enumerate(("centre", "second", "third"))]
-    centres = shared.join(score, "node").groupBy("bucket").agg(*central)
-    return shared.join(centres, "bucket")
-
-
-def all_pairs(members: DataFrame) -> DataFrame:
-    one, two = members.select("bucket", F.col("node").alias("a")), members.select("bucket", F.col("node").alias("b"))
-    return one.join(two, "bucket").where("a < b").select("a", "b")
-
+    scored = shared.join(shared.groupBy("node").agg(F.sum("n").alias("score")), "node")
+    centres = scored.groupBy("bucket").agg(F.max_by("node", F.struct("score", "node")).alias("centre"))
+    return written(scored.join(centres, "bucket"), what + "-grouped")
 
-def pairs_of(grouped: DataFrame) -> DataFrame:
-    star = grouped.select("centre", "node")
-    large = grouped.where(F.col("n") > SMALL)
-    stars = star.union(large.select("second", "node")).union(large.select("third", "node")).toDF("a", "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return stars.union(all_pairs(grouped.where(f"n BETWEEN 3 AND {SMALL}"))).distinct()
 
-
-def apart(grouped: DataFrame, roots: DataFrame) -> DataFrame:
-    """(bucket, node): members of large buckets whose component is not that of the bucket's centre."""
-    large = grouped.where((F.col("n") > SMALL) & (F.col("node") != F.col("centre")))
-    met = large.join(roots.withColumnRenamed("root", "own"), "node", "left").join(
-        roots.select(F.col("node").alias("centre"), F.col("root").alias("its")), "centre", "left"
+def unsettled(grouped: DataFrame, roots: DataFrame, what: str) -> DataFrame:
+    """``grouped`` with the component of each node and of its centre, for buckets of several components."""
+    own = grouped.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    own = written(own, what + "-own")
+    ends = own.groupBy("bucket").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.when(F.col("node") == F.col("centre"), F.col("root"))).alias("main")
+    )
+    return own.join(ends.where("low <> high").select("bucket", "main"), "bucket")
+
+
+def pairs_between(open_buckets: DataFrame) -> DataFrame:
+    """(a, b): pairs of different components that the centre has not met."""
+    small = open_buckets.where(f"n <= {SMALL} AND node <> centre").select("bucket", "node", "root")
+    other = small.select("bucket", F.col("node").alias("peer"), F.col("root").alias("its"))
+    within = small.join(other, "bucket").where("node < peer AND root <> its").select(*ordered("node", "peer"))
+    large = open_buckets.where(f"n > {SMALL}")
+    named = F.struct("node", "root")
+    heads = large.where("root <> main").groupBy("bucket").agg(
+        F.max_by(named, F.struct("score", "node")).alias("second"), F.max_by(named, F.xxhash64("bucket", "node")).alias("third")
     )
-    return met.where(F.coalesce("own", "node") != F.coalesce("its", "centre")).select("bucket", "node")
+    met = large.join(heads, "bucket")
+    stars = [
+        met.where((F.col("root") != F.col(f"{c}.root")) & (F.col("node") != F.col("centre"))).select(*ordered("node", f"{c}.node")) for c in ("second", "third")
+    ]
+    return within.union(stars[0]).union(stars[1]).distinct()
 
 
 def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], what: str) -> DataFrame:
@@ -58,16 +68,22 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], what: s
 
     ``members``: (bucket long, node), each once.  ``verify`` keeps the pairs (a, b) that are similar.
     """
-    grouped = written(with_centre(members, what), what + "-grouped")
-    found = written(verify(pairs_of(grouped)), what)
+    grouped = with_centre(members, what)
+    found = written(verify(grouped.where("node <> centre").select(*ordered("node", "centre")).distinct()), what)
     roots = written(components(found), what + "-roots")
-    left = written(apart(grouped, roots), what + "-left")
+    found = found.union(written(verify(pairs_between(unsettled(grouped, roots, what))), what))
+    roots = written(components(found), what + "-roots")
+    apart = unsettled(grouped, roots, what).where(f"n > {SMALL} AND root <> main").select("bucket", "node")
+    left = written(apart, what + "-left")
     if left.isEmpty():
         return roots
     other = left.select(F.col("bucket").alias("other"), "node")
     twice = left.join(other, "node").where("bucket < other").select(F.xxhash64("bucket", "other").alias("bucket"), "node")
-    grouped = written(with_centre(twice, what), what + "-grouped")
-    found = found.union(written(verify(pairs_of(grouped)), what))
+    grouped = with_centre(twice, what)
+    stars = unsettled(grouped, roots, what).where("root <> main").select(*ordered("node", "centre")).distinct()
+    found = found.union(written(verify(stars), what))
+    roots = written(components(found), what + "-roots")
+    found = found.union(written(verify(pairs_between(unsettled(grouped, roots, what))), what))
     return written(components(found), what + "-roots")
 
 
