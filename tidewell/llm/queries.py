@@ -73,6 +73,24 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op2_warc": r"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (
+          SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS hex,
+                 min(page_id) OVER (PARTITION BY sha1(html)) AS first_id
+          FROM p
+        ),
+        -- base32: 40 hexadecimal digits are 8 groups of 5 digits, each of 4 letters
+        groups AS (
+          SELECT *, list_transform(range(8), lambda g: ('0x' || substr(hex, 5 * g + 1, 5))::BIGINT) AS parts FROM d
+        )
+        SELECT page_id, payload_bytes,
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                 ((parts[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31)::INTEGER + 1, 1)), '') AS payload_digest,
+               CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+        FROM groups
+    """,
     "op5_exact_dedup": r"""
         WITH d AS (
           SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
