@@ -143,6 +143,20 @@ def test_line_dedup_equals_brute_force(spark, words):
     assert out[92] == "ab" and out[90] is None and "boilerplate" in out[0] and "boilerplate" not in out[1]
 
 
+@pytest.mark.parametrize("end", ["!", " 7"])
+def test_short_lines_with_edited_ends(spark, words, end):
+    """Of the pairs that reach 0.8 at most the few that share no band may be missed."""
+    rng, lines = random.Random(9), set()
+    while len(lines) < 400:
+        line = " ".join(rng.choices(words, k=12))[: rng.randint(20, 79)]
+        lines.add(line.strip())
+    shingles = lambda s: {s[k : k + 12] for k in range(len(s) - 11)}
+    pairs = [(s, s + end) for s in sorted(lines) if len(shingles(s)) >= 0.8 * len(shingles(s + end))]
+    df = spark.createDataFrame([(i, s + "\n" + t) for i, (s, t) in enumerate(pairs)], "doc_id long, text string")
+    found = line_dedup.line_classes(df).where("line_no = 1 AND NOT kept AND class_doc_id = doc_id").count()
+    assert len(pairs) > 300 and found >= 0.98 * len(pairs)
+
+
 def test_bpe_equals_the_library(spark, docs):
     from tokenizers import Tokenizer
 

@@ -1,11 +1,10 @@
 """Operator 3, line dedup: near-equal lines by MinHash over character shingles, with Spark functions only.
 
 The different lines go to a table that is bucketed by line key, so the signatures and the later
-comparison of texts need no further shuffle of it.  The signature of a line takes the shingles of
-``WIDTH`` characters that start where a word starts (a sample of all shingles that any two lines take
-alike); each of its values is the smallest hash under another bit mask, bands of ``ROWS`` values are
-the buckets, and every candidate pair is verified by the exact Jaccard similarity of the sets of all
-shingles of both lines.  One line of each component stays, the first by (doc_id, line_no).
+comparison of texts need no further shuffle of it.  The signature of a line takes all its shingles of
+``WIDTH`` characters; each of its values is the smallest under another hash function, bands of ``ROWS``
+values are the buckets, and every candidate pair is verified by the exact Jaccard similarity of the
+sets of all shingles of both lines.  One line of each component stays, the first by (doc_id, line_no).
 
 Defined results: lines are what ``\\n`` separates; lines of white space alone, and null or empty texts,
 have no duplicates and stay; lines shorter than a shingle are one shingle; a null ``doc_id`` comes
@@ -27,18 +26,10 @@ WIDTH = 12
 SIMILARITY = 0.8
 #: Two lines at the threshold meet in a bucket with a chance of 1 - (1 - 0.8 ** 3) ** 7 = 0.993, at 0.85 of 0.999.
 BANDS, ROWS = 7, 3
-#: Where a word starts: the next characters, without moving on.
-ANCHORED = f"(?:^|[ \\t])(?=([^ \\t].{{0,{WIDTH - 1}}}))"
 #: Every shingle, without moving on.
 OVERLAPPING = f"(?s)(?=(.{{{WIDTH}}}))"
 
 
-def mask(i: int) -> int:
-    """Masks that differ in their leading bits first: the smallest hash under each is found in another region."""
-    turned = int(f"{i:05b}"[::-1], 2) << 59 | (i * 0x9E3779B97F4A7C15 & (1 << 59) - 1)
-    return turned - (1 << 64) if turned >= 1 << 63 else turned
-
-
 def occurrences(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, line_no, line) for lines that are not blank; line_no from 0."""
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "line"))
@@ -68,13 +59,10 @@ def line_table(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def signatures(lines: DataFrame) -> DataFrame:
     """(number, key, bands, samples) of each line of the bucketed table; ``samples`` packs a byte of each value."""
-    anchored = F.regexp_extract_all("line", F.lit(ANCHORED), F.lit(1))
     every = F.regexp_extract_all("line", F.lit(OVERLAPPING), F.lit(1))
-    # lines that hardly have spaces take all their shingles
-    spaced = F.length("line") < 40 * F.size(anchored)
-    cut = F.when(spaced, anchored).when(F.size(every) > 0, every).otherwise(F.array("line"))
+    cut = F.when(F.length("line") >= WIDTH, every).otherwise(F.array("line"))
     rows = lines.select("key", "number", F.explode(cut).alias("shingle")).select("key", "number", F.xxhash64("shingle").alias("h"))
-    values = [F.min(F.col("h").bitwiseXOR(F.lit(mask(i)))).alias(f"v{i}") for i in range(BANDS * ROWS)]
+    values = [F.min(F.xxhash64("h", F.lit(i))).alias(f"v{i}") for i in range(BANDS * ROWS)]
     bands = [F.xxhash64(F.lit(b), *(f"v{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)]
     samples = [" | ".join(f"shiftleft(v{b * ROWS + r} & 255L, {8 * b})" for b in range(BANDS)) for r in range(ROWS)]
     return rows.groupBy("key").agg(F.min("number").alias("number"), *values).select("number", "key", F.array(*bands).alias("bands"), *(F.expr(s).alias(f"s{r}") for r, s in enumerate(samples)))
