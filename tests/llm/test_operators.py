@@ -207,6 +207,18 @@ def test_pseudonyms(spark):
     assert pseudonyms.with_pseudonyms(df, b"key").columns == df.columns
 
 
+def test_phones_outside_the_numbering_plan():
+    f = pseudonyms.Feistel(b"key")
+    for area, exchange in itertools.product(("017", "152", "217"), ("055", "155", "555")):
+        for shape in (f"+1 ({area}) {exchange}-7713", f"({area}) {exchange}-7713", f"{area}-{exchange}-7713", f"{area}.{exchange}.7713"):
+            new, found = pseudonyms.pseudonymise(f"call {shape} now", f)
+            assert found == {"phone": 1} and shape not in new and len(new) == len(f"call {shape} now")
+            digits, old = pseudonyms.only_digits(new)[-10:], area + exchange + "7713"
+            assert digits != old and pseudonyms.plan_number(digits) == pseudonyms.plan_number(old)
+    some = [f"{i % 2}{i:02d}-555-{7 * i:04d}" for i in range(100)] + [f"9{i:02d}-{i:03d}-{7 * i:04d}" for i in range(100)]
+    assert len({pseudonyms.pseudonymise(p, f)[0] for p in some}) == len(set(some))
+
+
 def test_packing(spark, docs):
     rows = packing.pack(docs, VOCAB, RANKS).collect()
     own, want = packing.Encoder(VOCAB, RANKS), {}

@@ -1,8 +1,9 @@
 """Operator 7, PII: format-preserving pseudonyms from a keyed Feistel permutation.
 
-Numbers and dates that pass the check of their kind (Luhn for cards, the numbering plan for phones,
-area and group for social security numbers, octets for addresses, modulo 97 for IBANs, the calendar
-for dates) are replaced by another valid value of the same length and punctuation.  The value is a
+Numbers and dates that pass the check of their kind (Luhn for cards, area and group for social
+security numbers, octets for addresses, modulo 97 for IBANs, the calendar for dates) are replaced by
+another valid value of the same length and punctuation.  Phone numbers need their format only: those
+of the numbering plan go to others of it, those outside it to others outside it.  The value is a
 number below the size of its format's domain, a Feistel network permutes it, and walking the cycle
 brings it back into the domain.  The same key maps equal values to equal pseudonyms in every
 document, and different values of a format to different ones.  Names in mail addresses, access keys
@@ -110,9 +111,9 @@ def phone(f: Feistel, m: re.Match) -> str | None:
     digits = only_digits(m[0])
     country, national = ("1", digits[1:]) if len(digits) == 11 and digits[0] == "1" else ("", digits)
     if len(national) == 10 and (country or "+" not in m[0]):
-        if not plan_number(national):
-            return None
-        new = f.walk(int(national), 10**10, "phone", lambda v: plan_number(f"{v:010d}"))
+        # numbers of the plan and all others have a permutation each, so that both stay one to one
+        planned = plan_number(national)
+        new = f.walk(int(national), 10**10, "phone" if planned else "phone outside the plan", lambda v: plan_number(f"{v:010d}") == planned)
         return refill(m[0], country + f"{new:010d}")
     if "+" not in m[0] or not 8 <= len(digits) <= 15:
         return None
