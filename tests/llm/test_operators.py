@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, exact_dedup, language, line_dedup, near_dedup, packing, pseudonyms, url_rules, vectors, warc
+from tidewell.llm import bpe, exact_dedup, language, line_dedup, linking, near_dedup, packing, pseudonyms, url_rules, vectors, warc
 
 VOCAB, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 DOCS = "doc_id long, text string, lang string, key string, node string"
@@ -108,6 +108,14 @@ def test_large_group_of_near_copies(spark, words):
     assert sum(r.class_id == 0 for r in got) >= 80
 
 
+def test_large_buckets_of_many_families_lose_no_link(spark):
+    """Members meet in large buckets only, and only neighbours of a family are similar."""
+    rows = [(b, node) for b in (1, 2) for node in range(90)] + [(3, node) for node in range(0, 90, 7)] + [(4, 5), (4, 200)]
+    verify = lambda pairs: pairs.where("a div 3 = b div 3 AND b - a = 1 OR b = 200")
+    got = {r.node: r.root for r in linking.linked(spark.createDataFrame(rows, "bucket long, node long"), verify, "test").collect()}
+    assert got == {node: node // 3 * 3 for node in range(90)} | {200: 3}
+
+
 def test_line_dedup_equals_brute_force(spark, words):
     rng, rows = random.Random(6), []
     for i in range(40):

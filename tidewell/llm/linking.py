@@ -3,24 +3,28 @@
 Pairs inside a bucket are not all written out.  Every member is paired with the centre of its bucket,
 the member that shares most with others over all its buckets.  From then on only pairs of different
 components count, as all others cannot change a class: buckets of at most ``SMALL`` members give all
-of them, and in larger ones two members that are apart from the centre are compared with the rest.
-Members of larger buckets that are still in another component than the centre are dealt once more,
-by pairs of such buckets of theirs, and compared in the same way.  The number of pairs grows with the
-members, not with the square of a bucket's size; what the README says about the links that this can
-miss belongs to it.
+of them, and larger ones go through rounds.  In a round some members of a bucket, its heads, each from
+another component, are paired with all members of other components; they have then met everyone and
+leave the bucket, which is done when the rest is one component.  So each pair of a bucket is in one
+component or has been verified.  The pairs of a large bucket grow with its members times its
+components, with the square only where its members are all apart.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, written
 
 #: Buckets up to this size give all pairs: at most half as many pairs as this for each member.
 SMALL = 12
+#: Heads of a large bucket in the first round; each round has ``MORE`` times as many as the one before.
+HEADS, MORE = 4, 4
+#: Parts into which the members of a large bucket are dealt.
+SALTS = 16
 
 
 def ordered(one, two) -> list:
@@ -36,31 +40,31 @@ def with_centre(members: DataFrame, what: str) -> DataFrame:
     return written(scored.join(centres, "bucket"), what + "-grouped")
 
 
-def unsettled(grouped: DataFrame, roots: DataFrame, what: str) -> DataFrame:
-    """``grouped`` with the component of each node and of its centre, for buckets of several components."""
-    own = grouped.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    own = written(own, what + "-own")
-    ends = own.groupBy("bucket").agg(
-        F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.when(F.col("node") == F.col("centre"), F.col("root"))).alias("main")
-    )
-    return own.join(ends.where("low <> high").select("bucket", "main"), "bucket")
+def unsettled(members: DataFrame, roots: DataFrame, what: str) -> DataFrame:
+    """``members`` with the component of each node, for buckets of several components."""
+    own = written(members.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), what + "-own")
+    ends = own.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    return written(own.join(ends.where("low <> high").select("bucket"), "bucket", "left_semi"), what + "-open")
 
 
-def pairs_between(open_buckets: DataFrame) -> DataFrame:
-    """(a, b): pairs of different components that the centre has not met."""
-    small = open_buckets.where(f"n <= {SMALL} AND node <> centre").select("bucket", "node", "root")
+def pairs_within(small: DataFrame) -> DataFrame:
+    """(a, b): all pairs of different components."""
     other = small.select("bucket", F.col("node").alias("peer"), F.col("root").alias("its"))
-    within = small.join(other, "bucket").where("node < peer AND root <> its").select(*ordered("node", "peer"))
-    large = open_buckets.where(f"n > {SMALL}")
-    named = F.struct("node", "root")
-    heads = large.where("root <> main").groupBy("bucket").agg(
-        F.max_by(named, F.struct("score", "node")).alias("second"), F.max_by(named, F.xxhash64("bucket", "node")).alias("third")
-    )
-    met = large.join(heads, "bucket")
-    stars = [
-        met.where((F.col("root") != F.col(f"{c}.root")) & (F.col("node") != F.col("centre"))).select(*ordered("node", f"{c}.node")) for c in ("second", "third")
-    ]
-    return within.union(stars[0]).union(stars[1]).distinct()
+    return small.join(other, "bucket").where("node < peer AND root <> its").select(*ordered("node", "peer"))
+
+
+def heads_of(large: DataFrame, count: int) -> DataFrame:
+    """(bucket, head, its): of up to ``count`` components of each bucket, the largest first, a member."""
+    each = large.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("size"), F.max_by("node", F.struct("score", "node")).alias("head"))
+    order = Window.partitionBy("bucket").orderBy(F.desc("size"), F.xxhash64("root"), "root")
+    return each.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= count).select("bucket", "head", F.col("root").alias("its"))
+
+
+def pairs_with(large: DataFrame, heads: DataFrame) -> DataFrame:
+    """(a, b): each head with the members of other components."""
+    dealt = large.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+    spread = heads.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return dealt.join(spread, ["bucket", "salt"]).where("root <> its").select(*ordered("node", "head"))
 
 
 def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], what: str) -> DataFrame:
@@ -71,20 +75,19 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], what: s
     grouped = with_centre(members, what)
     found = written(verify(grouped.where("node <> centre").select(*ordered("node", "centre")).distinct()), what)
     roots = written(components(found), what + "-roots")
-    found = found.union(written(verify(pairs_between(unsettled(grouped, roots, what))), what))
-    roots = written(components(found), what + "-roots")
-    apart = unsettled(grouped, roots, what).where(f"n > {SMALL} AND root <> main").select("bucket", "node")
-    left = written(apart, what + "-left")
-    if left.isEmpty():
-        return roots
-    other = left.select(F.col("bucket").alias("other"), "node")
-    twice = left.join(other, "node").where("bucket < other").select(F.xxhash64("bucket", "other").alias("bucket"), "node")
-    grouped = with_centre(twice, what)
-    stars = unsettled(grouped, roots, what).where("root <> main").select(*ordered("node", "centre")).distinct()
-    found = found.union(written(verify(stars), what))
-    roots = written(components(found), what + "-roots")
-    found = found.union(written(verify(pairs_between(unsettled(grouped, roots, what))), what))
-    return written(components(found), what + "-roots")
+    # the centre has met everyone
+    left, count = unsettled(grouped.where("node <> centre").select("bucket", "node", "n", "score"), roots, what), HEADS
+    while not left.isEmpty():
+        large = left.where(f"n > {SMALL}")
+        heads = written(heads_of(large, count), what + "-heads")
+        pairs = pairs_with(large, heads)
+        if count == HEADS:
+            pairs = pairs.union(pairs_within(left.where(f"n <= {SMALL}")))
+        found = written(verify(pairs.distinct()), what)
+        roots = written(components(found.union(roots.select(*ordered("node", "root")))), what + "-roots")
+        rest = large.join(heads.select("bucket", F.col("head").alias("node")), ["bucket", "node"], "left_anti")
+        left, count = unsettled(rest, roots, what), count * MORE
+    return roots
 
 
 def components(edges: DataFrame) -> DataFrame:
