@@ -288,3 +288,15 @@ def test_url_rules(spark):
     } <= got
     assert url_rules.filter_urls(pages, known.limit(0), rules).count() == len(urls)
     assert url_rules.filter_urls(pages.limit(0), known, rules).count() == 0
+
+
+def test_url_rules_take_all_segments_and_query_names(spark):
+    """The deciding token comes after many that all URLs have; a part of a mined template is enough for its rule."""
+    long, many = "/".join("abcdefghijklmnopqrst"), "&".join(f"n{c}=1" for c in "abcdefghijklmnopqrst")
+    urls = [f"http://x.net/{long}/{'win/big' if i < 20 else 'news'}" for i in range(40)]
+    urls += [f"http://y.net/s?{many}&{'spin' if i < 20 else 'read'}=1" for i in range(40)]
+    labels = [(i, i % 40 < 20) for i in range(80)]
+    urls += ["http://z.org/1/2/3/4/5/6/big", "http://z.org/?a&b&c&d&e&f&g&spin=9", "http://z.org/1/2/3/4/5/6/news"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_rules.filter_urls(pages, spark.createDataFrame(labels, "page_id long, blocked boolean"), []).collect()}
+    assert got == {i: "block" if blocked else "allow" for i, blocked in labels} | {80: "block", 81: "block", 82: "allow"}

@@ -2,8 +2,10 @@
 
 Given (host, path) rules come first.  For all other URLs, FP-growth mines the combinations of host
 labels, path segments and query names that go along with a label, pruned by support and confidence.
-Each mined rule is indexed under its rarest token; the tokens of a URL look their rules up there, the
-rest of a rule's tokens is then tested, and the most confident rule decides, else ``allow``.
+All tokens of a URL count.  Tokens that the same labelled URLs have are one item to the miner, as any
+of them gives a rule the same support and confidence; this keeps the combinations of long URLs few.
+Each mined rule is indexed under its rarest item; the tokens of a URL look their rules up there, the
+rest of a rule's items is then tested, and the most confident rule decides, else ``allow``.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path and no tokens; of
 rules that are equally confident, block wins; without labelled URLs nothing is mined; rows that
@@ -21,10 +23,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 SUPPORT, CONFIDENCE = 0.002, 0.5
-#: Path segments and query names of a URL that are tokens.
-SEGMENTS, NAMES = 6, 6
 LABEL = "label="
-RULES = "antecedent array<string>, verdict string, confidence double, key string"
+RULES = "antecedent array<array<string>>, verdict string, confidence double, key string"
 
 
 def host_and_path(url) -> tuple[F.Column, F.Column]:
@@ -52,34 +52,54 @@ def tokens(url, host, path) -> F.Column:
     plain = lambda text: F.regexp_replace(F.lower(text), "[0-9]+", "0")
     given = lambda values: F.filter(values, lambda v: v != "")
     labels = F.transform(given(F.split(host, "\\.")), lambda v: F.concat(F.lit("h:"), plain(v)))
-    segments = F.transform(F.slice(given(F.split(path, "/")), 1, SEGMENTS), lambda v: F.concat(F.lit("p:"), plain(v)))
+    segments = F.transform(given(F.split(path, "/")), lambda v: F.concat(F.lit("p:"), plain(v)))
     query = F.regexp_extract(F.coalesce(url, F.lit("")), "^[^?#]*\\?([^#]*)", 1)
-    names = F.transform(F.slice(given(F.split(query, "&")), 1, NAMES), lambda v: F.concat(F.lit("q:"), plain(F.substring_index(v, "=", 1))))
+    names = F.transform(given(F.split(query, "&")), lambda v: F.concat(F.lit("q:"), plain(F.substring_index(v, "=", 1))))
     return F.array_distinct(F.concat(labels, segments, names))
 
 
+def alike(baskets: DataFrame, least: float) -> DataFrame:
+    """(item, tokens): tokens of at least ``least`` of the (basket, tokens, label), those of the same baskets together."""
+    at = F.xxhash64("basket")
+    sets = baskets.select("basket", F.explode("tokens").alias("token")).groupBy("token").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(at).alias("x"), F.bit_xor(F.xxhash64(at)).alias("y")
+    )
+    return sets.where(F.col("n") >= least).groupBy("n", "x", "y").agg(F.min("token").alias("item"), F.sort_array(F.collect_list("token")).alias("tokens")).select("item", "tokens")
+
+
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """Rules of (tokens, blocked): antecedent, verdict, confidence and the key that indexes them."""
+    """Rules of (tokens, blocked): antecedent, verdict, confidence and the key that indexes them.
+
+    An antecedent is a list of items, each the tokens of which a URL needs one.
+    """
     label = F.when(F.col("blocked"), LABEL + "block").otherwise(LABEL + "allow")
-    baskets = written(labelled.where("size(tokens) > 0").select(F.concat("tokens", F.array(label)).alias("items")), "baskets")
-    if baskets.isEmpty():
+    given = labelled.where("size(tokens) > 0").select(F.monotonically_increasing_id().alias("basket"), "tokens", label.alias("label"))
+    baskets = written(given, "baskets")
+    total = baskets.count()
+    if not total:
         return labelled.sparkSession.createDataFrame([], RULES)
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
+    items = written(alike(baskets, support * total), "items")
+    own = baskets.select("basket", "label", F.explode("tokens").alias("item")).join(items.select("item"), "item")
+    own = own.groupBy("basket").agg(F.collect_list("item").alias("found"))
+    met = baskets.select("basket", "label").join(own, "basket", "left")
+    reduced = written(met.select(F.concat(F.coalesce("found", F.array().cast("array<string>")), F.array("label")).alias("items")), "baskets")
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(reduced)
     found = model.associationRules.where(
         F.col("consequent")[0].startswith(LABEL) & ~F.exists("antecedent", lambda t: t.startswith(LABEL))
     ).select(F.monotonically_increasing_id().alias("rule"), "antecedent", F.substring(F.col("consequent")[0], len(LABEL) + 1, 99).alias("verdict"), "confidence")
     found = written(found, "mined")
-    single = model.freqItemsets.where("size(items) = 1").select(F.col("items")[0].alias("token"), "freq")
-    rarest = found.select("rule", F.explode("antecedent").alias("token")).join(single, "token")
-    keyed = rarest.groupBy("rule").agg(F.min_by("token", F.struct("freq", "token")).alias("key"))
-    return written(found.join(keyed, "rule").select("antecedent", "verdict", "confidence", "key"), "rules")
+    single = model.freqItemsets.where("size(items) = 1").select(F.col("items")[0].alias("item"), "freq")
+    each = found.select("rule", F.explode("antecedent").alias("item")).join(single, "item").join(items, "item")
+    keyed = each.groupBy("rule").agg(F.collect_list("tokens").alias("sets"), F.min_by("tokens", F.struct("freq", "item")).alias("keys"))
+    rules = found.drop("antecedent").join(keyed, "rule")
+    return written(rules.select(F.col("sets").alias("antecedent"), "verdict", "confidence", F.explode("keys").alias("key")), "rules")
 
 
 def judge(urls: DataFrame, mined: DataFrame) -> DataFrame:
     """(tokens, judged) for each different token set that a mined rule fits."""
     sets = urls.select("tokens").distinct()
     met = sets.select("tokens", F.explode("tokens").alias("key")).join(mined, "key")
-    fits = met.where(F.size(F.array_intersect("antecedent", "tokens")) == F.size("antecedent"))
+    fits = met.where(F.forall("antecedent", lambda item: F.arrays_overlap(item, F.col("tokens"))))
     best = F.max_by("verdict", F.struct("confidence", "verdict"))  # "block" sorts after "allow"
     return fits.groupBy("tokens").agg(best.alias("judged"))
 
