@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+from tidewell.llm.common import Scratch
 from tidewell.llm import bpe, exact_dedup, language, line_dedup, linking, near_dedup, packing, pseudonyms, url_rules, vectors, warc
 
 VOCAB, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -72,10 +73,10 @@ def test_trie_spills_by_subtree(limit):
 
 def test_near_dedup_equals_brute_force(docs):
     table = near_dedup.weights_table(docs)
-    vocabulary, texts = near_dedup.Vocabulary(table), {}
+    idf, texts = near_dedup.Idf(*table), {}
     for r in docs.select("doc_id", "text").collect():
         texts.setdefault(r.text or "", []).append(r.doc_id)
-    sets, parent = {t: near_dedup.shingles(vocabulary, t) for t in texts}, {t: t for t in texts}
+    sets, parent = {t: near_dedup.shingles(idf, t) for t in texts}, {t: t for t in texts}
 
     def top(t):
         while parent[t] != t:
@@ -112,7 +113,8 @@ def test_large_buckets_of_many_families_lose_no_link(spark):
     """Members meet in large buckets only, and only neighbours of a family are similar."""
     rows = [(b, node) for b in (1, 2) for node in range(90)] + [(3, node) for node in range(0, 90, 7)] + [(4, 5), (4, 200)]
     verify = lambda pairs: pairs.where("a div 3 = b div 3 AND b - a = 1 OR b = 200")
-    got = {r.node: r.root for r in linking.linked(spark.createDataFrame(rows, "bucket long, node long"), verify, "test").collect()}
+    members = spark.createDataFrame(rows, "bucket long, node long")
+    got = {r.node: r.root for r in linking.linked(members, lambda nodes: verify, Scratch(spark), "test").collect()}
     assert got == {node: node // 3 * 3 for node in range(90)} | {200: 3}
 
 

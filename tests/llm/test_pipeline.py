@@ -54,8 +54,8 @@ def test_pipeline_equals_brute_force(spark, tables):
     rows = list(exact.values())
 
     kept = spark.createDataFrame(rows, "doc_id long, text string")
-    vocabulary = near_dedup.Vocabulary(near_dedup.weights_table(kept))
-    sets, parent = {i: near_dedup.shingles(vocabulary, t) for i, t in rows}, {i: i for i, _ in rows}
+    idf = near_dedup.Idf(*near_dedup.weights_table(kept))
+    sets, parent = {i: near_dedup.shingles(idf, t) for i, t in rows}, {i: i for i, _ in rows}
 
     def top(i):
         while parent[i] != i:

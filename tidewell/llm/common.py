@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows that one array of ``repeat_rows`` may hold.
 REPEAT_BLOCK = 4096
-#: Rows of texts that a Python worker holds at once.
-BATCH_ROWS = 1000
+#: Rows and bytes of texts that a Python worker gets at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,20 +20,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Rows of texts go to Python workers in batches of less memory than the default ones."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > BATCH_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
+    """From now on rows go to the session's Python workers in batches of no more than these rows and bytes.
+
+    The settings hold for the session, as they are read only when a query runs; smaller ones stay.
+    """
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = str(spark.conf.get(key)).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, most)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is what the cluster names in ``spark.checkpoint.dir``; only where that is unset, as in local
-    tests, a temporary folder takes its place.
+    It is what the cluster names in ``spark.checkpoint.dir``; only where that is unset and all tasks
+    run in this process, as in local tests, a temporary folder takes its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-shared-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)
@@ -44,18 +51,38 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it again."""
-    spark = df.sparkSession
-    path = fresh_path(spark, what)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).keep(df, what)
+
+
+class Scratch:
+    """An operator's tables in the shared folder; each goes as soon as nothing reads it any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.tables: list[tuple[DataFrame, str]] = []
 
+    def keep(self, df: DataFrame, what: str) -> DataFrame:
+        path = fresh_path(self.spark, what)
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((out, path))
+        return out
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a small table inside a loop; the files go with the reference."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    def drop(self, *tables: DataFrame) -> None:
+        for table, path in self.tables:
+            if any(table is t for t in tables):
+                remove(self.spark, path)
+        self.tables = [(t, p) for t, p in self.tables if not any(t is x for x in tables)]
+
+    def drop_all_but(self, *tables: DataFrame) -> None:
+        self.drop(*(t for t, _ in self.tables if not any(t is x for x in tables)))
 
 
 def text_key(col) -> F.Column:
@@ -77,20 +104,24 @@ def repeat_rows(df: DataFrame, times: str, ordinal: str) -> DataFrame:
     )
 
 
+def whole(docs: DataFrame, **more: F.Column) -> DataFrame:
+    """Each row as one struct, ``row``, so that columns of any name meet no others; and the columns ``more``."""
+    return docs.select(F.struct("*").alias("row"), *(c.alias(name) for name, c in more.items()))
+
+
+def named(docs: DataFrame, name: str) -> F.Column:
+    """A column by its plain name, dots included."""
+    return F.col(f"`{name}`")
+
+
 def keep_rows(docs: DataFrame, decisions: DataFrame, key: F.Column) -> DataFrame:
     """The rows of ``docs`` that ``decisions`` (doc_id, key, times) keeps, each once.
 
     ``key`` is the text key of a row of ``docs``.  Rows that repeat a kept ``doc_id`` and key are
     reduced to one; only those rows pass through the extra aggregation.
     """
-    names = docs.columns
-    kept = decisions.select(
-        F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("times").alias("__times")
-    )
-    tagged = docs.withColumn("__text_key", key)
-    found = tagged.join(
-        kept, tagged["doc_id"].eqNullSafe(kept["__id"]) & (tagged["__text_key"] == kept["__key"]), "inner"
-    )
-    single = found.where("__times = 1").select(*names)
-    several = found.where("__times > 1").dropDuplicates(["__id", "__key"]).select(*names)
-    return single.unionByName(several)
+    tagged = whole(docs, id=F.col("doc_id").cast("long"), text_key=key)
+    found = tagged.join(decisions, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("text_key") == F.col("key")), "inner")
+    single = found.where("times = 1").select("row.*")
+    several = found.where("times > 1").dropDuplicates(["id", "text_key"]).select("row.*")
+    return single.union(several)

@@ -1,15 +1,21 @@
 """Operator 3, line dedup: near-equal lines by MinHash over character shingles, with Spark functions only.
 
-The different lines go to a table that is bucketed by line key, so the signatures and the later
-comparison of texts need no further shuffle of it.  The signature of a line takes all its shingles of
-``WIDTH`` characters; each of its values is the smallest under another hash function, bands of ``ROWS``
-values are the buckets, and every candidate pair is verified by the exact Jaccard similarity of the
-sets of all shingles of both lines.  One line of each component stays, the first by (doc_id, line_no).
+The different lines go to a table that is bucketed by line key, so neither the signatures nor the
+comparison of texts shuffles them.  A shingle is ``WIDTH`` characters, as UTF-16 counts them.  A
+signature has ``BANDS`` x ``ROWS`` values: value i is the smallest of the shingles' hashes xor a
+constant whose leading bits are i, so each value looks at another part of the hashes and two lines
+agree on it with the probability of their Jaccard similarity.  In a line of more than ``ENOUGH``
+shingles only those nearest to such a constant are followed, about ``ENOUGH`` of them; the smallest
+is all but surely among them.  Lines that repeat themselves, which shows in few different values, are
+followed whole.  Bands of values are the buckets; a pair that may be similar by its samples, one byte
+of each value, is verified by the exact Jaccard similarity of the sets of all shingles (as 64-bit
+hashes) of both lines.  Of each component the first line by (doc_id, line_no) stays.
 
 Defined results: lines are what ``\\n`` separates; lines of white space alone, and null or empty texts,
-have no duplicates and stay; lines shorter than a shingle are one shingle; a null ``doc_id`` comes
-after all others; of occurrences that agree in ``doc_id`` and ``line_no`` (repeated rows) all share the
-decision; other columns are carried through by ``deduplicate``.
+have no duplicates and stay; lines shorter than a shingle are one shingle; lines of any length are
+taken whole; a null ``doc_id`` comes after all others; of occurrences that agree in ``doc_id`` and
+``line_no`` (repeated rows) all share the decision; an empty table gives an empty result; other columns,
+of whatever name, are carried through by ``deduplicate``.
 """
 
 from __future__ import annotations
@@ -19,20 +25,32 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, shared_dir, text_key, written
-from .linking import linked
+from .common import Scratch, fresh_path, named, remove, shared_dir, text_key, whole
+from .linking import agreeing, linked
 
 WIDTH = 12
 SIMILARITY = 0.8
-#: Two lines at the threshold meet in a bucket with a chance of 1 - (1 - 0.8 ** 3) ** 7 = 0.993, at 0.85 of 0.999.
-BANDS, ROWS = 7, 3
-#: Every shingle, without moving on.
-OVERLAPPING = f"(?s)(?=(.{{{WIDTH}}}))"
+#: Two lines at the threshold meet in a bucket with a chance of 1 - (1 - 0.8 ** 3) ** 8 = 0.997, at 0.85 of 0.9997.
+BANDS, ROWS = 8, 3
+VALUES = BANDS * ROWS
+#: Leading bits of a hash that name the value it is nearest to.
+LEAD = 5
+#: Shingles followed of a long line, and different values below which it is followed whole.
+ENOUGH, VARIED = 128, 20
+#: Lines of as many shingles are compared only if so many samples agree, four deviations below the threshold's mean.
+SAMPLED, LEAST = 32, 12
+#: Of the pairs that are left, a sketch of each line, every ``SKETCH``-th shingle by its hash, rules out those that
+#: lie ``SLACK`` deviations below the threshold; where the sketches have fewer than ``SKETCHED`` shingles it rules out none.
+SKETCH, SLACK, SKETCHED = 4, 4.5, 60
+#: How many shingles a line has whose UTF-16 bytes are ``u``.
+SHINGLES = f"cast(greatest(length(u) div 2 - {WIDTH - 1}, 1) AS INT)"
+#: Text that one bucket of the line table holds, more or less.
+BUCKET_BYTES = 64 << 20
 
 
 def occurrences(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, line_no, line) for lines that are not blank; line_no from 0."""
-    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "line"))
+    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(named(docs, text), "\n", -1)).alias("line_no", "line"))
     return cut.where(F.col("line").rlike("\\S"))
 
 
@@ -41,69 +59,129 @@ def place() -> F.Column:
     return F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "line_no")
 
 
-def line_table(docs: DataFrame, text: str = "text") -> DataFrame:
+class LineTable:
     """(key, line, first, number): each different line once, bucketed by key.
 
     ``number`` is a short identifier that is unique within the table.
     """
-    spark = docs.sparkSession
-    shared_dir(spark)
-    marked = occurrences(docs, text).withColumn("key", text_key(F.col("line")))
-    different = marked.groupBy("key").agg(F.first("line").alias("line"), F.min(place()).alias("first"))
-    name, path = f"lines_{uuid.uuid4().hex}", fresh_path(spark, "lines")
-    numbered = different.withColumn("number", F.monotonically_increasing_id())
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    numbered.write.option("compression", "zstd").option("path", path).bucketBy(buckets, "key").saveAsTable(name)
-    return spark.table(name)
-
-
-def signatures(lines: DataFrame) -> DataFrame:
-    """(number, key, bands, samples) of each line of the bucketed table; ``samples`` packs a byte of each value."""
-    every = F.regexp_extract_all("line", F.lit(OVERLAPPING), F.lit(1))
-    cut = F.when(F.length("line") >= WIDTH, every).otherwise(F.array("line"))
-    rows = lines.select("key", "number", F.explode(cut).alias("shingle")).select("key", "number", F.xxhash64("shingle").alias("h"))
-    values = [F.min(F.xxhash64("h", F.lit(i))).alias(f"v{i}") for i in range(BANDS * ROWS)]
+
+    def __init__(self, docs: DataFrame, text: str):
+        self.spark = docs.sparkSession
+        shared_dir(self.spark)
+        marked = occurrences(docs, text).withColumn("key", text_key(F.col("line")))
+        different = marked.groupBy("key").agg(F.first("line").alias("line"), F.min(place()).alias("first"))
+        numbered = different.withColumn("number", F.monotonically_increasing_id())
+        held = docs.agg(F.sum(F.octet_length(named(docs, text)))).first()[0] or 0
+        buckets = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-held // BUCKET_BYTES))
+        self.name, self.path = f"lines_{uuid.uuid4().hex}", fresh_path(self.spark, "lines")
+        numbered.write.option("compression", "zstd").option("path", self.path).bucketBy(buckets, "key").saveAsTable(self.name)
+        self.rows = self.spark.table(self.name)
+        #: The same rows without their buckets, for joins whose sides Spark may split.
+        self.loose = self.spark.read.schema(self.rows.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE {self.name}")
+        remove(self.spark, self.path)
+
+
+def signatures(lines: DataFrame, follow_all: bool) -> DataFrame:
+    """(key, number, n, varied, bands, samples) of each line; ``samples`` packs a byte of each value."""
+    rows, limit = hashed(lines, "key", "number"), 1 << (64 - LEAD)
+    if not follow_all:
+        # what is nearest to no value's constant never is the smallest of a long line
+        near = f"(h & {limit - 1}L) < {limit}L div n * {ENOUGH} AND shiftrightunsigned(h, {64 - LEAD}) < {VALUES}"
+        rows = rows.where(f"i = 0 OR n <= {ENOUGH} OR ({near})")
+    # longs are signed: with the first bit turned they are in the order of their bits
+    at = [(i << (64 - LEAD)) - (1 << 63) for i in range(VALUES)]
+    values = rows.groupBy("key", "number", "n").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"v{i}") for i, c in enumerate(at)))
+    varied = F.size(F.array_distinct(F.array(*(F.col(f"v{i}").bitwiseXOR(F.lit(c)) for i, c in enumerate(at)))))
     bands = [F.xxhash64(F.lit(b), *(f"v{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)]
     samples = [" | ".join(f"shiftleft(v{b * ROWS + r} & 255L, {8 * b})" for b in range(BANDS)) for r in range(ROWS)]
-    return rows.groupBy("key").agg(F.min("number").alias("number"), *values).select("number", "key", F.array(*bands).alias("bands"), *(F.expr(s).alias(f"s{r}") for r, s in enumerate(samples)))
+    return values.select("key", "number", "n", varied.alias("varied"), F.array(*bands).alias("bands"), *(F.expr(s).alias(f"s{r}") for r, s in enumerate(samples)))
+
+
+def alike(x, y) -> F.Column:
+    """May lines of these profiles be similar?  Those of few shingles always may."""
+    agree = sum((agreeing(x(f"s{r}"), y(f"s{r}")) for r in range(ROWS)), F.lit(0))
+    return (F.least(x("n"), y("n")) < SAMPLED) | (agree >= LEAST)
+
+
+def near_by_sketch(x: F.Column, y: F.Column, threshold: float) -> F.Column:
+    """May the lines of two sketches reach the threshold?"""
+    both = F.size(x) + F.size(y)
+    deviation = F.sqrt(threshold * (1 - threshold) * (1 + threshold) / both)
+    least = threshold - SLACK * deviation
+    return (both < SKETCHED) | (F.size(F.array_intersect(x, y)) >= least / (1 + least) * both)
 
 
-def verifier(lines: DataFrame, marked: DataFrame, threshold: float):
-    """Keeps the pairs (a, b) of line numbers whose shingle sets reach the threshold."""
+def similar(s: str, t: str, threshold: float) -> F.Column:
+    """Do the sets of all shingles of two lines reach the threshold?"""
 
     def shingle_set(line: str) -> F.Column:
-        every = F.regexp_extract_all(line, F.lit(OVERLAPPING), F.lit(1))
-        return F.array_distinct(F.when(F.length(line) >= WIDTH, every).otherwise(F.array(line)))
-
-    def similar(s: str, t: str) -> F.Column:
-        """Sets and their intersection are arguments of functions: a filter on columns would compute them anew for each use."""
-        sets = F.array(F.struct(shingle_set(s).alias("x"), shingle_set(t).alias("y")))
-        shared = F.transform(sets, lambda p: F.struct(F.size(F.array_intersect(p["x"], p["y"])).alias("both"), (F.size(p["x"]) + F.size(p["y"])).alias("all")))
-        return F.exists(shared, lambda p: p["both"] >= threshold * (p["all"] - p["both"]))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        names = ["key", *(f"s{r}" for r in range(ROWS))]
-        one, two = (marked.select(F.col("number").alias(p), *(F.col(c).alias(p + c) for c in names)) for p in ("a", "b"))
-        agree = " + ".join(f"int((shiftright(as{r} ^ bs{r}, {8 * i}) & 255L) = 0L)" for r in range(ROWS) for i in range(BANDS))
-        # most candidates differ widely, and their samples tell: far below the threshold they agree on
-        near = pairs.join(one, "a").join(two, "b").where(F.expr(agree) >= threshold / 2 * BANDS * ROWS).select("a", "b", "akey", "bkey")
-        left = near.join(lines.select(F.col("key").alias("akey"), F.col("line").alias("s")), "akey")
-        near = left.join(lines.select(F.col("key").alias("bkey"), F.col("line").alias("t")), "bkey")
-        return near.where(similar("s", "t")).select("a", "b")
-
-    return verify
-
-
-def decisions(docs: DataFrame, text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
-    """(key, class_first): for each different line the first occurrence of its class."""
-    lines = line_table(docs, text)
-    marked = written(signatures(lines), "line-signatures")
-    members = marked.select(F.explode("bands").alias("bucket"), F.col("number").alias("node"))
-    roots = linked(members, verifier(lines, marked, threshold), "line-links")
-    placed = lines.select("number", "key", "first").join(roots.select(F.col("node").alias("number"), "root"), "number", "left")
-    least = placed.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("least"))
-    out = placed.join(least, "root", "left")
-    return out.select("key", F.coalesce("least", "first").alias("class_first"))
+        each = f"transform(sequence(1, 2 * {SHINGLES} - 1, 2), i -> xxhash64(substring(u, i, {2 * WIDTH})))"
+        return F.array_distinct(F.flatten(F.expr(f"transform(array(encode({line}, 'UTF-16BE')), u -> {each})")))
+
+    # sets and their intersection are arguments of functions: a filter on columns would compute them anew for each use
+    sets = F.array(F.struct(shingle_set(s).alias("x"), shingle_set(t).alias("y")))
+    shared = F.transform(sets, lambda p: F.struct(F.size(F.array_intersect(p["x"], p["y"])).alias("both"), (F.size(p["x"]) + F.size(p["y"])).alias("all")))
+    return F.exists(shared, lambda p: p["both"] >= threshold * (p["all"] - p["both"]))
+
+
+def hashed(lines: DataFrame, *names: str) -> DataFrame:
+    """A row for each shingle of each line, with its hash ``h``."""
+    rows = lines.select(*names, F.encode("line", "UTF-16BE").alias("u")).withColumn("n", F.expr(SHINGLES))
+    each = rows.withColumn("i", F.explode(F.expr("sequence(0, n - 1)")))
+    return each.select(*names, "n", "i", F.expr(f"xxhash64(substring(u, 2 * i + 1, {2 * WIDTH}))").alias("h"))
+
+
+def verifier(lines: LineTable, marks: DataFrame, scratch: Scratch, threshold: float):
+    def begin(nodes: DataFrame):
+        """``nodes``: the numbers of the lines that share a bucket; their texts are fetched once."""
+        keys = scratch.keep(marks.select("number", "key").join(nodes.withColumnRenamed("node", "number"), "number"), "line-keys")
+        own = keys.hint("shuffle_hash").join(lines.rows.select("key", "line"), "key")
+        texts = scratch.keep(own.select("number", "line"), "line-texts")
+        some = hashed(own, "key", "number").where(f"(h & {SKETCH - 1}L) = 0").groupBy("key", "number").agg(F.collect_list("h").alias("sketch"))
+        sketches = scratch.keep(some.select("number", F.array_distinct("sketch").alias("sketch")), "line-sketches")
+        empty = F.array().cast("array<bigint>")
+        pool = scratch.keep(texts.join(sketches, "number", "left").withColumn("sketch", F.coalesce("sketch", empty)), "line-pool")
+        scratch.drop(keys, texts, sketches)
+
+        def verify(pairs: DataFrame) -> DataFrame:
+            one, two = (pool.select(F.col("number").alias(c), F.col("line").alias(t), F.col("sketch").alias(t + "k")) for c, t in (("a", "s"), ("b", "t")))
+            met = pairs.join(one, "a").join(two, "b")
+            # in this order: the sets of all shingles are costly
+            fits = F.when(near_by_sketch(F.col("sk"), F.col("tk"), threshold), similar("s", "t", threshold)).otherwise(False)
+            return met.where(fits).select(pairs.columns)
+
+        return verify
+
+    return begin
+
+
+def classes(docs: DataFrame, text: str, threshold: float, scratch: Scratch) -> DataFrame:
+    """(doc_id, line_no, class_first) of each occurrence: the first occurrence of its class."""
+    lines = LineTable(docs, text)
+    try:
+        first = scratch.keep(signatures(lines.rows, False), "line-signatures")
+        plain = f"n <= {ENOUGH} OR varied >= {VARIED}"
+        again = first.where(f"NOT ({plain})").select("key")
+        rest = scratch.keep(signatures(lines.rows.join(again.hint("shuffle_hash"), "key", "left_semi"), True), "line-signatures")
+        marks = first.where(plain).union(rest)
+        members = marks.select(F.explode(F.array_distinct("bands")).alias("bucket"), F.col("number").alias("node"))
+        profiles = marks.select(F.col("number").alias("node"), "n", *(f"s{r}" for r in range(ROWS)))
+        roots = linked(members, verifier(lines, marks, scratch, threshold), scratch, "lines", profiles, alike)
+        # only lines of classes of several need another first occurrence than their own
+        several = scratch.keep(lines.loose.select("number", "key", "first").join(roots.withColumnRenamed("node", "number"), "number"), "line-classes")
+        least = scratch.keep(several.groupBy("root").agg(F.min("first").alias("least")), "line-firsts")
+        named_by = scratch.keep(several.join(least, "root").select("key", "least"), "line-names")
+        own = lines.loose.select("key", "first").join(named_by, "key", "left").select("key", F.coalesce("least", "first").alias("class_first"))
+        firsts = scratch.keep(own, "line-decisions")
+        placed = occurrences(docs, text).select("doc_id", "line_no", text_key(F.col("line")).alias("key"))
+        out = scratch.keep(placed.join(firsts, "key").drop("key"), "line-places")
+    finally:
+        lines.drop()
+    scratch.drop_all_but(out)
+    return out
 
 
 def line_classes(docs: DataFrame, text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
@@ -111,8 +189,7 @@ def line_classes(docs: DataFrame, text: str = "text", threshold: float = SIMILAR
 
     The class is named by its first occurrence, the one that stays.
     """
-    marked = occurrences(docs, text).select("doc_id", "line_no", text_key(F.col("line")).alias("key"))
-    out = marked.join(decisions(docs, text, threshold), "key")
+    out = classes(docs, text, threshold, Scratch(docs.sparkSession))
     first = F.col("class_first")
     return out.select(
         "doc_id",
@@ -125,12 +202,10 @@ def line_classes(docs: DataFrame, text: str = "text", threshold: float = SIMILAR
 
 def deduplicate(docs: DataFrame, text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """All rows and columns, with the duplicate lines taken out of the text."""
-    names = docs.columns
-    gone = line_classes(docs, text, threshold).where("NOT kept").select(F.col("doc_id").alias("__id"), "line_no")
+    gone = line_classes(docs, text, threshold).where("NOT kept").select(F.col("doc_id").alias("gone_id"), "line_no")
     # line numbers of one document, each once: no more than its own lines
-    per_doc = gone.groupBy("__id").agg(F.collect_set("line_no").alias("__gone"))
-    met = docs.join(per_doc, docs["doc_id"].eqNullSafe(per_doc["__id"]), "left")
-    lines = F.split(F.col(text), "\n", -1)
-    kept = F.filter(lines, lambda line, i: ~F.array_contains(F.coalesce("__gone", F.array().cast("array<int>")), i))
-    shorter = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    return met.select(*[shorter.alias(c) if c == text else F.col(f"`{c}`") for c in names])
+    per_doc = gone.groupBy("gone_id").agg(F.collect_set("line_no").alias("gone"))
+    met = whole(docs, id=F.col("doc_id").cast("long"), own=named(docs, text)).join(per_doc, F.col("id").eqNullSafe(F.col("gone_id")), "left")
+    kept = F.filter(F.split("own", "\n", -1), lambda line, i: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), i))
+    shorter = F.when(F.col("gone").isNull(), F.col("own")).otherwise(F.array_join(kept, "\n"))
+    return met.select(*(shorter.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -1,13 +1,19 @@
-"""Components from buckets: links between members, and union-find over them, as distributed jobs.
-
-Pairs inside a bucket are not all written out.  Every member is paired with the centre of its bucket,
-the member that shares most with others over all its buckets.  From then on only pairs of different
-components count, as all others cannot change a class: buckets of at most ``SMALL`` members give all
-of them, and larger ones go through rounds.  In a round some members of a bucket, its heads, each from
-another component, are paired with all members of other components; they have then met everyone and
-leave the bucket, which is done when the rest is one component.  So each pair of a bucket is in one
-component or has been verified.  The pairs of a large bucket grow with its members times its
-components, with the square only where its members are all apart.
+"""Classes from buckets: which members are linked, and union-find over the links, as distributed jobs.
+
+Members of a bucket may be similar; ``alike`` tells cheaply, from the samples in their profiles, which
+pairs can't be, and ``verify`` decides.  Only pairs of different components count, as all others
+cannot change a class.  That takes three steps:
+
+1. every member meets the centre of its bucket, the member that shares most with others over all its
+   buckets;
+2. in buckets that still hold several components, members of others meet up to ``SECONDS`` more of the
+   largest;
+3. what is left meets pairwise: each bucket is dealt into blocks of about ``BLOCK`` members, and each
+   pair of blocks is a row group of its own.
+
+So every pair of a bucket is in one component, or ruled out by its samples, or verified.  The first two
+steps grow with the members; the third with the square only of the members of a bucket that stay apart,
+and it writes out only pairs that pass their samples.
 """
 
 from __future__ import annotations
@@ -17,104 +23,183 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, written
+from .common import Scratch
 
-#: Buckets up to this size give all pairs: at most half as many pairs as this for each member.
-SMALL = 12
-#: Heads of a large bucket in the first round; each round has ``MORE`` times as many as the one before.
-HEADS, MORE = 4, 4
-#: Parts into which the members of a large bucket are dealt.
-SALTS = 16
+#: Members of a bucket's largest component that step 2 compares with the others.
+SECONDS = 4
+#: Members of a bucket that one block of step 3 holds.
+BLOCK = 256
+#: So few links are joined in one task, which is quicker; more are dealt out.
+FEW = 10_000
 
+Alike = Callable[[Callable[[str], F.Column], Callable[[str], F.Column]], F.Column]
+Verify = Callable[[DataFrame], DataFrame]
 
-def ordered(one, two) -> list:
-    return [F.least(one, two).alias("a"), F.greatest(one, two).alias("b")]
 
+def always(x, y) -> F.Column:
+    return F.lit(True)
 
-def with_centre(members: DataFrame, what: str) -> DataFrame:
-    """(bucket, node, n, score, centre) for buckets of two members or more."""
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = written(members.join(sizes, "bucket"), what + "-buckets")
-    scored = shared.join(shared.groupBy("node").agg(F.sum("n").alias("score")), "node")
-    centres = scored.groupBy("bucket").agg(F.max_by("node", F.struct("score", "node")).alias("centre"))
-    return written(scored.join(centres, "bucket"), what + "-grouped")
 
+def ordered(one: str, two: str, its_root: str | None = None, other_root: str | None = None) -> list[F.Column]:
+    """The pair (a, b) with a < b, and the roots (ra, rb) of both."""
+    first = F.col(one) < F.col(two)
+    out = [F.least(one, two).alias("a"), F.greatest(one, two).alias("b")]
+    if its_root:
+        out += [F.when(first, F.col(its_root)).otherwise(F.col(other_root)).alias("ra"), F.when(first, F.col(other_root)).otherwise(F.col(its_root)).alias("rb")]
+    return out
 
-def unsettled(members: DataFrame, roots: DataFrame, what: str) -> DataFrame:
-    """``members`` with the component of each node, for buckets of several components."""
-    own = written(members.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), what + "-own")
-    ends = own.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    return written(own.join(ends.where("low <> high").select("bucket"), "bucket", "left_semi"), what + "-open")
 
+def agreeing(x: F.Column, y: F.Column) -> F.Column:
+    """How many of the eight bytes of two longs are the same."""
+    differ = x.bitwiseXOR(y)
+    for by in (4, 2, 1):  # the lowest bit of each byte collects its others
+        differ = differ.bitwiseOR(F.shiftrightunsigned(differ, by))
+    return 8 - F.bit_count(differ.bitwiseAND(F.lit(0x0101010101010101)))
 
-def pairs_within(small: DataFrame) -> DataFrame:
-    """(a, b): all pairs of different components."""
-    other = small.select("bucket", F.col("node").alias("peer"), F.col("root").alias("its"))
-    return small.join(other, "bucket").where("node < peer AND root <> its").select(*ordered("node", "peer"))
 
+class Linking:
+    """One run over (bucket long, node), each once.
 
-def heads_of(large: DataFrame, count: int) -> DataFrame:
-    """(bucket, head, its): of up to ``count`` components of each bucket, the largest first, a member."""
-    each = large.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("size"), F.max_by("node", F.struct("score", "node")).alias("head"))
-    order = Window.partitionBy("bucket").orderBy(F.desc("size"), F.xxhash64("root"), "root")
-    return each.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= count).select("bucket", "head", F.col("root").alias("its"))
-
-
-def pairs_with(large: DataFrame, heads: DataFrame) -> DataFrame:
-    """(a, b): each head with the members of other components."""
-    dealt = large.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
-    spread = heads.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return dealt.join(spread, ["bucket", "salt"]).where("root <> its").select(*ordered("node", "head"))
-
-
-def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], what: str) -> DataFrame:
-    """(node, root) for every node that a chain of verified links connects to another.
-
-    ``members``: (bucket long, node), each once.  ``verify`` keeps the pairs (a, b) that are similar.
+    ``profiles``: (node, …), what ``alike`` needs of each node.  ``verifier`` gets the nodes that share
+    a bucket with others and returns ``verify``, which keeps the rows (a, b, …) of similar pairs.
     """
-    grouped = with_centre(members, what)
-    found = written(verify(grouped.where("node <> centre").select(*ordered("node", "centre")).distinct()), what)
-    roots = written(components(found), what + "-roots")
-    # the centre has met everyone
-    left, count = unsettled(grouped.where("node <> centre").select("bucket", "node", "n", "score"), roots, what), HEADS
-    while not left.isEmpty():
-        large = left.where(f"n > {SMALL}")
-        heads = written(heads_of(large, count), what + "-heads")
-        pairs = pairs_with(large, heads)
-        if count == HEADS:
-            pairs = pairs.union(pairs_within(left.where(f"n <= {SMALL}")))
-        found = written(verify(pairs.distinct()), what)
-        roots = written(components(found.union(roots.select(*ordered("node", "root")))), what + "-roots")
-        rest = large.join(heads.select("bucket", F.col("head").alias("node")), ["bucket", "node"], "left_anti")
-        left, count = unsettled(rest, roots, what), count * MORE
-    return roots
-
 
-def components(edges: DataFrame) -> DataFrame:
+    def __init__(self, scratch: Scratch, profiles: DataFrame | None, alike: Alike, what: str):
+        self.scratch, self.profiles, self.alike, self.what = scratch, profiles, alike, what
+        self.fields = [c for c in profiles.columns if c != "node"] if profiles is not None else []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        return self.scratch.keep(df, f"{self.what}-{name}")
+
+    def may_match(self) -> F.Column:
+        """``alike`` of a row's own fields and of those that begin with ``other_``."""
+        return self.alike(F.col, lambda name: F.col("other_" + name))
+
+    def as_other(self, df: DataFrame, *more: str) -> DataFrame:
+        return df.select("bucket", *(F.col(c).alias("other_" + c) for c in ("node", *more, *self.fields)))
+
+    def shared(self, members: DataFrame) -> DataFrame:
+        """(bucket, node, score, fields) of buckets of two members or more."""
+        sizes = self.keep(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
+        together = self.keep(members.join(sizes, "bucket"), "together")
+        nodes = together.groupBy("node").agg(F.sum("n").alias("score"))
+        if self.profiles is not None:
+            nodes = nodes.join(self.profiles, "node")
+        out = self.keep(together.select("bucket", "node").join(nodes, "node"), "shared")
+        self.scratch.drop(sizes, together)
+        return out
+
+    def open_buckets(self, members: DataFrame) -> DataFrame:
+        """The members, with their roots, of buckets that hold several components."""
+        ends = members.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+        several = self.keep(ends.where("low <> high").select("bucket"), "several")
+        out = self.keep(members.join(several, "bucket", "left_semi"), "open")
+        self.scratch.drop(several)
+        return out
+
+    def seconds(self, left: DataFrame) -> DataFrame:
+        """(bucket, node, …) of up to ``SECONDS`` members of each bucket's largest component."""
+        sizes = left.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+        largest = self.keep(sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("root")), "largest")
+        order = Window.partitionBy("bucket").orderBy(F.desc("score"), "node")
+        ranked = left.join(largest, ["bucket", "root"]).withColumn("nth", F.row_number().over(order))
+        out = self.keep(ranked.where(F.col("nth") <= SECONDS).drop("nth"), "seconds")
+        self.scratch.drop(largest)
+        return out
+
+    def block_pairs(self, left: DataFrame) -> DataFrame:
+        """(a, b, ra, rb) of all pairs of a bucket's members that may match."""
+        sizes = self.keep(left.groupBy("bucket").agg(F.expr(f"(count(1) + {BLOCK - 1}) div {BLOCK}").alias("blocks")), "blocks")
+        dealt = left.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")))
+        one = dealt.withColumn("i", F.col("own")).withColumn("j", F.explode(F.expr("sequence(own, blocks - 1)")))
+        two = dealt.withColumn("j", F.col("own")).withColumn("i", F.explode(F.expr("sequence(0L, own)")))
+        fields = ["node", "root", *self.fields]
+        two = two.select("bucket", "i", "j", *(F.col(c).alias("other_" + c) for c in fields))
+        met = one.select("bucket", "i", "j", *fields).join(two, ["bucket", "i", "j"])
+        apart = met.where("root <> other_root AND (i < j OR node < other_node)").where(self.may_match())
+        return apart.select(*ordered("node", "other_node", "root", "other_root"))
+
+    def run(self, members: DataFrame, verifier: Callable[[DataFrame], Verify]) -> DataFrame:
+        """(node, root) for every node that a chain of links connects to another; root is the smallest."""
+        keep, drop = self.keep, self.scratch.drop
+        shared = self.shared(members)
+        verify = verifier(shared.select("node").distinct())
+
+        best = F.max_by(F.struct("node", *self.fields), F.struct("score", "node")).alias("centre")
+        centres = keep(shared.groupBy("bucket").agg(best).select("bucket", *(F.col("centre")[c].alias("other_" + c) for c in ("node", *self.fields))), "centres")
+        near = shared.join(centres, "bucket").where("node <> other_node").where(self.may_match())
+        pairs = keep(near.select(*ordered("node", "other_node")).distinct(), "pairs")
+        found = keep(verify(pairs), "found")
+        roots = components(found, self.scratch, self.what)
+        # a centre has met its whole bucket
+        rest = shared.join(centres.select("bucket", "other_node"), "bucket").where("node <> other_node").drop("other_node")
+        left = self.open_buckets(rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        drop(shared, centres, pairs, found)
+
+        if not left.isEmpty():
+            seconds = self.seconds(left)
+            met = left.join(self.as_other(seconds, "root"), "bucket").where("root <> other_root").where(self.may_match())
+            left, roots = self.settle(left, roots, verify, met.select(*ordered("node", "other_node", "root", "other_root")), seconds)
+        if not left.isEmpty():
+            left, roots = self.settle(left, roots, verify, self.block_pairs(left), None)
+        drop(left)
+        return roots
+
+    def settle(self, left: DataFrame, roots: DataFrame, verify: Verify, pairs: DataFrame, done: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """Verify ``pairs`` and join their components; what is still open once the members ``done`` have left."""
+        pairs = self.keep(pairs.distinct(), "pairs")
+        found = self.keep(verify(pairs), "found")
+        joined = None
+        if not found.isEmpty():
+            joined = components(found.select(F.col("ra").alias("a"), F.col("rb").alias("b")), self.scratch, self.what)
+            tops = joined.select(F.col("node").alias("root"), F.col("root").alias("top"))
+            moved = roots.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+            # members that had no link so far are roots of their own
+            single = joined.join(roots.select("node"), "node", "left_anti")
+            before, roots = roots, self.keep(moved.union(single), "roots")
+            self.scratch.drop(before)
+        if done is not None:
+            rest = left.join(done.select("bucket", "node"), ["bucket", "node"], "left_anti")
+            if joined is not None:
+                rest = rest.join(tops, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
+            before, left = left, self.open_buckets(rest)
+            self.scratch.drop(before, done)
+        self.scratch.drop(pairs, found, *([joined] if joined is not None else []))
+        return left, roots
+
+
+def linked(members: DataFrame, verifier: Callable[[DataFrame], Verify], scratch: Scratch, what: str, profiles: DataFrame | None = None, alike: Alike = always) -> DataFrame:
+    """(node, root): see ``Linking``."""
+    return Linking(scratch, profiles, alike, what).run(members, verifier)
+
+
+def components(links: DataFrame, scratch: Scratch, what: str) -> DataFrame:
     """(node, root) for every node of the links (a, b): root is the smallest node of its component.
 
-    Union-find by rounds of large and small stars: first every larger neighbour of a node, then every
-    smaller one, is hung below the smallest node that it knows, until nothing changes.
+    Union-find by rounds: each node is hung below its smallest neighbour, paths are halved, once in the
+    first round and once more in each next one, and the links are drawn anew between what is left.
     """
-
-    def stars(pairs: DataFrame, both: bool) -> DataFrame:
-        """pairs: (u, v) with v < u."""
-        arcs = pairs.union(pairs.select("v", "u")) if both else pairs
-        least = arcs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        met = arcs.join(least, "u")
-        hung = met.where("v > u") if both else met.where("v <> m")
-        out = hung.select(F.col("v").alias("u"), F.col("m").alias("v"))
-        if not both:
-            out = out.union(least.select("u", F.col("m").alias("v")))
-        return out.where("u <> v").distinct()
-
-    pairs = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = None
-    while True:
-        pairs = checkpointed(stars(stars(pairs, True), False))
-        now = tuple(pairs.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if now == before:
-            break
-        before = now
-    tops = pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).union(tops)
+    few = links.count() <= FEW
+    one = (lambda df: df.coalesce(1)) if few else (lambda df: df)
+    keep = lambda df, name: scratch.keep(df, f"{what}-{name}")
+    left = keep(one(links).select(*ordered("a", "b")).where("a <> b").distinct(), "links")
+    rounds: list[DataFrame] = []
+    while not rounds or not left.isEmpty():
+        ends = one(left.select(F.col("a").alias("u"), F.col("b").alias("v")).union(left.select("b", "a")))
+        up = keep(ends.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("p")), "parents")
+        for _ in range(len(rounds) + 1):
+            above = up.select(F.col("u").alias("p"), F.col("p").alias("q"))
+            before, up = up, keep(one(up).join(one(above), "p").select("u", F.col("q").alias("p")), "parents")
+            scratch.drop(before)
+        rounds.append(up)
+        first, second = (up.select(F.col("u").alias(c), F.col("p").alias("p" + c)) for c in ("a", "b"))
+        drawn = one(left).join(one(first), "a").join(one(second), "b").where("pa <> pb")
+        before, left = left, keep(drawn.select(*ordered("pa", "pb")).distinct(), "links")
+        scratch.drop(before)
+    roots = rounds[0].select(F.col("u").alias("node"), F.col("p").alias("root"))
+    for up in rounds[1:]:
+        above = up.select(F.col("u").alias("root"), F.col("p").alias("top"))
+        roots = one(roots).join(one(above), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    roots = keep(roots, "roots")
+    scratch.drop(left, *rounds)
+    return roots

@@ -25,8 +25,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_rows, repeat_rows, text_key, written
-from .linking import linked
+from .common import Scratch, keep_rows, named, repeat_rows, text_key
+from .linking import agreeing, linked
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -37,18 +37,20 @@ SLACK = 6
 COMMON, TABLE = 0.001, 400_000
 #: Shingles share the random numbers of the sampling by their hash modulo this.
 SLOTS = 1 << 15
-#: Different words that a worker remembers.
-VOCABULARY = 200_000
+#: Bytes of a text whose words are hashed at once.
+PART = 1 << 20
 #: Shingles sampled at once.
-BLOCK = 1024
+BLOCK = 256
+#: Columns with eight samples each.
+SAMPLES = [f"s{i}" for i in range(BANDS * ROWS // 8)]
 
+#: ASCII signs end a word.
 LOWER = bytes(32 if b < 128 and not chr(b).isalnum() else b for b in range(256))
-#: Odd multipliers, drawn once.
+#: Odd multipliers and a number for each byte, drawn once; a space counts nothing.
 MIX = np.random.default_rng(5).integers(1 << 62, 1 << 63, WORDS + ROWS + 4, dtype=np.uint64) | np.uint64(1)
-
-
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode("utf-8", "replace").translate(LOWER).split()
+BYTES = np.random.default_rng(6).integers(0, 1 << 63, 256, dtype=np.uint64)
+BYTES[32] = 0
+BASE = 0x9E3779B97F4A7C15
 
 
 def stirred(x: np.ndarray) -> np.ndarray:
@@ -57,43 +59,67 @@ def stirred(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-class Vocabulary(dict):
-    """Word -> number, with hash and frequency weight of each number; starts anew when it is full."""
-
-    def __init__(self, weights: tuple[np.ndarray, np.ndarray, float] | None):
-        super().__init__()
-        self.table = weights
-        self.reset()
-
-    def reset(self) -> None:
-        self.clear()
-        self.fresh: list[bytes] = []
-        self.hashes = np.zeros(0, np.uint64)
-        self.idf = np.zeros(0, np.float64)
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self)
-        self.fresh.append(word)
-        return number
-
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > VOCABULARY:
-            self.reset()
-        out = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if self.fresh:
-            import xxhash
-
-            hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in self.fresh), np.uint64, len(self.fresh))
-            self.hashes = np.append(self.hashes, hashes)
-            if self.table is not None:
-                known, value, rare = self.table
-                idf = np.full(len(hashes), rare)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-                    hit = known[at] == hashes
-                    idf[hit] = value[at[hit]]
-                self.idf = np.append(self.idf, idf)
-            self.fresh = []
+@functools.cache
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of ``BASE`` and of its inverse, modulo 2 ** 64."""
+    each = np.arange(size) > 0
+    return tuple(np.cumprod(np.where(each, np.uint64(x), np.uint64(1))) for x in (BASE, pow(BASE, -1, 1 << 64)))
+
+
+def hashed_words(raw: bytes) -> np.ndarray:
+    """A hash of each word of these bytes: the polynomial of its bytes' numbers."""
+    size = len(raw)
+    held = 1 << max(12, size.bit_length())
+    codes = np.frombuffer(raw, np.uint8)
+    apart = np.ones(size + 2, bool)
+    np.equal(codes, 32, out=apart[1:-1])
+    edges = np.flatnonzero(apart[1:] != apart[:-1])
+    up, down = powers(held)
+    sums = np.zeros(size + 1, np.uint64)
+    np.cumsum(BYTES[codes] * up[:size], out=sums[1:])
+    starts = edges[::2]
+    return stirred((sums[edges[1::2]] - sums[starts]) * down[starts])
+
+
+def words_of(text: str | None) -> np.ndarray:
+    """Hashes of a text's words, in order; long texts are taken in parts that end with a word."""
+    raw = (text or "").lower().encode("utf-8", "replace").translate(LOWER)
+    if len(raw) <= PART:
+        return hashed_words(raw)
+    out, at = [], 0
+    while at < len(raw):
+        end = raw.find(b" ", at + PART)
+        end = len(raw) if end < 0 else end
+        out.append(hashed_words(raw[at:end]))
+        at = end
+    return np.concatenate(out)
+
+
+class Idf:
+    """The frequency weight of words by their hashes: a table of the common ones, one weight for all others."""
+
+    def __init__(self, known: np.ndarray, value: np.ndarray, rare: float):
+        size = 1 << max(4, (8 * len(known)).bit_length())
+        self.mask, self.rare = np.uint64(size - 1), rare
+        self.keys, self.values = np.zeros(size, np.uint64), np.zeros(size)
+        taken, left, slot = np.zeros(size, bool), np.arange(len(known)), known & self.mask
+        while len(left):  # each round the first word at a free slot gets it, the others go on to the next slot
+            free = left[~taken[slot[left]]]
+            _, first = np.unique(slot[free], return_index=True)
+            now = free[first]
+            at = slot[now].astype(np.int64)
+            taken[at], self.keys[at], self.values[at] = True, known[now], value[now]
+            left = np.setdiff1d(left, now, assume_unique=True)
+            slot[left] = (slot[left] + np.uint64(1)) & self.mask
+
+    def of(self, words: np.ndarray) -> np.ndarray:
+        out, left, slot = np.full(len(words), self.rare), np.arange(len(words)), words & self.mask
+        while len(left):
+            key, own = self.keys[slot], words[left]
+            hit = key == own
+            out[left[hit]] = self.values[slot[hit]]
+            further = ~hit & (key != 0)
+            left, slot = left[further], (slot[further] + np.uint64(1)) & self.mask
         return out
 
 
@@ -103,92 +129,89 @@ def frequencies(docs: DataFrame) -> DataFrame:
     def run(frames):
         import pandas as pd
 
-        vocabulary, seen = Vocabulary(None), np.zeros(0, np.int64)
-
-        def out():
-            at = np.flatnonzero(seen)
-            return pd.DataFrame({"word": vocabulary.hashes[at].view(np.int64), "n": seen[at]})
-
         for frame in frames:
-            for text in frame["text"]:
-                if len(vocabulary) > VOCABULARY:
-                    yield out()
-                    vocabulary.reset()
-                    seen = np.zeros(0, np.int64)
-                numbers = vocabulary.numbers(words_of(text))
-                if len(vocabulary) > len(seen):
-                    seen = np.append(seen, np.zeros(len(vocabulary) + 10_000, np.int64))
-                seen[np.unique(numbers)] += 1
-        yield out()
+            each = [np.unique(words_of(text)) for text in frame["text"]]
+            words, n = np.unique(np.concatenate(each), return_counts=True)
+            yield pd.DataFrame({"word": words.view(np.int64), "n": n})
 
     return docs.select("text").mapInPandas(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def weights_table(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
+def weights_table(docs: DataFrame, scratch: Scratch | None = None) -> tuple[np.ndarray, np.ndarray, float]:
     """Hashes and weights of the common words, and the weight of all others."""
+    scratch = scratch or Scratch(docs.sparkSession)
     total = docs.count()
-    counted = written(frequencies(docs), "frequencies")
+    counted = scratch.keep(frequencies(docs), "frequencies")
     mean = (counted.agg(F.sum("n")).first()[0] or 0) / max(total, 1)
     share = max(COMMON, mean / TABLE)
     least = share * total
     # at most TABLE rows: their counts alone add up to total * mean
-    rows = counted.where(F.col("n") >= max(2.0, least)).collect()
-    known = np.array([r["word"] for r in rows], np.int64).view(np.uint64)
-    value = 1 + np.log((1 + total) / (1 + np.array([r["n"] for r in rows], np.float64)))
+    rows = counted.where(F.col("n") >= max(2.0, least)).toArrow()
+    scratch.drop(counted)
+    known, n = (rows.column(c).to_numpy() for c in ("word", "n"))
+    known, value = known.view(np.uint64), 1 + np.log((1 + total) / (1 + n.astype(np.float64)))
     order = np.argsort(known)
     return known[order], value[order], float(1 + np.log((1 + total) / (1 + max(1.0, least))))
 
 
-def shingles(vocabulary: Vocabulary, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+def shingles(idf: Idf, text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, each once and in order, and weights of a text's shingles."""
     words = words_of(text)
-    if not words:
+    if not len(words):
         return np.zeros(0, np.uint64), np.zeros(0)
-    numbers = vocabulary.numbers(words)
-    width = min(WORDS, len(words))
+    width, each = min(WORDS, len(words)), idf.of(words)
     count = len(words) - width + 1
-    hashes, idf = vocabulary.hashes[numbers], vocabulary.idf[numbers]
-    mixed, weight = np.zeros(count, np.uint64), np.zeros(count)
-    for i in range(width):
-        mixed += stirred(hashes[i : i + count]) * MIX[i]
-        weight += idf[i : i + count]
-    unique, first, times = np.unique(stirred(mixed), return_index=True, return_counts=True)
-    return unique, weight[first] / width * times
+    mixed, weight = words[:count] * MIX[0], each[:count].copy()
+    for i in range(1, width):
+        mixed += words[i : i + count] * MIX[i]
+        weight += each[i : i + count]
+    mixed = stirred(mixed)
+    order = np.argsort(mixed)
+    mixed, weight = mixed[order], weight[order] / width
+    fresh = np.append(True, mixed[1:] != mixed[:-1])
+    if fresh.all():
+        return mixed, weight
+    first = np.flatnonzero(fresh)
+    return mixed[first], weight[first] * np.diff(np.append(first, count))
 
 
 @functools.cache
 def randoms() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each slot and sample: r, 1 / r, ln c and beta."""
+    """For each slot and sample: r, 1 / r, ln c + r (beta - 1) and beta."""
     rng, shape = np.random.default_rng(9), (SLOTS, BANDS * ROWS)
-    r = rng.gamma(2, 1, shape).astype(np.float32) + np.float32(1e-6)
-    return r, 1 / r, np.log(rng.gamma(2, 1, shape) + 1e-12).astype(np.float32), rng.random(shape, np.float32)
+    r, c, beta = rng.gamma(2, 1, shape) + 1e-6, rng.gamma(2, 1, shape) + 1e-12, rng.random(shape)
+    return tuple(x.astype(np.float32) for x in (r, 1 / r, np.log(c) + r * (beta - 1), beta))
 
 
-def bands(hashes: np.ndarray, weights: np.ndarray) -> tuple[list[int], bytes]:
-    """The bucket of each band, and one byte of each sample."""
-    r, inverse, log_c, beta = randoms()
+@functools.cache
+def buffers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return tuple(np.empty((BLOCK, BANDS * ROWS), np.float32) for _ in range(3))
+
+
+def bands(hashes: np.ndarray, weights: np.ndarray) -> tuple[list[int], list[int]]:
+    """The bucket of each band, and a byte of each sample, eight to a number."""
+    r, inverse, base, beta = randoms()
     samples = BANDS * ROWS
     best, picked, level = np.full(samples, np.inf, np.float32), np.zeros(samples, np.uint64), np.zeros(samples, np.int64)
     log_w, slot = np.log(weights).astype(np.float32)[:, None], (hashes % np.uint64(SLOTS)).astype(np.int64)
     for at in range(0, len(hashes), BLOCK):
         s = slot[at : at + BLOCK]
-        shift, t = beta.take(s, 0), inverse.take(s, 0)
+        t, drop, log_a = (b[: len(s)] for b in buffers())
+        # t = floor(ln w / r + beta) is the level, and ln a = ln c - r (t - beta + 1)
+        inverse.take(s, 0, t, "clip")
         t *= log_w[at : at + BLOCK]
-        t += shift
+        t += beta.take(s, 0, drop, "clip")
         np.floor(t, out=t)
-        # ln a = ln c - r (t - beta + 1), in the memory of beta
-        np.subtract(t, shift, out=shift)
-        shift += np.float32(1)
-        shift *= r.take(s, 0)
-        log_a = np.subtract(log_c.take(s, 0), shift, out=shift)
+        np.multiply(r.take(s, 0, drop, "clip"), t, out=drop)
+        np.subtract(base.take(s, 0, log_a, "clip"), drop, out=log_a)
         value = log_a.min(axis=0)
         won = np.flatnonzero(value < best)
         if len(won):
             least = log_a[:, won].argmin(axis=0)
             best[won], picked[won], level[won] = value[won], hashes[at : at + BLOCK][least], t[least, won].astype(np.int64)
-    one = stirred(picked + level.view(np.uint64) * MIX[-2]).reshape(BANDS, ROWS)
-    values = stirred((one * MIX[WORDS : WORDS + ROWS]).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
-    return values.view(np.int64).tolist(), (one >> np.uint64(56)).astype(np.uint8).tobytes()
+    one = stirred(picked + level.view(np.uint64) * MIX[-2])
+    values = stirred((one.reshape(BANDS, ROWS) * MIX[WORDS : WORDS + ROWS]).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+    return values.view(np.int64).tolist(), (one >> np.uint64(56)).astype(np.uint8).view(np.int64).tolist()
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -200,84 +223,62 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def signatures(texts: DataFrame, table) -> DataFrame:
-    """(node, bands, samples) of each text that has words."""
+    """(node, bands, s0, s1, …) of each text that has words."""
 
     def run(frames):
         import pandas as pd
 
-        vocabulary = Vocabulary(table.value)
+        idf = Idf(*table.value)
         for frame in frames:
             out = []
             for node, text in zip(frame["node"], frame["text"], strict=True):
-                hashes, weights = shingles(vocabulary, text)
+                hashes, weights = shingles(idf, text)
                 if len(hashes):
-                    out.append((bytes(node), *bands(hashes, weights)))
-            yield pd.DataFrame(out, columns=["node", "bands", "samples"])
+                    values, samples = bands(hashes, weights)
+                    out.append((bytes(node), values, *samples))
+            yield pd.DataFrame(out, columns=["node", "bands", *SAMPLES])
 
-    return texts.select("node", "text").mapInPandas(run, "node binary, bands array<long>, samples binary")
+    return texts.select("node", "text").mapInPandas(run, "node binary, bands array<long>, " + ", ".join(f"{s} long" for s in SAMPLES))
 
 
-def promising(pairs: DataFrame, marked: DataFrame, threshold: float) -> DataFrame:
-    """The pairs that agree on so many samples that they may reach the threshold.
+def may_reach(threshold: float):
+    """Do two texts agree on so many samples that they may reach the threshold?
 
     Pairs at the threshold agree on that share of the samples; ``SLACK`` standard deviations less are enough.
     """
     samples = BANDS * ROWS
     least = threshold * samples - SLACK * (samples * threshold * (1 - threshold)) ** 0.5
+    return lambda x, y: sum((agreeing(x(s), y(s)) for s in SAMPLES), F.lit(0)) >= least
 
-    def run(frames):
-        for frame in frames:
-            x, y = (np.frombuffer(b"".join(map(bytes, frame[c])), np.uint8).reshape(-1, samples) for c in ("x", "y"))
-            yield frame.loc[(x == y).sum(axis=1) >= least, ["a", "b"]]
-
-    one = marked.select(F.col("node").alias("a"), F.col("samples").alias("x"))
-    two = marked.select(F.col("node").alias("b"), F.col("samples").alias("y"))
-    # sides that grow with the documents are shuffled at every size, never broadcast
-    return pairs.join(two.hint("merge"), "b").join(one.hint("merge"), "a").mapInPandas(run, "a binary, b binary")
-
-
-def verifier(texts: DataFrame, marked: DataFrame, table, threshold: float):
-    """Keeps the pairs (a, b) whose texts reach the threshold."""
 
+def verifier(texts: DataFrame, table, threshold: float, scratch: Scratch):
     def run(frames):
-        import pandas as pd
-
-        vocabulary, recent = Vocabulary(table.value), {}
+        idf, recent = Idf(*table.value), {}
 
         def of(node: bytes, text: str):
             if node not in recent:
                 if len(recent) > 32:
                     recent.clear()
-                recent[node] = shingles(vocabulary, text)
+                recent[node] = shingles(idf, text)
             return recent[node]
 
         for frame in frames:
-            keep = [
-                (bytes(a), bytes(b))
-                for a, b, s, t in zip(frame["a"], frame["b"], frame["s"], frame["t"], strict=True)
-                if similarity(of(bytes(a), s), of(bytes(b), t)) >= threshold
-            ]
-            yield pd.DataFrame(keep, columns=["a", "b"])
-
-    pool: list[DataFrame] = []
-
-    def fetched(source: DataFrame, pairs: DataFrame, hint: str | None = None) -> DataFrame:
-        """The texts of the nodes of ``pairs``, each once."""
-        involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        met = source.join(involved.hint(hint) if hint else involved, "node", "left_semi")
-        return written(met.select("node", "text").dropDuplicates(["node"]), "texts")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        if not pool:
-            # the first pairs hold all nodes that share a bucket: all texts are shuffled once, for them
-            pool.append(fetched(texts, pairs, "merge"))
-        pairs = written(promising(pairs, marked, threshold), "pairs")
-        own = fetched(pool[0], pairs)
-        one = own.select(F.col("node").alias("a"), F.col("text").alias("s"))
-        two = own.select(F.col("node").alias("b"), F.col("text").alias("t"))
-        return pairs.join(two.hint("merge"), "b").join(one.hint("merge"), "a").mapInPandas(run, "a binary, b binary")
-
-    return verify
+            rows = zip(frame["a"], frame["b"], frame["s"], frame["t"], strict=True)
+            keep = [similarity(of(bytes(a), s), of(bytes(b), t)) >= threshold for a, b, s, t in rows]
+            yield frame.loc[np.array(keep, bool)].drop(columns=["s", "t"])
+
+    def begin(nodes: DataFrame):
+        """``nodes``: the texts that share a bucket; they are fetched once."""
+        pool = scratch.keep(texts.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "texts")
+
+        def verify(pairs: DataFrame) -> DataFrame:
+            """Keeps the rows of pairs (a, b) whose texts reach the threshold."""
+            one, two = (pool.select(F.col("node").alias(c), F.col("text").alias(t)) for c, t in (("a", "s"), ("b", "t")))
+            return pairs.join(two, "b").join(one, "a").select(*pairs.columns, "s", "t").mapInPandas(run, pairs.schema)
+
+        return verify
+
+    return begin
 
 
 def classes(docs: DataFrame, text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
@@ -285,19 +286,21 @@ def classes(docs: DataFrame, text: str = "text", threshold: float = SIMILARITY)
 
     Nodes are the different texts; a class holds all documents of its linked texts.
     """
-    spark = docs.sparkSession
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    texts = named.select(text_key(F.col("text")).alias("node"), "text")
-    table = spark.sparkContext.broadcast(weights_table(named))
-    marked = written(signatures(texts, table).dropDuplicates(["node"]), "signatures")
-    members = marked.select(F.posexplode("bands").alias("band", "value"), "node").select(F.xxhash64("band", "value").alias("bucket"), "node")
-    roots = linked(members, verifier(texts, marked, table, threshold), "links")
-    rows = named.groupBy("doc_id", text_key(F.col("text")).alias("node")).agg(F.count(F.lit(1)).alias("times"))
-    rows = written(rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rows")
+    scratch = Scratch(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), named(docs, text).cast("string").alias("text"))
+    texts = rows.select(text_key(F.col("text")).alias("node"), "text")
+    table = docs.sparkSession.sparkContext.broadcast(weights_table(rows, scratch))
+    marked = scratch.keep(signatures(texts, table).dropDuplicates(["node"]), "signatures")
+    members = marked.select(F.explode(F.array_distinct("bands")).alias("bucket"), "node")
+    roots = linked(members, verifier(texts, table, threshold, scratch), scratch, "texts", marked.drop("bands"), may_reach(threshold))
+    table.destroy()
+    each = rows.groupBy("doc_id", text_key(F.col("text")).alias("node")).agg(F.count(F.lit(1)).alias("times"))
+    rows = scratch.keep(each.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rows")
+    scratch.drop_all_but(rows)
     # null ids come last; of equal ids the smaller text key
     order = F.struct(F.col("doc_id").isNull().alias("absent"), F.col("doc_id"), F.col("node"))
-    each = rows.groupBy("root").agg(F.min(order).alias("first"), F.sum("times").alias("class_size"))
-    out = rows.join(each, "root")
+    firsts = scratch.keep(rows.groupBy("root").agg(F.min(order).alias("first"), F.sum("times").alias("class_size")), "classes")
+    out = rows.join(firsts, "root")
     return out.select(
         "doc_id",
         "node",
@@ -317,4 +320,4 @@ def near_duplicates(docs: DataFrame, text: str = "text", threshold: float = SIMI
 def deduplicate(docs: DataFrame, text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """The row of each class that stays, with all its columns."""
     stays = classes(docs, text, threshold).where("stays").select("doc_id", F.col("node").alias("key"), "times")
-    return keep_rows(docs, stays, text_key(F.col(text)))
+    return keep_rows(docs, stays, text_key(named(docs, text).cast("string")))
