@@ -22,7 +22,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_rows, repeat_rows
+from .common import Scratch, keep_rows, named, repeat_rows
 
 #: Bytes of edges that a trie holds before it spills or, before the shuffle, is emptied.
 TRIE_BYTES = 48 << 20
@@ -208,7 +208,7 @@ def normalised(text) -> F.Column:
 def owners(docs: DataFrame, text: str = "text", limit: int = TRIE_BYTES) -> DataFrame:
     """(length, sha, keep_id, group_size): one row for each different text."""
     strings = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col(text)).cast("binary").alias("text"), F.lit(1).cast("long").alias("n")
+        F.col("doc_id").cast("long").alias("doc_id"), normalised(named(docs, text)).cast("binary").alias("text"), F.lit(1).cast("long").alias("n")
     )
     dealt = strings.mapInPandas(trie_pass(limit, True), SCHEMA).repartition("length", "sha")
     return dealt.mapInPandas(trie_pass(limit, False), SCHEMA).selectExpr(
@@ -218,7 +218,7 @@ def owners(docs: DataFrame, text: str = "text", limit: int = TRIE_BYTES) -> Data
 
 def members(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, length, sha, times): rows that repeat an id and a text are counted together."""
-    norm = normalised(F.col(text))
+    norm = normalised(named(docs, text))
     return (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), norm.alias("__norm"))
         .select("doc_id", F.octet_length("__norm").cast("long").alias("length"), F.sha2(F.col("__norm").cast("binary"), 256).alias("sha"))
@@ -248,4 +248,4 @@ def exact_duplicates(docs: DataFrame, text: str = "text", limit: int = TRIE_BYTE
 def deduplicate(docs: DataFrame, text: str = "text", limit: int = TRIE_BYTES) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     stays = decided(docs, text, limit).where("stays").select("doc_id", F.col("sha").alias("key"), "times")
-    return keep_rows(docs, stays, F.sha2(normalised(F.col(text)).cast("binary"), 256))
+    return keep_rows(docs, stays, F.sha2(normalised(named(docs, text)).cast("binary"), 256))

@@ -7,18 +7,23 @@ on a sample of labelled documents whose size is the parameter ``sample``; a part
 does not see sets the temperature of the scores and the threshold below which a text is rejected.
 
 Defined results: a null text, or one without letters, gets ``und`` and the score 0 and is rejected;
-without any labelled rows all get ``und`` and only texts without letters are rejected; a null
-``doc_id`` is never learned from and not held out; other columns are ignored.
+without any labelled rows all get ``und`` and only texts without letters are rejected; of languages
+that score the same the first by name is given; rows that repeat are named each; texts of any length
+are taken whole; a null ``doc_id`` is never learned from and not held out; an empty table gives an
+empty result; other columns, of whatever name, are ignored here and carried through by ``keep_known``.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import named, whole
+
 BUCKETS = 4096
 ORDERS = (2, 3, 4)
 #: Documents that the classifier may learn from, a bound that does not grow with the table.
@@ -126,16 +131,23 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def chosen_below(sample: int, total: int) -> int:
+    """Hashes of 63 bits below this are the share ``sample / total`` of them; it is exact to 2 ** -63."""
+    return min((1 << 63) - 1, (sample << 63) // total)
+
+
 def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
     """Learn from about ``sample`` labelled documents outside the held-out quarter, chosen by a hash of the id."""
     labelled = docs.select(
-        F.col("doc_id").alias("doc_id"), F.col(text).alias("text"), F.col("lang").cast("string").alias("lang")
+        F.col("doc_id").alias("doc_id"), named(docs, text).alias("text"), F.col("lang").cast("string").alias("lang")
     ).where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     total = labelled.select("doc_id", "lang").count()
     if not total:
         return fit(np.zeros((0, BUCKETS), np.float32), [])
-    share = min(1.0, sample / total)
-    chosen = labelled.where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000) + (share == 1)).limit(2 * sample)
+    order = F.xxhash64(F.lit(11), "doc_id", "text").bitwiseAND(F.lit((1 << 63) - 1))
+    chosen = labelled.where(order < F.lit(chosen_below(sample, total))).limit(2 * sample)
+    if total > sample and chosen.isEmpty():
+        chosen = labelled.limit(sample)  # rows that all repeat one another have one hash
 
     def run(frames):
         import pandas as pd
@@ -144,9 +156,11 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
             yield pd.DataFrame({"lang": frame["lang"], "x": [counts(t).astype(np.float32).tobytes() for t in frame["text"]]})
 
     # at most twice the sample, of a fixed size each
-    rows = sorted((r["lang"], bytes(r["x"])) for r in chosen.mapInPandas(run, "lang string, x binary").collect())
-    x = np.frombuffer(b"".join(r[1] for r in rows), np.float32).reshape(len(rows), BUCKETS)
-    return fit(x, [r[0] for r in rows])
+    rows = chosen.mapInPandas(run, "lang string, x binary").toArrow().combine_chunks()
+    langs, held = rows.column("lang").to_pylist(), rows.column("x")
+    x = np.array([np.frombuffer(v.as_buffer(), np.float32) for v in held]).reshape(len(langs), BUCKETS)
+    place = sorted(range(len(langs)), key=lambda i: (langs[i], zlib.crc32(x[i])))
+    return fit(x[place], [langs[i] for i in place])
 
 
 def predictor(model: Model):
@@ -163,11 +177,10 @@ def predictor(model: Model):
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected of each row."""
-    named = docs.select(F.col("doc_id").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), predictor(model)(F.col(text)).alias("p"))
-    return named.select("doc_id", "held_out", "p.lang_pred", "p.score", "p.rejected")
+    rows = docs.select(F.col("doc_id").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), predictor(model)(named(docs, text)).alias("p"))
+    return rows.select("doc_id", "held_out", "p.lang_pred", "p.score", "p.rejected")
 
 
 def keep_known(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows whose language is not rejected, with all their columns."""
-    names = docs.columns
-    return docs.withColumn("__p", predictor(model)(F.col(text))).where("NOT __p.rejected").select(*names)
+    return whole(docs, p=predictor(model)(named(docs, text))).where("NOT p.rejected").select("row.*")

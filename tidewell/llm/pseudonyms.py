@@ -9,12 +9,17 @@ brings it back into the domain.  The same key maps equal values to equal pseudon
 document, and different values of a format to different ones.  Names in mail addresses, access keys
 and assigned passwords go the same way, letter for letter and digit for digit.
 
+Dates from 1900 to 2099, which people alive may have to do with, are replaced; other dates stay.
+
 Defined results: a null text stays null and counts nothing; empty texts and texts without values are
-unchanged; lengths never change; other columns are carried through.
+unchanged; where values overlap the kind that comes first in ``DETECTORS`` wins, then the earlier one;
+lengths never change; texts of any length are taken whole; rows that repeat get the same text each; an
+empty table gives an empty result; other columns, of whatever name, are carried through.
 """
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import re
@@ -23,6 +28,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import named, whole
+
 #: The key of the registered query; a real run passes its own secret.
 KEY = b"a key for tests"
 ROUNDS = 8
@@ -232,19 +239,26 @@ def pseudonymise(text: str, feistel: Feistel) -> tuple[str, dict[str, int]]:
     """The text with pseudonyms, and how many values of each kind it had."""
     if not WORTH_A_LOOK.search(text):
         return text, {}
-    spans, found = [], {}
+    spans: list[tuple[int, int, str]] = []  # in order, without overlaps
+    found: dict[str, int] = {}
     for kind, needs, pattern, replace in DETECTORS:
         if needs not in text:
             continue
+        fresh = []
         for m in pattern.finditer(text):
             new = replace(feistel, m)
-            if new is not None and not any(a < m.end() and m.start() < b for a, b, _ in spans):
-                spans.append((m.start(), m.end(), new))
-                found[kind] = found.get(kind, 0) + 1
+            if new is None:
+                continue
+            at = bisect.bisect_left(spans, m.start(), key=lambda span: span[1] - 1)  # the first that ends later
+            if at == len(spans) or m.end() <= spans[at][0]:
+                fresh.append((m.start(), m.end(), new))
+        if fresh:
+            found[kind] = len(fresh)
+            spans = sorted(spans + fresh)
     if not spans:
         return text, {}
     out, at = [], 0
-    for a, b, new in sorted(spans):
+    for a, b, new in spans:
         out += [text[at:a], new]
         at = b
     return "".join([*out, text[at:]]), found
@@ -269,12 +283,12 @@ def replaced(key: bytes):
 
 def with_pseudonyms(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     """All rows and columns, with pseudonyms in the text."""
-    names = [F.col("__p.text").alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    return docs.withColumn("__p", replaced(key)(F.col(text))).select(*names)
+    rows = whole(docs, p=replaced(key)(named(docs, text)))
+    return rows.select(*(F.col("p.text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def report(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     """doc_id, text, n_values and the number of values of each kind."""
-    out = docs.select(F.col("doc_id").alias("doc_id"), replaced(key)(F.col(text)).alias("p"))
+    out = docs.select(F.col("doc_id").alias("doc_id"), replaced(key)(named(docs, text)).alias("p"))
     total = sum((F.col(f"p.n_{k}") for k in KINDS), F.lit(0))
     return out.select("doc_id", "p.text", total.cast("long").alias("n_values"), *(f"p.n_{k}" for k in KINDS))
