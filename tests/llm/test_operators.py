@@ -112,9 +112,18 @@ def test_large_group_of_near_copies(spark, words):
 def test_large_buckets_of_many_families_lose_no_link(spark):
     """Members meet in large buckets only, and only neighbours of a family are similar."""
     rows = [(b, node) for b in (1, 2) for node in range(90)] + [(3, node) for node in range(0, 90, 7)] + [(4, 5), (4, 200)]
-    verify = lambda pairs: pairs.where("a div 3 = b div 3 AND b - a = 1 OR b = 200")
+
+    class Families(linking.Verifier):
+        threshold = 0.8
+
+        def verify(self, pairs):
+            return pairs.where("a div 3 = b div 3 AND b - a = 1 OR b = 200")
+
+        def tokens(self, nodes):
+            return nodes.selectExpr("node", "IF(node = 200, 1, node div 3) AS token", "1.0D AS weight")
+
     members = spark.createDataFrame(rows, "bucket long, node long")
-    got = {r.node: r.root for r in linking.linked(members, lambda nodes: verify, Scratch(spark), "test").collect()}
+    got = {r.node: r.root for r in linking.linked(members, Families(), Scratch(spark), "test").collect()}
     assert got == {node: node // 3 * 3 for node in range(90)} | {200: 3}
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, fresh_path, named, remove, shared_dir, text_key, whole
-from .linking import agreeing, linked
+from .linking import Verifier, agreeing, linked
 
 WIDTH = 12
 SIMILARITY = 0.8
@@ -114,13 +114,13 @@ def near_by_sketch(x: F.Column, y: F.Column, threshold: float) -> F.Column:
     return (both < SKETCHED) | (F.size(F.array_intersect(x, y)) >= least / (1 + least) * both)
 
 
-def similar(s: str, t: str, threshold: float) -> F.Column:
-    """Do the sets of all shingles of two lines reach the threshold?"""
+def shingle_set(line: str) -> F.Column:
+    each = f"transform(sequence(1, 2 * {SHINGLES} - 1, 2), i -> xxhash64(substring(u, i, {2 * WIDTH})))"
+    return F.array_distinct(F.flatten(F.expr(f"transform(array(encode({line}, 'UTF-16BE')), u -> {each})")))
 
-    def shingle_set(line: str) -> F.Column:
-        each = f"transform(sequence(1, 2 * {SHINGLES} - 1, 2), i -> xxhash64(substring(u, i, {2 * WIDTH})))"
-        return F.array_distinct(F.flatten(F.expr(f"transform(array(encode({line}, 'UTF-16BE')), u -> {each})")))
 
+def similar(s: str, t: str, threshold: float) -> F.Column:
+    """Do the sets of all shingles of two lines reach the threshold?"""
     # sets and their intersection are arguments of functions: a filter on columns would compute them anew for each use
     sets = F.array(F.struct(shingle_set(s).alias("x"), shingle_set(t).alias("y")))
     shared = F.transform(sets, lambda p: F.struct(F.size(F.array_intersect(p["x"], p["y"])).alias("both"), (F.size(p["x"]) + F.size(p["y"])).alias("all")))
@@ -134,28 +134,32 @@ def hashed(lines: DataFrame, *names: str) -> DataFrame:
     return each.select(*names, "n", "i", F.expr(f"xxhash64(substring(u, 2 * i + 1, {2 * WIDTH}))").alias("h"))
 
 
-def verifier(lines: LineTable, marks: DataFrame, scratch: Scratch, threshold: float):
-    def begin(nodes: DataFrame):
-        """``nodes``: the numbers of the lines that share a bucket; their texts are fetched once."""
-        keys = scratch.keep(marks.select("number", "key").join(nodes.withColumnRenamed("node", "number"), "number"), "line-keys")
-        own = keys.hint("shuffle_hash").join(lines.rows.select("key", "line"), "key")
-        texts = scratch.keep(own.select("number", "line"), "line-texts")
+class LineVerifier(Verifier):
+    def __init__(self, lines: LineTable, marks: DataFrame, threshold: float, scratch: Scratch):
+        self.lines, self.marks, self.threshold, self.scratch = lines, marks, threshold, scratch
+
+    def begin(self, nodes: DataFrame) -> None:
+        """The lines that share a bucket are fetched, and sketched, once; a node is a line's number."""
+        keep = self.scratch.keep
+        keys = keep(self.marks.select("number", "key").join(nodes.withColumnRenamed("node", "number"), "number"), "line-keys")
+        own = keys.hint("shuffle_hash").join(self.lines.rows.select("key", "line"), "key")
+        texts = keep(own.select("number", "line"), "line-texts")
         some = hashed(own, "key", "number").where(f"(h & {SKETCH - 1}L) = 0").groupBy("key", "number").agg(F.collect_list("h").alias("sketch"))
-        sketches = scratch.keep(some.select("number", F.array_distinct("sketch").alias("sketch")), "line-sketches")
+        sketches = keep(some.select("number", F.array_distinct("sketch").alias("sketch")), "line-sketches")
         empty = F.array().cast("array<bigint>")
-        pool = scratch.keep(texts.join(sketches, "number", "left").withColumn("sketch", F.coalesce("sketch", empty)), "line-pool")
-        scratch.drop(keys, texts, sketches)
-
-        def verify(pairs: DataFrame) -> DataFrame:
-            one, two = (pool.select(F.col("number").alias(c), F.col("line").alias(t), F.col("sketch").alias(t + "k")) for c, t in (("a", "s"), ("b", "t")))
-            met = pairs.join(one, "a").join(two, "b")
-            # in this order: the sets of all shingles are costly
-            fits = F.when(near_by_sketch(F.col("sk"), F.col("tk"), threshold), similar("s", "t", threshold)).otherwise(False)
-            return met.where(fits).select(pairs.columns)
+        self.pool = keep(texts.join(sketches, "number", "left").withColumn("sketch", F.coalesce("sketch", empty)), "line-pool")
+        self.scratch.drop(keys, texts, sketches)
 
-        return verify
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        one, two = (self.pool.select(F.col("number").alias(c), F.col("line").alias(t), F.col("sketch").alias(t + "k")) for c, t in (("a", "s"), ("b", "t")))
+        met = pairs.join(one, "a").join(two, "b")
+        # in this order: the sets of all shingles are costly
+        fits = F.when(near_by_sketch(F.col("sk"), F.col("tk"), self.threshold), similar("s", "t", self.threshold)).otherwise(False)
+        return met.where(fits).select(pairs.columns)
 
-    return begin
+    def tokens(self, nodes: DataFrame) -> DataFrame:
+        own = self.pool.join(nodes.withColumnRenamed("node", "number"), "number", "left_semi")
+        return own.select(F.col("number").alias("node"), F.explode(shingle_set("line")).alias("token"), F.lit(1.0).alias("weight"))
 
 
 def classes(docs: DataFrame, text: str, threshold: float, scratch: Scratch) -> DataFrame:
@@ -169,7 +173,7 @@ def classes(docs: DataFrame, text: str, threshold: float, scratch: Scratch) -> D
         marks = first.where(plain).union(rest)
         members = marks.select(F.explode(F.array_distinct("bands")).alias("bucket"), F.col("number").alias("node"))
         profiles = marks.select(F.col("number").alias("node"), "n", *(f"s{r}" for r in range(ROWS)))
-        roots = linked(members, verifier(lines, marks, scratch, threshold), scratch, "lines", profiles, alike)
+        roots = linked(members, LineVerifier(lines, marks, threshold, scratch), scratch, "lines", profiles, alike)
         # only lines of classes of several need another first occurrence than their own
         several = scratch.keep(lines.loose.select("number", "key", "first").join(roots.withColumnRenamed("node", "number"), "number"), "line-classes")
         least = scratch.keep(several.groupBy("root").agg(F.min("first").alias("least")), "line-firsts")

@@ -8,12 +8,14 @@ cannot change a class.  That takes three steps:
    buckets;
 2. in buckets that still hold several components, members of others meet up to ``SECONDS`` more of the
    largest;
-3. what is left meets pairwise: each bucket is dealt into blocks of about ``BLOCK`` members, and each
-   pair of blocks is a row group of its own.
-
-So every pair of a bucket is in one component, or ruled out by its samples, or verified.  The first two
-steps grow with the members; the third with the square only of the members of a bucket that stay apart,
-and it writes out only pairs that pass their samples.
+3. what is left in buckets of several components meets where it shares rare tokens.  Tokens that fewer
+   members have come first in a member's order.  What two members share is no more than what either has
+   from their first shared token on; so a pair meets only at tokens from which on both still have enough
+   to reach the threshold, which for most members are the rare ones.
+
+So every pair of a bucket is in one component, or ruled out by its samples or by that bound, or verified.
+The first two steps grow with the members; the third grows with the tokens of the members that are left,
+and writes out only pairs that its bound lets pass.
 """
 
 from __future__ import annotations
@@ -27,13 +29,30 @@ from .common import Scratch
 
 #: Members of a bucket's largest component that step 2 compares with the others.
 SECONDS = 4
-#: Members of a bucket that one block of step 3 holds.
-BLOCK = 256
+#: For sums of weights that differ in their order only.
+NEARLY = 1 - 1e-9
 #: So few links are joined in one task, which is quicker; more are dealt out.
 FEW = 10_000
 
 Alike = Callable[[Callable[[str], F.Column], Callable[[str], F.Column]], F.Column]
-Verify = Callable[[DataFrame], DataFrame]
+
+
+class Verifier:
+    """What a kind of similarity gives: the exact test of pairs, and the weighted tokens that it is about."""
+
+    threshold: float
+
+    def begin(self, nodes: DataFrame) -> None:
+        """``nodes``: (node), all that will be asked about."""
+
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        """The rows (a, b, …) of pairs whose weighted Jaccard similarity reaches the threshold."""
+        raise NotImplementedError
+
+    def tokens(self, nodes: DataFrame) -> DataFrame:
+        """(node, token long, weight double): each token of each node once, with a positive weight."""
+        raise NotImplementedError
+
 
 
 def always(x, y) -> F.Column:
@@ -60,8 +79,7 @@ def agreeing(x: F.Column, y: F.Column) -> F.Column:
 class Linking:
     """One run over (bucket long, node), each once.
 
-    ``profiles``: (node, …), what ``alike`` needs of each node.  ``verifier`` gets the nodes that share
-    a bucket with others and returns ``verify``, which keeps the rows (a, b, …) of similar pairs.
+    ``profiles``: (node, …), what ``alike`` needs of each node.
     """
 
     def __init__(self, scratch: Scratch, profiles: DataFrame | None, alike: Alike, what: str):
@@ -75,9 +93,6 @@ class Linking:
         """``alike`` of a row's own fields and of those that begin with ``other_``."""
         return self.alike(F.col, lambda name: F.col("other_" + name))
 
-    def as_other(self, df: DataFrame, *more: str) -> DataFrame:
-        return df.select("bucket", *(F.col(c).alias("other_" + c) for c in ("node", *more, *self.fields)))
-
     def shared(self, members: DataFrame) -> DataFrame:
         """(bucket, node, score, fields) of buckets of two members or more."""
         sizes = self.keep(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
@@ -98,38 +113,44 @@ class Linking:
         return out
 
     def seconds(self, left: DataFrame) -> DataFrame:
-        """(bucket, node, …) of up to ``SECONDS`` members of each bucket's largest component."""
+        """(bucket, other_node, other_root, …) of up to ``SECONDS`` members of each bucket's largest component."""
         sizes = left.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
         largest = self.keep(sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("root")), "largest")
         order = Window.partitionBy("bucket").orderBy(F.desc("score"), "node")
-        ranked = left.join(largest, ["bucket", "root"]).withColumn("nth", F.row_number().over(order))
-        out = self.keep(ranked.where(F.col("nth") <= SECONDS).drop("nth"), "seconds")
+        ranked = left.join(largest, ["bucket", "root"]).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= SECONDS)
+        out = self.keep(ranked.select("bucket", *(F.col(c).alias("other_" + c) for c in ("node", "root", *self.fields))), "seconds")
         self.scratch.drop(largest)
         return out
 
-    def block_pairs(self, left: DataFrame) -> DataFrame:
-        """(a, b, ra, rb) of all pairs of a bucket's members that may match."""
-        sizes = self.keep(left.groupBy("bucket").agg(F.expr(f"(count(1) + {BLOCK - 1}) div {BLOCK}").alias("blocks")), "blocks")
-        dealt = left.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")))
-        one = dealt.withColumn("i", F.col("own")).withColumn("j", F.explode(F.expr("sequence(own, blocks - 1)")))
-        two = dealt.withColumn("j", F.col("own")).withColumn("i", F.explode(F.expr("sequence(0L, own)")))
-        fields = ["node", "root", *self.fields]
-        two = two.select("bucket", "i", "j", *(F.col(c).alias("other_" + c) for c in fields))
-        met = one.select("bucket", "i", "j", *fields).join(two, ["bucket", "i", "j"])
-        apart = met.where("root <> other_root AND (i < j OR node < other_node)").where(self.may_match())
-        return apart.select(*ordered("node", "other_node", "root", "other_root"))
-
-    def run(self, members: DataFrame, verifier: Callable[[DataFrame], Verify]) -> DataFrame:
+    def rare_pairs(self, left: DataFrame, verifier: Verifier) -> DataFrame:
+        """(a, b, ra, rb) of the pairs that may reach the threshold by the tokens they share."""
+        t = verifier.threshold
+        nodes = self.keep(left.select("node", "root").distinct(), "nodes")
+        each = self.keep(verifier.tokens(nodes.select("node")), "tokens")
+        counts = self.keep(each.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
+        totals = nodes.join(each.groupBy("node").agg(F.sum("weight").alias("total")), "node")
+        # tokens of one node alone are the first, so what is left from any other on is a sum of the others
+        onward = Window.partitionBy("node").orderBy(F.desc("n"), F.desc("token")).rowsBetween(Window.unboundedPreceding, 0)
+        ranked = each.join(counts, "token").withColumn("rest", F.sum("weight").over(onward))
+        first = ranked.join(totals, "node").where(F.col("rest") >= F.col("total") * t * NEARLY)
+        first = self.keep(first.select("token", "node", "root", "total", "rest"), "first")
+        self.scratch.drop(each, counts, nodes)
+        other = first.select("token", *(F.col(c).alias("other_" + c) for c in ("node", "root", "total", "rest")))
+        enough = F.least("rest", "other_rest") >= (F.col("total") + F.col("other_total")) * (t / (1 + t) * NEARLY)
+        met = first.join(other, "token").where("node < other_node AND root <> other_root").where(enough)
+        return met.select(*ordered("node", "other_node", "root", "other_root"))
+
+    def run(self, members: DataFrame, verifier: Verifier) -> DataFrame:
         """(node, root) for every node that a chain of links connects to another; root is the smallest."""
         keep, drop = self.keep, self.scratch.drop
         shared = self.shared(members)
-        verify = verifier(shared.select("node").distinct())
+        verifier.begin(shared.select("node").distinct())
 
         best = F.max_by(F.struct("node", *self.fields), F.struct("score", "node")).alias("centre")
         centres = keep(shared.groupBy("bucket").agg(best).select("bucket", *(F.col("centre")[c].alias("other_" + c) for c in ("node", *self.fields))), "centres")
         near = shared.join(centres, "bucket").where("node <> other_node").where(self.may_match())
         pairs = keep(near.select(*ordered("node", "other_node")).distinct(), "pairs")
-        found = keep(verify(pairs), "found")
+        found = keep(verifier.verify(pairs), "found")
         roots = components(found, self.scratch, self.what)
         # a centre has met its whole bucket
         rest = shared.join(centres.select("bucket", "other_node"), "bucket").where("node <> other_node").drop("other_node")
@@ -138,18 +159,23 @@ class Linking:
 
         if not left.isEmpty():
             seconds = self.seconds(left)
-            met = left.join(self.as_other(seconds, "root"), "bucket").where("root <> other_root").where(self.may_match())
-            left, roots = self.settle(left, roots, verify, met.select(*ordered("node", "other_node", "root", "other_root")), seconds)
+            met = left.join(seconds, "bucket").where("root <> other_root").where(self.may_match())
+            roots, tops = self.joined(roots, verifier, met.select(*ordered("node", "other_node", "root", "other_root")))
+            if tops is not None:
+                rest = left.join(tops, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
+                before, left = left, self.open_buckets(rest)
+                drop(before)
+            drop(seconds)
         if not left.isEmpty():
-            left, roots = self.settle(left, roots, verify, self.block_pairs(left), None)
+            roots, _ = self.joined(roots, verifier, self.rare_pairs(left, verifier))
         drop(left)
         return roots
 
-    def settle(self, left: DataFrame, roots: DataFrame, verify: Verify, pairs: DataFrame, done: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """Verify ``pairs`` and join their components; what is still open once the members ``done`` have left."""
+    def joined(self, roots: DataFrame, verifier: Verifier, pairs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """The roots when the components of similar ``pairs`` are joined, and (root, top) of those that changed."""
         pairs = self.keep(pairs.distinct(), "pairs")
-        found = self.keep(verify(pairs), "found")
-        joined = None
+        found = self.keep(verifier.verify(pairs), "found")
+        tops = None
         if not found.isEmpty():
             joined = components(found.select(F.col("ra").alias("a"), F.col("rb").alias("b")), self.scratch, self.what)
             tops = joined.select(F.col("node").alias("root"), F.col("root").alias("top"))
@@ -158,17 +184,11 @@ class Linking:
             single = joined.join(roots.select("node"), "node", "left_anti")
             before, roots = roots, self.keep(moved.union(single), "roots")
             self.scratch.drop(before)
-        if done is not None:
-            rest = left.join(done.select("bucket", "node"), ["bucket", "node"], "left_anti")
-            if joined is not None:
-                rest = rest.join(tops, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
-            before, left = left, self.open_buckets(rest)
-            self.scratch.drop(before, done)
-        self.scratch.drop(pairs, found, *([joined] if joined is not None else []))
-        return left, roots
+        self.scratch.drop(pairs, found)
+        return roots, tops
 
 
-def linked(members: DataFrame, verifier: Callable[[DataFrame], Verify], scratch: Scratch, what: str, profiles: DataFrame | None = None, alike: Alike = always) -> DataFrame:
+def linked(members: DataFrame, verifier: Verifier, scratch: Scratch, what: str, profiles: DataFrame | None = None, alike: Alike = always) -> DataFrame:
     """(node, root): see ``Linking``."""
     return Linking(scratch, profiles, alike, what).run(members, verifier)
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, keep_rows, named, repeat_rows, text_key
-from .linking import agreeing, linked
+from .linking import Verifier, agreeing, linked
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -251,34 +251,48 @@ def may_reach(threshold: float):
     return lambda x, y: sum((agreeing(x(s), y(s)) for s in SAMPLES), F.lit(0)) >= least
 
 
-def verifier(texts: DataFrame, table, threshold: float, scratch: Scratch):
-    def run(frames):
-        idf, recent = Idf(*table.value), {}
+class TextVerifier(Verifier):
+    def __init__(self, texts: DataFrame, table, threshold: float, scratch: Scratch):
+        self.texts, self.table, self.threshold, self.scratch = texts, table, threshold, scratch
 
-        def of(node: bytes, text: str):
-            if node not in recent:
-                if len(recent) > 32:
-                    recent.clear()
-                recent[node] = shingles(idf, text)
-            return recent[node]
+    def begin(self, nodes: DataFrame) -> None:
+        """The texts that share a bucket are fetched once."""
+        self.pool = self.scratch.keep(self.texts.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "texts")
 
-        for frame in frames:
-            rows = zip(frame["a"], frame["b"], frame["s"], frame["t"], strict=True)
-            keep = [similarity(of(bytes(a), s), of(bytes(b), t)) >= threshold for a, b, s, t in rows]
-            yield frame.loc[np.array(keep, bool)].drop(columns=["s", "t"])
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        table, threshold = self.table, self.threshold
+
+        def run(frames):
+            idf, recent = Idf(*table.value), {}
+
+            def of(node: bytes, text: str):
+                if node not in recent:
+                    if len(recent) > 32:
+                        recent.clear()
+                    recent[node] = shingles(idf, text)
+                return recent[node]
+
+            for frame in frames:
+                rows = zip(frame["a"], frame["b"], frame["s"], frame["t"], strict=True)
+                keep = [similarity(of(bytes(a), s), of(bytes(b), t)) >= threshold for a, b, s, t in rows]
+                yield frame.loc[np.array(keep, bool)].drop(columns=["s", "t"])
+
+        one, two = (self.pool.select(F.col("node").alias(c), F.col("text").alias(t)) for c, t in (("a", "s"), ("b", "t")))
+        return pairs.join(two, "b").join(one, "a").select(*pairs.columns, "s", "t").mapInPandas(run, pairs.schema)
 
-    def begin(nodes: DataFrame):
-        """``nodes``: the texts that share a bucket; they are fetched once."""
-        pool = scratch.keep(texts.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "texts")
+    def tokens(self, nodes: DataFrame) -> DataFrame:
+        table = self.table
 
-        def verify(pairs: DataFrame) -> DataFrame:
-            """Keeps the rows of pairs (a, b) whose texts reach the threshold."""
-            one, two = (pool.select(F.col("node").alias(c), F.col("text").alias(t)) for c, t in (("a", "s"), ("b", "t")))
-            return pairs.join(two, "b").join(one, "a").select(*pairs.columns, "s", "t").mapInPandas(run, pairs.schema)
+        def run(frames):
+            import pandas as pd
 
-        return verify
+            idf = Idf(*table.value)
+            for frame in frames:
+                for node, text in zip(frame["node"], frame["text"], strict=True):
+                    hashes, weights = shingles(idf, text)
+                    yield pd.DataFrame({"node": [bytes(node)] * len(hashes), "token": hashes.view(np.int64), "weight": weights})
 
-    return begin
+        return self.pool.join(nodes, "node", "left_semi").select("node", "text").mapInPandas(run, "node binary, token long, weight double")
 
 
 def classes(docs: DataFrame, text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
@@ -292,7 +306,7 @@ def classes(docs: DataFrame, text: str = "text", threshold: float = SIMILARITY)
     table = docs.sparkSession.sparkContext.broadcast(weights_table(rows, scratch))
     marked = scratch.keep(signatures(texts, table).dropDuplicates(["node"]), "signatures")
     members = marked.select(F.explode(F.array_distinct("bands")).alias("bucket"), "node")
-    roots = linked(members, verifier(texts, table, threshold, scratch), scratch, "texts", marked.drop("bands"), may_reach(threshold))
+    roots = linked(members, TextVerifier(texts, table, threshold, scratch), scratch, "texts", marked.drop("bands"), may_reach(threshold))
     table.destroy()
     each = rows.groupBy("doc_id", text_key(F.col("text")).alias("node")).agg(F.count(F.lit(1)).alias("times"))
     rows = scratch.keep(each.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rows")
