@@ -2,6 +2,12 @@
 
 Each stage takes the documents that its predecessor kept, and all but the last return the columns of
 ``documents``.  Its functions run over whole tables and whole texts.
+
+Defined results, beyond those of the operators' own docstrings: a null text, or one without letters, has
+no language and goes in the first stage; of texts that are the same, or near-duplicates, the row with the
+smallest ``doc_id`` stays, a null one only if there is no other; rows that repeat an id and a text are
+reduced to one; texts of any length are taken whole; an empty table gives an empty result; extra columns,
+of whatever name, pass through all stages but the last.
 """
 
 from __future__ import annotations

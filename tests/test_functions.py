@@ -32,8 +32,8 @@ def test_cells_and_lists(spark):
 def test_urls(spark):
     assert one(spark, U.valid_url(F.col("t")), t="www.a.pe/x") == "https://www.a.pe/x"
     assert one(spark, U.valid_url(F.col("t")), t="no enlace") is None
-    assert one(spark, U.canonical()(F.col("t")), t="HTTP://A.pe//x/?utm_source=1&b=2#top") == "http://a.pe/x?b=2"
-    assert one(spark, U.resolved()(F.col("t"), F.lit("../y#z")), t="http://a.pe/q/x") == "http://a.pe/y"
+    assert one(spark, U.canonical(F.col("t")), t="HTTP://A.pe//x/?utm_source=1&b=2#top") == "http://a.pe/x?b=2"
+    assert one(spark, U.resolved(F.col("t"), F.lit("../y#z")), t="http://a.pe/q/x") == "http://a.pe/y"
 
 
 def test_twins_of_one_outlet_recur_only_without_cross(spark):

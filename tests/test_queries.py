@@ -19,7 +19,7 @@ def plain(value):
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables here")
-@pytest.mark.parametrize("name", sorted(set(catalogue.ORACLE) - {"crawl_bfs"}))
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLE))
 def test_query_equals_sql(spark, name):
     import duckdb
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -95,9 +94,16 @@ def filt_paths(spark, sf):
     return table(spark, sf, "pages").where((url.contains("/en/") | url.contains("/de/")) & ~url.contains("utm_")).select("page_id")
 
 
-@query()
+@query(r"""SELECT page_id, regexp_replace(regexp_replace(url, '[?]utm_source=feed$', ''), '/$', '') AS canonica FROM pages
+          WHERE NOT regexp_matches(regexp_replace(url, '[?]utm_source=feed$', ''), '[?#A-Z%]|[^:/]//|^https?://[^/]*/?$')""")
 def lnk_canon(spark, sf):
-    return table(spark, sf, "pages").select("page_id", U.canonical()(F.col("url")).alias("canonica"))
+    plain = table(spark, sf, "pages").where(~F.regexp_replace("url", "[?]utm_source=feed$", "").rlike("[?#A-Z%]|[^:/]//|^https?://[^/]*/?$"))
+    return plain.select("page_id", U.canonical(F.col("url")).alias("canonica"))
+
+
+@query()
+def lnk_canon_all(spark, sf):
+    return table(spark, sf, "pages").select("page_id", U.canonical(F.col("url")).alias("canonica"))
 
 
 @query("""SELECT conv_id, turn, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '… (+' || (length(text) - 200) || ' caracteres)'
@@ -146,9 +152,10 @@ def mask_needles(spark, sf):
     return table(spark, sf, "events").select("event_id", T.mask_needles(F.col("event_type"), ["error", "abc"]).alias("tapado"))
 
 
-@query("""SELECT s_suppkey, ['nodo', 'vars'] AS raices FROM supplier""")
+@query("""SELECT s_suppkey, list_sort(['nodo' || s_suppkey % 3, 'vars']) AS raices FROM supplier""")
 def tmpl_refs(spark, sf):
-    template = F.concat(F.lit("{{ vars.a }} "), F.col("s_name"), F.lit(" {{nodo.result[0]}} {{ vars.b | default:1 }}"))
+    node = (F.col("s_suppkey") % 3).cast("string")
+    template = F.concat(F.lit("{{ vars.a }} "), F.col("s_name"), F.lit(" {{nodo"), node, F.lit(".result[0]}} {{ vars.b | default:1 }}"))
     return table(spark, sf, "supplier").select("s_suppkey", T.tmpl_refs(template).alias("raices"))
 
 
@@ -473,6 +480,18 @@ def txt_term_search(spark, sf):
     return docs.term_hits(doc_pages(spark, sf), SEARCHED, ["doc_id", "page"]).select("doc_id", "termino").distinct()
 
 
+@query(
+    "WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS page, unnest(string_split(text, chr(10))) AS linea FROM documents) "
+    + " UNION ALL ".join(
+        f"SELECT doc_id, '{t}' AS termino, sum(len(regexp_extract_all({PLAIN}, '{p}')))::BIGINT AS n, list(page::INT ORDER BY page) AS paginas FROM l WHERE regexp_matches({PLAIN}, '{p}') GROUP BY doc_id"
+        for t, p in FOUND.items()
+    )
+)
+def agg_term_hits(spark, sf):
+    hits = docs.term_hits(doc_pages(spark, sf), SEARCHED, ["doc_id", "page"])
+    return hits.groupBy("doc_id", "termino").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list("page")).alias("paginas"))
+
+
 def doc_pages(spark, sf):
     """The lines of a document stand for its pages."""
     return table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("page", "text"))
@@ -496,12 +515,18 @@ def pred_page_kind(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", kind.alias("clase"))
 
 
-@query()
+@query("""WITH d AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents)
+          SELECT doc_id, length(replace(t, ' ', '')) AS letras, true AS completo, true AS cortos FROM d""")
 def txt_chunk(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", docs.chunks("text", 5, 30000).alias("trozos"))
+    """As many pieces as a text needs; together they hold all its letters."""
+    plain = F.trim(F.regexp_replace("text", "\\s+", " "))
+    cut = table(spark, sf, "documents").select("doc_id", plain.alias("t")).withColumn("c", docs.chunks("t", None, 3000))
+    letters = F.length(F.replace(F.array_join("c.trozos", ""), F.lit(" "), F.lit("")))
+    return cut.select("doc_id", letters.alias("letras"), F.col("c.completo").alias("completo"), F.forall("c.trozos", lambda x: F.length(x) <= 3000).alias("cortos"))
 
 
-@query()
+@query(r"""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS page, unnest(string_split(text, chr(10))) AS linea FROM documents)
+   SELECT doc_id, string_agg('[p. ' || page || '] ' || trim(regexp_replace(regexp_replace(replace(linea, '­', ''), '[\x00-\x08\x0b-\x1f\x7f]', ' ', 'g'), '\s+', ' ', 'g')), chr(10) ORDER BY page) AS texto FROM l GROUP BY doc_id""")
 def sink_doc_text(spark, sf):
     return docs.doc_text(doc_pages(spark, sf), "doc_id", "page")
 
@@ -531,6 +556,18 @@ def crawl_bfs(spark, sf):
     return graph.reach(tree, tree.select(F.min("source").alias("node")), 3)
 
 
+@query("""WITH RECURSIVE e AS (SELECT l_suppkey % 10 AS site, l_suppkey AS source, l_partkey AS target FROM lineitem WHERE l_suppkey % 10 = l_partkey % 10 UNION SELECT l_suppkey % 10, l_partkey, l_suppkey FROM lineitem WHERE l_suppkey % 10 = l_partkey % 10),
+   s AS (SELECT site, min(source) AS node FROM e GROUP BY site),
+   w(site, node, depth) AS (SELECT site, node, 0 FROM s UNION SELECT w.site, e.target, w.depth + 1 FROM w JOIN e ON e.site = w.site AND e.source = w.node WHERE w.depth < 3)
+   SELECT site, node, min(depth)::INT AS depth FROM w GROUP BY site, node QUALIFY row_number() OVER (PARTITION BY site ORDER BY min(depth), node) <= 40""")
+def crawl_sites(spark, sf):
+    """Ten sites, whose pages are the keys that end alike and whose links, both ways, are order lines; there are cycles."""
+    own = table(spark, sf, "lineitem").select((F.col("l_suppkey") % 10).alias("site"), F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("target"))
+    own = own.where("target % 10 = site")
+    links = own.union(own.select("site", "target", "source")).distinct()
+    return graph.crawled(links, links.groupBy("site").agg(F.min("source").alias("node")), "site", 3, 40)
+
+
 @query("SELECT o_orderkey FROM orders WHERE o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 90 DAYS")
 def run_retention(spark, sf):
     o = table(spark, sf, "orders")
@@ -571,7 +608,8 @@ def sched_next_fire(spark, sf):
 # ---------------------------------------------------------------- pages
 
 
-@query()
+@query(r"""SELECT page_id, (generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)">', 1), 1) - 1)::INT AS pos,
+   unnest(regexp_extract_all(html, '<a href="([^"]*)">', 1)) AS href, unnest(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1)) AS texto FROM pages""")
 def page_links(spark, sf):
     return html.page_links(table(spark, sf, "pages"))
 
@@ -586,19 +624,19 @@ def page_heading_ffill(spark, sf):
     return html.page_lines(table(spark, sf, "pages"))
 
 
-@query()
+@query(r"""SELECT page_id, (generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)">', 1), 1) - 1)::INT AS pos,
+   regexp_extract(url, '^(https?://[^/]+)', 1) || unnest(regexp_extract_all(html, '<a href="([^"]*)">', 1)) AS enlace FROM pages""")
 def lnk_resolve(spark, sf):
     pages = table(spark, sf, "pages")
     links = html.page_links(pages).join(pages.select("page_id", "url"), "page_id")
-    return links.select("page_id", "pos", U.resolved()(F.col("url"), F.col("href")).alias("enlace"))
+    return links.select("page_id", "pos", U.resolved(F.col("url"), F.col("href")).alias("enlace"))
 
 
 # ---------------------------------------------------------------- streaming
 
 
 def drained(spark, stream, mode="append"):
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
-    at = f"{base}/stream-{uuid.uuid4().hex}"
+    at = f"{graph.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     streams.drained(stream, f"{at}/out", f"{at}/state", mode)
     return spark.read.parquet(f"{at}/out")
 
@@ -613,3 +651,6 @@ def str_seen_dedupe(spark, sf):
 def str_outlet_counts(spark, sf):
     stream = streams.table_stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return drained(spark, streams.daily_counts(stream, "event_type", "ts"), "complete").withColumn("dia", F.col("dia").cast("timestamp_ntz"))
+
+
+from . import catalogue_places, catalogue_sources  # noqa: E402, F401  they register their queries here

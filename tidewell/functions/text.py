@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+import html
 import re
 import unicodedata
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +26,19 @@ PHONE = r"(?i)(?:tel[eé]?f?[a-z\.]*|cel[a-z\.]*|fono|llam[ae]\w*|whatsapp|t:|ph
 FORMULA = r"^[=+\-@\t\r]"
 
 
+def arrow(kind: str) -> Callable:
+    """A function of Series as one of columns; the pandas UDF is made with each use, as its type asks for a session."""
+
+    def wrap(f: Callable) -> Callable:
+        @functools.wraps(f)
+        def call(*columns) -> Column:
+            return F.pandas_udf(f, kind)(*columns)
+
+        return call
+
+    return wrap
+
+
 def base_letters() -> tuple[str, str]:
     """Accented letters of the Latin blocks, and the letter below each accent."""
     pairs = []
@@ -55,14 +72,14 @@ def terms(text, stop: list[str] = STOP_WORDS) -> Column:
 
 
 def kw_match(text, keywords: list[str]) -> Column:
-    """The keywords that occur as whole words, whatever accents and case, sorted."""
-    base = norm(text)
-    hits = []
-    for word in sorted(set(keywords)):
-        plain = "".join(c for c in unicodedata.normalize("NFD", word) if unicodedata.category(c) != "Mn").lower().strip()
-        if plain:
-            hits.append(F.when(base.rlike(rf"(?U)(?<!\w){re.escape(' '.join(plain.split()))}(?!\w)"), F.lit(word)))
-    return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
+    """The keywords that occur as whole words, whatever accents and case, sorted; the text is folded once."""
+    plain = {w: " ".join("".join(c for c in unicodedata.normalize("NFD", w) if unicodedata.category(c) != "Mn").lower().split()) for w in sorted(set(keywords))}
+    tests = [(w, p, rf"(?U)(?<!\w){re.escape(p)}(?!\w)") for w, p in plain.items() if p]
+    if not tests:
+        return F.array().cast("array<string>")
+    # as the argument of a function the folded text is computed once; what does not contain a word needs no pattern
+    hits = lambda base: F.array_compact(F.array(*(F.when(base.contains(p) & base.rlike(pattern), F.lit(w)) for w, p, pattern in tests)))
+    return F.flatten(F.transform(F.array(norm(text)), hits))
 
 
 def clean_page(text) -> Column:
@@ -160,3 +177,52 @@ def verified_share(address, source) -> Column:
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(fold_accents(F.coalesce(c, F.lit("")))), F.lit("([a-z0-9]{3,})"), F.lit(1)))
     a = words(address)
     return F.when(F.size(a) == 0, 1.0).otherwise(F.size(F.array_intersect(a, words(source))) / F.size(a))
+
+
+def fold_1to1(text) -> Column:
+    """Without accents, in lower case, letter for letter, so that places in the text stay."""
+    return F.lower(F.translate(text, ACCENTED, PLAIN))
+
+
+@arrow("string")
+def compatible(text: pd.Series) -> pd.Series:
+    """NFKC of a text."""
+    return text.map(lambda t: t and unicodedata.normalize("NFKC", t))
+
+
+@arrow("string")
+def decomposed(text: pd.Series) -> pd.Series:
+    """NFKD of a text without its combining characters."""
+    return text.map(lambda t: t and "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
+
+
+@arrow("string")
+def unescaped(text: pd.Series) -> pd.Series:
+    """A text with its HTML entities as characters."""
+    return text.map(lambda t: t and html.unescape(t))
+
+
+def squeezed(text) -> Column:
+    return F.trim(F.regexp_replace(text, "(?U)\\s+", " "))
+
+
+def clean_text(text) -> Column:
+    """Compatible forms composed, format characters dropped, white space collapsed."""
+    return squeezed(F.regexp_replace(compatible(F.coalesce(text, F.lit(""))), "\\p{Cf}", ""))
+
+
+def norm_compat(text) -> Column:
+    """``norm`` that takes compatible forms apart too."""
+    return squeezed(F.lower(decomposed(F.coalesce(text, F.lit("")))))
+
+
+def unescape_clean(text) -> Column:
+    return squeezed(unescaped(F.coalesce(text, F.lit(""))))
+
+
+def sheet_cell(value, kind: str, most: int = 32767) -> Column:
+    """A cell of a spreadsheet as text: no control characters, cut at the limit; no number for NaN and infinity."""
+    if kind in ("double", "float"):
+        return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value.cast("string"))
+    text = F.to_json(value) if kind.startswith(("array", "struct", "map")) else value.cast("string")
+    return F.substring(F.regexp_replace(text, "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]", ""), 1, most)

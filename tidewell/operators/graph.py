@@ -3,68 +3,99 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names; a temporary one only where none is set and all tasks run in this process."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint into the folder that the cluster names; a temporary one only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, parts)
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """(node, root) of the pairs (a, b), root being the smallest node: labels and their jumps until nothing changes."""
     arcs = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"))
     arcs = cut(arcs.union(arcs.select("y", "x")).distinct())
-    labels = cut(arcs.groupBy(F.col("x").alias("node")).agg(F.least(F.first("x"), F.min("y")).alias("root")))
+    labels = cut(arcs.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("y")).select("node", F.least("node", "y").alias("root")))
     while True:
         heard = arcs.join(labels.withColumnRenamed("node", "y"), "y").groupBy(F.col("x").alias("node")).agg(F.min("root").alias("heard"))
-        nearer = labels.join(heard, "node").select("node", F.least("root", "heard").alias("root"))
+        nearer = labels.join(heard, "node").select("node", F.col("root").alias("was"), F.least("root", "heard").alias("root"))
         jump = nearer.select(F.col("node").alias("root"), F.col("root").alias("over"))
-        after = cut(nearer.join(jump, "root").select("node", F.col("over").alias("root")))
-        if after.join(labels, ["node", "root"], "left_anti").isEmpty():
-            return after
-        labels = after
+        after = cut(nearer.join(jump, "root").select("node", F.col("over").alias("root"), (F.col("over") != F.col("was")).alias("moved")))
+        labels = after.select("node", "root")
+        if after.where("moved").isEmpty():
+            return labels
 
 
 def ancestors(edges: DataFrame) -> DataFrame:
-    """(node, ancestor) for edges (source, target): the transitive closure upstream."""
+    """(node, ancestor) for edges (source, target): the transitive closure upstream, a front of new pairs at a time."""
     step = edges.select(F.col("target").alias("node"), F.col("source").alias("ancestor")).distinct()
-    known = front = cut(step)
-    while not front.isEmpty():
-        further = front.join(step.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("next")), "ancestor")
-        front = cut(further.select("node", F.col("next").alias("ancestor")).distinct().join(known, ["node", "ancestor"], "left_anti"))
-        known = cut(known.union(front))
-    return known
+    fronts = [cut(step)]
+    above = fronts[0].select(F.col("node").alias("ancestor"), F.col("ancestor").alias("next"))
+    while not fronts[-1].isEmpty():
+        further = fronts[-1].join(above, "ancestor").select("node", F.col("next").alias("ancestor")).distinct()
+        fronts.append(cut(further.join(union(fronts), ["node", "ancestor"], "left_anti")))
+    return union(fronts)
 
 
 def levels(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(node, level), the longest way from a root, and (node) of those on or behind a cycle."""
-    nodes = edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct()
-    left, done, level = cut(nodes), None, 0
+    nodes = cut(edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct())
     rest = cut(edges.select("source", "target").distinct())
-    while True:
-        free = cut(left.join(rest.select(F.col("target").alias("node")), "node", "left_anti").withColumn("level", F.lit(level)))
-        if free.isEmpty():
-            empty = free.limit(0)
-            return (done if done is not None else empty), left
-        done = free if done is None else cut(done.union(free))
-        left = cut(left.join(free, "node", "left_anti"))
-        rest = cut(rest.join(free.select(F.col("node").alias("source")), "source", "left_anti"))
-        level += 1
+    fronts = [cut(nodes.join(rest.select(F.col("target").alias("node")), "node", "left_anti").withColumn("level", F.lit(0)))]
+    while not fronts[-1].isEmpty():
+        free = fronts[-1].select(F.col("node").alias("source"))
+        met = rest.join(free, "source", "left_semi").select(F.col("target").alias("node")).distinct()
+        rest = cut(rest.join(free, "source", "left_anti"))
+        # only what lies behind the front can be free next
+        free = met.join(rest.select(F.col("target").alias("node")), "node", "left_anti")
+        fronts.append(cut(free.withColumn("level", F.lit(len(fronts)))))
+    done = union(fronts)
+    return done, nodes.join(done.select("node"), "node", "left_anti")
 
 
 def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(node, depth): nodes that a walk of at most ``depth`` edges from the seeds reaches, with the shortest way."""
-    known = front = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
+    fronts = [cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))]
+    for at in range(1, depth + 1):
+        front = fronts[-1].select(F.col("node").alias("source"))
+        met = edges.join(front, "source", "left_semi").select(F.col("target").alias("node")).distinct()
+        fronts.append(cut(met.join(union(fronts).select("node"), "node", "left_anti").withColumn("depth", F.lit(at))))
+        if fronts[-1].isEmpty():
+            break
+    return union(fronts)
+
+
+def crawled(links: DataFrame, starts: DataFrame, site: str, depth: int, most: int) -> DataFrame:
+    """(site, node, depth) of pages that a walk along a site's own links reaches, at most ``most`` a site.
+
+    ``links``: (site, source, target); ``starts``: (site, node).  Nearer pages come first, then the smaller.
+    """
+    fronts = [cut(starts.select(site, "node").distinct().withColumn("depth", F.lit(0)))]
     for at in range(1, depth + 1):
-        met = front.join(edges, front["node"] == edges["source"]).select(F.col("target").alias("node")).distinct()
-        front = cut(met.join(known, "node", "left_anti").withColumn("depth", F.lit(at)))
-        if front.isEmpty():
+        front = fronts[-1].select(site, F.col("node").alias("source"))
+        met = links.join(front, [site, "source"], "left_semi").select(site, F.col("target").alias("node")).distinct()
+        fronts.append(cut(met.join(union(fronts).select(site, "node"), [site, "node"], "left_anti").withColumn("depth", F.lit(at))))
+        if fronts[-1].isEmpty():
             break
-        known = cut(known.union(front))
-    return known
+    place = F.row_number().over(Window.partitionBy(site).orderBy("depth", "node"))
+    return union(fronts).withColumn("nth", place).where(F.col("nth") <= most).drop("nth")

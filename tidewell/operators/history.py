@@ -73,3 +73,29 @@ def idle_sessions(events: DataFrame, keys: list[str], ts: str, idle: int, longes
     return numbered.groupBy(*keys, "sesion").agg(
         F.count(F.lit(1)).alias("eventos"), ((F.max("__us") - F.min("__us")) <= longest * 1_000_000).alias("vigente")
     )
+
+
+def latest_ok_results(runs: DataFrame, results: DataFrame, workflow: str, order: list, newest: int = 20) -> DataFrame:
+    """The newest ``ok`` result of each node among the last finished runs of each workflow."""
+    recent = runs.withColumn("nth", F.row_number().over(Window.partitionBy(workflow).orderBy(*order))).where(F.col("nth") <= newest)
+    met = results.where("status = 'ok'").join(recent.select("run_id", workflow, "nth"), "run_id")
+    newer = F.row_number().over(Window.partitionBy(workflow, "node_id").orderBy("nth"))
+    return met.withColumn("place", newer).where("place = 1").drop("place", "nth")
+
+
+#: Names of the days.
+DAYS = ["Lun", "Mar", "Mié", "Jue", "Vie", "Sáb", "Dom"]
+
+
+def described(kind: Column, time: Column, days: Column, every_minutes: Column) -> Column:
+    """A schedule in words: ``Lun–Vie a las 07:30``, ``Lun, Mié a las 07:30``, ``Todos los días a las 07:30``, ``Cada 3 h``, ``Cada 45 min``.
+
+    ``days``: a list of numbers with commas, 0 being Monday; none is every day.
+    """
+    given = F.filter(F.split(F.coalesce(days, F.lit("")), ","), lambda d: d != "")
+    names = F.transform(given, lambda d: F.element_at(F.array(*map(F.lit, DAYS)), d.cast("int") + 1))
+    listed = F.array_join(given, ",")
+    which = F.when(listed.isin("", "0,1,2,3,4,5,6"), "Todos los días").when(listed == "0,1,2,3,4", "Lun–Vie").otherwise(F.array_join(names, ", "))
+    hours = F.regexp_replace(F.round(every_minutes / 60, 3).cast("string"), "[.]0*$", "")
+    often = F.when(every_minutes < 120, F.format_string("Cada %d min", every_minutes)).otherwise(F.concat(F.lit("Cada "), hours, F.lit(" h")))
+    return F.when(kind == "interval", often).otherwise(F.concat(which, F.lit(" a las "), time))

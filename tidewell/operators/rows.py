@@ -11,11 +11,15 @@ from ..functions.text import csv_cell
 
 
 def first_per_key(df: DataFrame, key: Column, order: list) -> tuple[DataFrame, DataFrame]:
-    """The first row of each key, and the others; an empty or null key is never a duplicate."""
-    place = F.row_number().over(Window.partitionBy("__key").orderBy(*order))
-    ranked = df.withColumn("__key", F.nullif(key, F.lit(""))).withColumn("__place", place)
-    first = F.col("__key").isNull() | (F.col("__place") == 1)
-    return ranked.where(first).drop("__key", "__place"), ranked.where(~first).drop("__key", "__place")
+    """The first row of each key, and the others; an empty or null key is never a duplicate.
+
+    Rows without a key take no part in the ranking.
+    """
+    keyed = df.select(F.struct("*").alias("row"), F.nullif(key, F.lit("")).alias("key"))
+    place = F.row_number().over(Window.partitionBy("key").orderBy(*(F.col(f"row.`{c}`") if isinstance(c, str) else c for c in order)))
+    ranked = keyed.where("key IS NOT NULL").withColumn("place", place)
+    first = ranked.where("place = 1").select("row.*").union(keyed.where("key IS NULL").select("row.*"))
+    return first, ranked.where("place > 1").select("row.*")
 
 
 def discard_reason(df: DataFrame, rules: list[tuple[str, Column]], name: str = "motivo") -> DataFrame:
@@ -64,6 +68,17 @@ def changed_status(current: DataFrame, stored: DataFrame, key: str, digest: str)
     return current.join(old, key, "left").withColumn("estado", state).drop("__stored")
 
 
+def newest_per_group(df: DataFrame, group: str, order: list, most: int) -> DataFrame:
+    """The first ``most`` rows of each group."""
+    place = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    return df.withColumn("nth", place).where(F.col("nth") <= most).drop("nth")
+
+
+def seen_store(old: DataFrame, new: DataFrame, most: int = 20000) -> DataFrame:
+    """(medio, url) of both, each once, the last ``most`` of each outlet by URL, which is how the store is bounded."""
+    return newest_per_group(old.select("medio", "url").union(new.select("medio", "url")).distinct(), "medio", [F.desc("url")], most)
+
+
 def coerce_number(value: Column, least: float | None = None, most: float | None = None) -> tuple[Column, Column]:
     """A number with a decimal point or comma, and an error text or null."""
     number = F.replace(F.trim(value.cast("string")), F.lit(","), F.lit(".")).try_cast("double")
@@ -76,10 +91,43 @@ def coerce_number(value: Column, least: float | None = None, most: float | None
 
 
 # Words for yes and no.
-YES, NO = ("true", "1", "si", "sí", "yes", "on", "verdadero"), ("false", "0", "no", "off", "falso", "")
+YES = ["true", "1", "si", "sí", "yes", "y", "on", "verdadero"]
+NO = ["false", "0", "no", "n", "off", "falso"]
 
 
 def coerce_boolean(value: Column) -> tuple[Column, Column]:
     plain = F.lower(F.trim(value.cast("string")))
-    out = F.when(plain.isin(*YES), True).when(plain.isin(*NO), False)
+    out = F.when(plain.isin(YES), True).when(plain.isin(NO), False)
     return out, F.when(value.isNotNull() & out.isNull(), "no es sí o no")
+
+
+def coerced(df: DataFrame, fields: list[dict]) -> DataFrame:
+    """Text columns as typed ones, with ``errores`` and ``avisos``.
+
+    A field has ``key``, ``type`` (string, number, boolean, select, json) and maybe ``default``, ``required``,
+    ``min``, ``max``, ``options``.  A blank value takes the default; columns that no field names are warned of.
+    """
+    columns, errors = [], []
+    for field in fields:
+        key, kind = field["key"], field["type"]
+        given = F.col(f"`{key}`").cast("string") if key in df.columns else F.lit(None).cast("string")
+        blank = F.coalesce(F.trim(given) == "", F.lit(True))
+        text = F.when(blank, F.lit(field.get("default")).cast("string")).otherwise(given)
+        if kind == "number":
+            value, error = coerce_number(text, field.get("min"), field.get("max"))
+        elif kind == "boolean":
+            value, error = coerce_boolean(text)
+        elif kind == "select":
+            value = F.when(text.isin([str(o) for o in field["options"]]), text)
+            error = F.when(text.isNotNull() & value.isNull(), "no es una opción")
+        elif kind == "json":
+            value = F.try_parse_json(text)
+            error = F.when(text.isNotNull() & value.isNull(), "no es JSON")
+        else:
+            value, error = text, F.lit(None).cast("string")
+        missing = F.when(blank & F.lit(bool(field.get("required")) and field.get("default") is None), "falta")
+        columns.append(value.alias(key))
+        errors.append(F.concat(F.lit(key + ": "), F.coalesce(missing, error)))
+    unknown = [c for c in df.columns if c not in {f["key"] for f in fields}]
+    warnings = F.array(*(F.lit(f"{c}: desconocido") for c in unknown)) if unknown else F.array().cast("array<string>")
+    return df.select(*columns, F.array_compact(F.array(*errors)).alias("errores"), warnings.alias("avisos"))

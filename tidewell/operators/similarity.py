@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import terms
 from ..functions.urls import news_key
-from .graph import components
+from .graph import components, cut
 from .rows import first_per_key
 
 #: A posting list longer than this gives no candidates; how many rare terms a pair shares.
@@ -24,13 +24,12 @@ def document_frequencies(tf: DataFrame) -> DataFrame:
 
 def tfidf(df: DataFrame, key: str, text) -> DataFrame:
     """(key, term, df, n, w): (1 + ln tf) (ln((1 + n) / (1 + df)) + 1), each document scaled to length one."""
-    tf = term_frequencies(df, key, text)
+    tf = cut(term_frequencies(df, key, text))
     n = df.agg(F.count(F.lit(1)).alias("n"))
     weighed = tf.join(document_frequencies(tf), "term").join(F.broadcast(n))
     raw = (1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)
-    weighed = weighed.withColumn("raw", raw)
-    length = weighed.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"))
-    return weighed.join(length, key).select(key, "term", "df", "n", (F.col("raw") / F.col("length")).alias("w"))
+    length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
+    return weighed.withColumn("raw", raw).select(key, "term", "df", "n", (F.col("raw") / length).alias("w"))
 
 
 def similar_pairs(df: DataFrame, key: str, text, threshold: float = 0.4) -> DataFrame:
@@ -39,7 +38,8 @@ def similar_pairs(df: DataFrame, key: str, text, threshold: float = 0.4) -> Data
     Rare terms are in at most a quarter of the documents and in at most ``LONGEST_POSTING``, so a term
     gives a bounded number of candidates.
     """
-    vectors = tfidf(df, key, text)
+    # used three times: written once
+    vectors = cut(tfidf(df, key, text))
     rare = vectors.where((F.col("df") <= F.greatest(F.lit(3), F.floor(F.col("n") * 0.25))) & F.col("df").between(2, LONGEST_POSTING))
     one = rare.select("term", F.col(key).alias("a"))
     two = rare.select("term", F.col(key).alias("b"))
@@ -50,6 +50,18 @@ def similar_pairs(df: DataFrame, key: str, text, threshold: float = 0.4) -> Data
     return dot.where(F.col("sim") >= threshold).select("a", "b", F.round("sim", 4).alias("sim"))
 
 
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """Rows numbered from 1 in this order: within ranges of it, after as many as the ranges before hold."""
+    ranged = cut(df.orderBy(*order).withColumn("at", F.monotonically_increasing_id()))
+    part, place = F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    sizes = ranged.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
+    # one row for each range, so one task is enough
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("part", before.alias("before"))
+    met = ranged.select("*", part, place.alias("place")).join(offsets, "part")
+    return met.withColumn(name, F.col("before") + F.col("place")).drop("part", "place", "before", "at")
+
+
 def recurrence(df: DataFrame, threshold: float = 0.4, cross: bool = True, only_relevant: bool = False, max_rows: int = 0, chars: int = 1200) -> DataFrame:
     """Articles once per URL, with the group of the same story: id_recurrencia, recurrencia, nro_medios, medios.
 
@@ -72,9 +84,7 @@ def recurrence(df: DataFrame, threshold: float = 0.4, cross: bool = True, only_r
     groups = members.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.array_sort(F.collect_set(F.coalesce("medio", F.lit("")))).alias("outlets"))
     if cross:
         groups = groups.where("size(outlets) >= 2")
-    # the table of groups is numbered in one task, as its ids follow one order
-    number = F.row_number().over(Window.orderBy(F.desc("size"), "root"))
-    groups = groups.select("root", F.format_string("REC_%04d", number).alias("id_recurrencia"), "outlets")
+    groups = numbered(groups, [F.desc("size"), "root"], "nth").select("root", F.format_string("REC_%04d", "nth").alias("id_recurrencia"), "outlets")
     met = kept.join(members.select("_seq", "root"), "_seq", "left").join(groups, "root", "left")
     out = met.select(
         "_seq", "medio", "titulo", "url", "fecha_iso", F.coalesce("ind_relevante", F.lit(0)).alias("ind_relevante"),
@@ -93,3 +103,19 @@ def outlet_summary(df: DataFrame) -> DataFrame:
 
 def missing_outlets(df: DataFrame, expected: DataFrame) -> DataFrame:
     return expected.join(df.select("medio").distinct(), "medio", "left_anti")
+
+
+def global_summary(df: DataFrame) -> DataFrame:
+    """Rows, relevant ones, recurrent ones and groups of the whole."""
+    return df.agg(
+        F.count(F.lit(1)).alias("total"),
+        F.count_if(F.col("ind_relevante") == 1).alias("relevantes"),
+        F.count_if(F.col("recurrencia") == "Sí").alias("recurrentes"),
+        F.count_distinct(F.nullif(F.col("id_recurrencia"), F.lit(""))).alias("grupos"),
+    )
+
+
+def sorted_by(df: DataFrame, how: str, date: str = "fecha_iso", place: str = "_seq", outlet: str = "medio") -> DataFrame:
+    """The rows by relevance, by date, newest first, or by outlet and date; equal ones in their own order."""
+    orders = {"relevancia": [F.desc("ind_relevante"), F.desc("nro_medios"), F.desc(date)], "fecha": [F.desc(date)], "medio": [F.asc(outlet), F.desc(date)]}
+    return df.orderBy(*orders[how], place)

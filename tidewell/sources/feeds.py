@@ -1,54 +1,88 @@
-"""Feed bodies to items: RSS, RDF, Atom and sitemaps; sitemap indexes by a join with the other feeds."""
+"""Feed bodies to items: RSS, RDF, Atom and sitemaps; sitemap indexes by a join with the other feeds.
+
+A body goes through a streaming XML parser once.  What an entry says is a table of (field, element
+names); an entry's field is the first such element with text.
+"""
 
 from __future__ import annotations
 
 import re
-import xml.etree.ElementTree as ET
+from xml.parsers import expat
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed value: children of a sitemap index that are followed.
 CHILDREN = 10
-
-
-def local(tag) -> str:
-    return tag.rpartition("}")[2].lower() if isinstance(tag, str) else ""
-
-
-def first_text(element, *names: str) -> str:
-    return next((e.text.strip() for e in element.iter() if local(e.tag) in names and e.text and e.text.strip()), "")
-
-
-def tree(body: str):
-    """The parsed body; stray entities and leading noise are repaired once; else None."""
-    for text in (body, re.sub(r"&(?!(?:amp|lt|gt|quot|apos);|#)", "&amp;", body[max(body.find("<"), 0) :])):
+#: Elements that are entries, and the elements that hold each field of one.
+ENTRIES = {
+    "item": {"titulo": ["title"], "fecha_raw": ["pubdate", "date", "published", "updated"], "url": ["link", "guid"]},
+    "url": {"titulo": ["title"], "fecha_raw": ["publication_date", "lastmod"], "url": ["loc"]},
+    "sitemap": {"url": ["loc"]},
+}
+ENTRIES["entry"] = ENTRIES["item"]
+FIELDS = ["titulo", "fecha_raw", "url"]
+
+
+class FeedReader:
+    """Collects (kind, titulo, fecha_raw, url) of each entry while the parser runs."""
+
+    def __init__(self):
+        self.rows: list[tuple[str, str, str, str]] = []
+        self.kind, self.depth, self.at, self.known = None, 0, 0, {}
+        self.text: list[str] = []
+        self.parser = expat.ParserCreate(namespace_separator="}")
+        self.parser.StartElementHandler, self.parser.EndElementHandler = self.start, self.end
+        self.parser.CharacterDataHandler = self.text.append
+
+    @staticmethod
+    def name(tag: str) -> str:
+        return tag[tag.rfind("}") + 1 :].lower()
+
+    def start(self, tag: str, attributes: dict) -> None:
+        self.depth += 1
+        name = self.name(tag)
+        del self.text[:]
+        if self.kind is None and name in ENTRIES:
+            self.kind, self.at, self.known = name, self.depth, {}
+        elif self.kind and name == "link" and attributes.get("href"):
+            self.known.setdefault("href", attributes["href"].strip())
+
+    def end(self, tag: str) -> None:
+        if self.kind and self.depth == self.at:
+            self.finish()
+            self.kind = None
+        elif self.kind and (said := "".join(self.text).strip()):
+            self.known.setdefault(self.name(tag), said)
+        del self.text[:]
+        self.depth -= 1
+
+    def finish(self) -> None:
+        # of several names for a field the one that came first in the entry counts
+        order = {name: i for i, name in enumerate(self.known)}
+        found = {
+            field: self.known[min(there, key=order.get)] if (there := [n for n in names if n in self.known]) else ""
+            for field, names in ENTRIES[self.kind].items()
+        }
+        url = found["url"] or self.known.get("href", "")
+        if url:
+            kind = "child" if self.kind == "sitemap" else "item"
+            self.rows.append((kind, found.get("titulo", ""), found.get("fecha_raw", ""), url))
+
+
+def read_feed(body: str | None) -> list[tuple[str, str, str, str]]:
+    """Rows of ``FeedReader``; a body that is no XML, even with its stray ampersands escaped, is one error."""
+    body = body or ""
+    mended = re.sub(r"&(?![a-zA-Z]{2,4};|#)", "&amp;", body[body.find("<") :] if "<" in body else body)
+    for text in dict.fromkeys((body, mended)):
+        reader = FeedReader()
         try:
-            return ET.fromstring(text.encode())
-        except ET.ParseError:
-            continue
-    return None
-
-
-def items(body: str | None) -> list[tuple[str, str, str, str]]:
-    """(kind, title, date, url) of each entry; kind is item, child of an index, or error."""
-    root = tree(body or "")
-    if root is None:
-        return [("error", "", "", "")]
-    if local(root.tag) == "sitemapindex":
-        return [("child", "", "", e.text.strip()) for e in root.iter() if local(e.tag) == "loc" and e.text][:CHILDREN]
-    out = []
-    for e in root.iter():
-        if local(e.tag) in ("item", "entry"):
-            link = first_text(e, "link", "guid") or next((c.get("href") for c in e if local(c.tag) == "link" and c.get("href")), "")
-            row = (first_text(e, "title"), first_text(e, "pubdate", "date", "published", "updated"), link.strip())
-        elif local(e.tag) == "url":
-            row = (first_text(e, "title"), first_text(e, "publication_date", "lastmod"), first_text(e, "loc"))
-        else:
+            reader.parser.Parse(text.encode(), True)
+        except expat.ExpatError:
             continue
-        if row[2]:
-            out.append(("item", *row))
-    return out
+        children = [r for r in reader.rows if r[0] == "child"]
+        return children[:CHILDREN] if children else reader.rows
+    return [("error", "", "", "")]
 
 
 def parsed(feeds: DataFrame) -> DataFrame:
@@ -56,8 +90,8 @@ def parsed(feeds: DataFrame) -> DataFrame:
         import pandas as pd
 
         for frame in frames:
-            rows = [(u, n, *item) for u, body in zip(frame["feed_url"], frame["body"], strict=True) for n, item in enumerate(items(body))]
-            yield pd.DataFrame(rows, columns=["feed_url", "pos", "kind", "titulo", "fecha_raw", "url"])
+            rows = [(u, n, *item) for u, body in zip(frame["feed_url"], frame["body"], strict=True) for n, item in enumerate(read_feed(body))]
+            yield pd.DataFrame(rows, columns=["feed_url", "pos", "kind", *FIELDS])
 
     return feeds.select("feed_url", "body").mapInPandas(run, "feed_url string, pos int, kind string, titulo string, fecha_raw string, url string")
 
@@ -65,7 +99,14 @@ def parsed(feeds: DataFrame) -> DataFrame:
 def feed_items(feeds: DataFrame) -> DataFrame:
     """(feed_url, pos, titulo, fecha_raw, url); the items of an index are those of its children in ``feeds``."""
     each = parsed(feeds)
-    own = each.where("kind = 'item'").select("feed_url", "pos", "titulo", "fecha_raw", "url")
+    own = each.where("kind = 'item'").select("feed_url", "pos", *FIELDS)
     children = each.where("kind = 'child'").select(F.col("feed_url").alias("index_url"), F.col("url").alias("feed_url"))
-    followed = own.join(children, "feed_url").select(F.col("index_url").alias("feed_url"), "pos", "titulo", "fecha_raw", "url")
+    followed = own.join(children, "feed_url").select(F.col("index_url").alias("feed_url"), "pos", *FIELDS)
     return own.unionByName(followed)
+
+
+def feed_kind(declared: Column, body: Column) -> Column:
+    """``html`` or ``feed``: as declared, or with ``auto`` by how the body begins."""
+    start = F.ltrim(F.lower(F.substring(F.coalesce(body, F.lit("")), 1, 600)))
+    page = start.startswith("<!doctype html") | start.startswith("<html")
+    return F.when(declared == "html", "html").when((declared == "auto") & page, "html").otherwise("feed")
