@@ -9,8 +9,9 @@ their bytes by the rules gives back just these two.
 Texts are cut at spaces first where that is a boundary for the pattern of the pre-tokenizer too,
 and the ids of such pieces are remembered in a cache of bounded size, as words repeat.
 
-Defined results: a null text counts as empty and has no ids; other columns are ignored; rows that
-repeat are encoded each.  The vocabulary file is read by its path on every executor.
+Defined results: a null text counts as empty and has no ids; texts of any length are taken whole; rows
+that repeat are encoded each; an empty table gives an empty result; other columns, of whatever name, are
+ignored.  The vocabulary file is read by its path on every executor.
 """
 
 from __future__ import annotations

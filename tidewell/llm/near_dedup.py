@@ -13,8 +13,11 @@ all others is small whatever the corpus, at most the mean number of different wo
 over ``COMMON``, and is sent to the executors.
 
 Defined results: texts of fewer than five words are one shingle; a text without words, a null text
-included, is in a class of its own text; of rows that repeat a ``doc_id`` and a text one stays; a null
-``doc_id`` comes after all others; other columns are carried through by ``deduplicate``.
+included, is in a class of its own text; texts of any length are taken whole; of shingles that tie in a
+sample the first by hash is picked, in all texts alike; of rows that repeat a ``doc_id`` and a text one
+stays, of a class the one with the smallest ``doc_id``, then text key; a null ``doc_id`` comes after all
+others; an empty table gives an empty result; other columns, of whatever name, are carried through by
+``deduplicate``.
 """
 
 from __future__ import annotations

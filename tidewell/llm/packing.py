@@ -6,8 +6,9 @@ quarters and eighths; what is left, shorter than an eighth, goes to the class 1
 A partition packs what it reads and shuffles nothing; it holds only the open sequence of each class,
 and at its end packs the pieces of those, a bounded number, by first fit.
 
-Defined results: a null or empty text has the end id alone; rows that repeat are packed each; a null
-``doc_id`` stays null; other columns are ignored.
+Defined results: a null or empty text has the end id alone; texts of any length are taken whole; rows
+that repeat are packed each; pieces of one class go in the order of their rows; a null ``doc_id`` stays
+null; an empty table gives an empty result; other columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ rest of a rule's items is then tested, and the most confident rule decides, else
 
 Defined results: a null URL, or one without ``://``, has an empty host and path and no tokens; of
 rules that are equally confident, block wins; without labelled URLs nothing is mined; rows that
-repeat are judged each; other columns are ignored.
+repeat are judged each; URLs of any length are taken whole; an empty table gives an empty result; other
+columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scratch
 
 SUPPORT, CONFIDENCE = 0.002, 0.5
 LABEL = "label="
@@ -67,32 +68,33 @@ def alike(baskets: DataFrame, least: float) -> DataFrame:
     return sets.where(F.col("n") >= least).groupBy("n", "x", "y").agg(F.min("token").alias("item"), F.sort_array(F.collect_list("token")).alias("tokens")).select("item", "tokens")
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, scratch: Scratch | None = None) -> DataFrame:
     """Rules of (tokens, blocked): antecedent, verdict, confidence and the key that indexes them.
 
     An antecedent is a list of items, each the tokens of which a URL needs one.
     """
     label = F.when(F.col("blocked"), LABEL + "block").otherwise(LABEL + "allow")
+    scratch = scratch or Scratch(labelled.sparkSession)
     given = labelled.where("size(tokens) > 0").select(F.monotonically_increasing_id().alias("basket"), "tokens", label.alias("label"))
-    baskets = written(given, "baskets")
+    baskets = scratch.keep(given, "baskets")
     total = baskets.count()
     if not total:
         return labelled.sparkSession.createDataFrame([], RULES)
-    items = written(alike(baskets, support * total), "items")
+    items = scratch.keep(alike(baskets, support * total), "items")
     own = baskets.select("basket", "label", F.explode("tokens").alias("item")).join(items.select("item"), "item")
     own = own.groupBy("basket").agg(F.collect_list("item").alias("found"))
     met = baskets.select("basket", "label").join(own, "basket", "left")
-    reduced = written(met.select(F.concat(F.coalesce("found", F.array().cast("array<string>")), F.array("label")).alias("items")), "baskets")
+    reduced = scratch.keep(met.select(F.concat(F.coalesce("found", F.array().cast("array<string>")), F.array("label")).alias("items")), "baskets")
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(reduced)
     found = model.associationRules.where(
         F.col("consequent")[0].startswith(LABEL) & ~F.exists("antecedent", lambda t: t.startswith(LABEL))
     ).select(F.monotonically_increasing_id().alias("rule"), "antecedent", F.substring(F.col("consequent")[0], len(LABEL) + 1, 99).alias("verdict"), "confidence")
-    found = written(found, "mined")
+    found = scratch.keep(found, "mined")
     single = model.freqItemsets.where("size(items) = 1").select(F.col("items")[0].alias("item"), "freq")
     each = found.select("rule", F.explode("antecedent").alias("item")).join(single, "item").join(items, "item")
     keyed = each.groupBy("rule").agg(F.collect_list("tokens").alias("sets"), F.min_by("tokens", F.struct("freq", "item")).alias("keys"))
     rules = found.drop("antecedent").join(keyed, "rule")
-    return written(rules.select(F.col("sets").alias("antecedent"), "verdict", "confidence", F.explode("keys").alias("key")), "rules")
+    return scratch.keep(rules.select(F.col("sets").alias("antecedent"), "verdict", "confidence", F.explode("keys").alias("key")), "rules")
 
 
 def judge(urls: DataFrame, mined: DataFrame) -> DataFrame:
@@ -113,7 +115,10 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str,
     rows = pages.select(F.col("page_id").alias("page_id"), F.col("url").cast("string").alias("url")).select("page_id", "url", host.alias("host"), path.alias("path"))
     rows = rows.withColumn("tokens", tokens(F.col("url"), F.col("host"), F.col("path")))
     known = rows.select("page_id", "tokens").join(labels.select("page_id", "blocked"), "page_id").where("blocked IS NOT NULL")
-    judged = judge(rows, mine(known, support, confidence))
+    scratch = Scratch(pages.sparkSession)
+    # written, so that a join may deal out the many rows of one set of tokens
+    judged = scratch.keep(judge(rows, mine(known, support, confidence, scratch)), "judged")
+    scratch.drop_all_but(judged)
     rule, verdict = given_rule(F.col("host"), F.col("path"), rules)
     met = rows.join(judged, "tokens", "left")
     return met.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, "judged", F.lit("allow")).alias("verdict"))

@@ -9,7 +9,8 @@ that runs again leaves nothing wrong behind.
 Defined results: a null payload is empty; of equal payloads of at least ``revisit_from`` bytes the one
 with the smallest ``page_id`` is a response and the others revisit it, rows that repeat that very
 ``page_id`` being responses too; a null ``page_id`` comes after all others, and where all ids are null
-every row is a response; other columns are ignored.
+every row is a response; payloads of any length are taken whole, chunk by chunk; an empty table gives no
+archives; other columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
@@ -69,7 +70,9 @@ def records(pages: DataFrame, payload: str = "html", revisit_from: int = 0) -> D
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("payload"))
     rows = rows.withColumn("length", F.octet_length("payload").cast("long")).withColumn("sha1", F.sha1("payload"))
     same = rows.where(F.col("length") >= revisit_from).groupBy("length", "sha1").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    met = rows.join(same.where("n > 1").drop("n"), ["length", "sha1"], "left")
+    # written, so that a join may deal out the many rows of one payload, or send the few that repeat
+    repeated = written(same.where("n > 1").drop("n"), "repeated")
+    met = rows.join(repeated, ["length", "sha1"], "left")
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return met.select(
         "page_id", "url", "payload", "length", "sha1",
