@@ -108,7 +108,7 @@ def alike(x, y) -> F.Column:
 
 def near_by_sketch(x: F.Column, y: F.Column, threshold: float) -> F.Column:
     """May the lines of two sketches reach the threshold?"""
-    both = F.size(x) + F.size(y)
+    both = F.greatest(F.size(x) + F.size(y), F.lit(1))
     deviation = F.sqrt(threshold * (1 - threshold) * (1 + threshold) / both)
     least = threshold - SLACK * deviation
     return (both < SKETCHED) | (F.size(F.array_intersect(x, y)) >= least / (1 + least) * both)
