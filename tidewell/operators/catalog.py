@@ -8,20 +8,27 @@ from pyspark.sql import functions as F
 from ..functions.text import norm
 
 
+#: Letters of a line's start by which names that may contain it are found.
+GRAM = 3
+
+
 def name_match(lines: DataFrame, catalogue: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Hits (linea, id, nombre) and misses (linea).
 
     A line of digits names an id; any other line matches equal names, or if there are none, names that
-    contain it.  The list of lines is what a user typed, so it is the side that is broadcast.
+    contain it.  Those are found by the first letters of the line among the letter groups of the names.
     """
-    asked = lines.select("linea", norm(F.col("linea")).alias("__line"))
-    known = catalogue.select(F.col("id").cast("string").alias("id"), "nombre", norm(F.col("nombre")).alias("__name"))
-    digits = F.col("__line").rlike("^[0-9]+$")
-    fits = F.when(digits, F.col("id") == F.col("__line")).otherwise(F.contains("__name", "__line"))
-    met = known.join(F.broadcast(asked.where("__line <> ''")), fits)
-    exact = met.withColumn("__exact", (digits | (F.col("__name") == F.col("__line"))).cast("int"))
-    best = exact.groupBy("linea").agg(F.max("__exact").alias("__best"))
-    hits = exact.join(F.broadcast(best), "linea").where("__exact = __best").select("linea", "id", "nombre").distinct()
+    asked = lines.select("linea", norm(F.col("linea")).alias("line")).where("line <> ''").distinct()
+    known = catalogue.select(F.col("id").cast("string").alias("id"), "nombre", norm(F.col("nombre")).alias("name"))
+    digits = F.col("line").rlike("^[0-9]+$")
+    by_id = asked.where(digits).join(known.withColumn("line", F.col("id")), "line")
+    by_name = asked.where(~digits).join(known.withColumn("line", F.col("name")), "line")
+    exact = by_id.select("linea", "id", "nombre").union(by_name.select("linea", "id", "nombre"))
+    rest = asked.where(~digits).join(exact.select("linea"), "linea", "left_anti").withColumn("gram", F.substring("line", 1, GRAM))
+    groups = F.expr(f"flatten(transform(sequence(1, {GRAM}), n -> transform(sequence(1, greatest(length(name) - n + 1, 1)), i -> substring(name, i, n))))")
+    parts = known.withColumn("gram", F.explode(F.array_distinct(groups)))
+    partly = rest.join(parts, "gram").where(F.contains("name", "line")).select("linea", "id", "nombre")
+    hits = exact.union(partly).distinct()
     return hits, lines.join(hits.select("linea").distinct(), "linea", "left_anti")
 
 
