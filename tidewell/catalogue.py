@@ -69,13 +69,13 @@ def url_key(spark, sf):
     return table(spark, sf, "pages").select("page_id", U.url_key(F.col("url")).alias("clave"), U.news_key(F.col("url")).alias("clave_noticia"))
 
 
-@query(f"SELECT page_id, url AS valida, regexp_extract({PATH}, '^/+([^/]+)', 1) AS seccion FROM pages WHERE {HOST} LIKE '%.%'")
+@query(rf"""SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN url WHEN 2 THEN 'https://' || regexp_replace(url, '^https?://', '') END AS valida,
+   regexp_extract({PATH}, '^/+([^/]+)', 1) AS seccion FROM pages WHERE {HOST} LIKE '%.%'""")
 def url_valid_norm(spark, sf):
-    """The host is cut off and must be taken for a bare domain again."""
-    bare = F.regexp_replace("url", "^https?://", "")
-    scheme = F.regexp_extract("url", "^(https?)://", 1)
-    again = F.when(scheme == "https", U.valid_url(bare)).otherwise(U.valid_url(F.col("url")))
-    return table(spark, sf, "pages").select("page_id", again.alias("valida"), U.section(F.col("url")).alias("seccion")).where("valida IS NOT NULL")
+    """URLs as they are, in quotes, without their scheme, and in a sentence, which is none."""
+    url, kind = F.col("url"), F.col("page_id") % 4
+    given = F.when(kind == 0, url).when(kind == 1, F.concat(F.lit(' "'), url, F.lit("'> "))).when(kind == 2, F.regexp_replace(url, "^https?://", "")).otherwise(F.concat(F.lit("ver "), url))
+    return table(spark, sf, "pages").where(U.host(url).contains(".")).select("page_id", U.valid_url(given).alias("valida"), U.section(url).alias("seccion"))
 
 
 @query(f"SELECT page_id, regexp_matches(lower({PATH}), '\\.({'|'.join(U.SKIPPED_FILES)})$') AS archivo FROM pages")
@@ -208,6 +208,17 @@ def txt_kw_tag(spark, sf):
     return table(spark, sf, "documents").select("doc_id", (F.size(found) > 0).cast("int").alias("ind_relevante"))
 
 
+TITLED = "substr(split_part(text, chr(10), 1), 1, 80) || ' https://' || source || '.example.com/' || lang"
+
+
+@query(f"SELECT doc_id FROM documents WHERE NOT regexp_matches(' ' || {NORM.format(TITLED)} || ' ', '[^a-z0-9_](der|fr|src1)[^a-z0-9_]')")
+def filt_exclude_kw(spark, sf):
+    """Articles without these words in their title and URL."""
+    title = F.substring(F.split("text", "\n")[0], 1, 80)
+    url = F.concat(F.lit("https://"), "source", F.lit(".example.com/"), "lang")
+    return table(spark, sf, "documents").where(F.size(T.kw_match(F.concat_ws(" ", title, url), ["der", "FR", "src1"])) == 0).select("doc_id")
+
+
 @query("""SELECT source AS medio, count(*) FILTER (length(text) > 0 AND length(text) < 250) AS cortos,
           count(*) FILTER (coalesce(length(text), 0) = 0) AS vacios, count(*) FILTER (length(text) >= 250) AS quedan FROM documents GROUP BY source""")
 def agg_discards(spark, sf):
@@ -458,11 +469,11 @@ def sort_nulls_last(spark, sf):
     return met.orderBy(F.asc_nulls_last("quality"), "doc_id")
 
 
-@query("SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 60")
+@query("SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 7")
 def limit_rows(spark, sf):
-    """The first sixty articles of each outlet, which is what the operator is for."""
+    """The first seven articles of each outlet, which is what the operator is for."""
     w = Window.partitionBy("source").orderBy("doc_id")
-    return table(spark, sf, "documents").select("doc_id", F.row_number().over(w).alias("p")).where("p <= 60").select("doc_id")
+    return table(spark, sf, "documents").select("doc_id", F.row_number().over(w).alias("p")).where("p <= 7").select("doc_id")
 
 
 # ---------------------------------------------------------------- documents as pages
