@@ -169,7 +169,7 @@ def page_pubdate(spark, sf):
 def page_title_backfill(spark, sf):
     even = F.col("page_id") % 2 == 0
     pages = table(spark, sf, "pages")
-    short = pages.where(F.length(T.squeezed(F.regexp_extract("html", "<title>([^<]*)</title>", 1))).between(1, 40))
+    short = pages.where(F.length(T.unescape_clean(F.regexp_extract("html", "<title>([^<]*)</title>", 1))).between(1, 40))
     items = short.select("page_id", F.when(even, "Titular de la nota más larga").otherwise("Nota").alias("titulo"), F.when(even, "2026-01-01").otherwise("").alias("fecha_raw"))
     return html.filled_from_page(items, html.page_articles(pages), "page_id")
 
