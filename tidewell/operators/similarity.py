@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import terms
 from ..functions.urls import news_key
-from .graph import components, cut
+from .graph import components, cut, stored
 from .rows import first_per_key
 
 #: A posting list longer than this gives no candidates; how many rare terms a pair shares.
@@ -24,7 +24,7 @@ def document_frequencies(tf: DataFrame) -> DataFrame:
 
 def tfidf(df: DataFrame, key: str, text) -> DataFrame:
     """(key, term, df, n, w): (1 + ln tf) (ln((1 + n) / (1 + df)) + 1), each document scaled to length one."""
-    tf = cut(term_frequencies(df, key, text))
+    tf = stored(term_frequencies(df, key, text))
     n = df.agg(F.count(F.lit(1)).alias("n"))
     weighed = tf.join(document_frequencies(tf), "term").join(F.broadcast(n))
     raw = (1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)
@@ -39,7 +39,7 @@ def similar_pairs(df: DataFrame, key: str, text, threshold: float = 0.4) -> Data
     gives a bounded number of candidates.
     """
     # used three times: written once
-    vectors = cut(tfidf(df, key, text))
+    vectors = stored(tfidf(df, key, text))
     rare = vectors.where((F.col("df") <= F.greatest(F.lit(3), F.floor(F.col("n") * 0.25))) & F.col("df").between(2, LONGEST_POSTING))
     one = rare.select("term", F.col(key).alias("a"))
     two = rare.select("term", F.col(key).alias("b"))
