@@ -30,8 +30,10 @@ from .language import chosen_below, held_out
 BUCKETS, ORDERS, SHAPES = 1 << 16, 4, 3
 #: Labelled rows that the linear model is fitted on.
 SAMPLE = 4000
+#: Rows with fewer indicators are unpacked once, others at each visit, so that the sample needs little memory.
+FEW = 8192
 #: Added to all counts; cost of a violated margin; passes over the sample.
-SMOOTH, COST, PASSES = 1.0, 1.0, 20
+SMOOTH, COST, PASSES = 1.0, 1.0, 12
 #: From this score on a text is predicted to be good.
 GOOD = 0.7
 
@@ -110,7 +112,7 @@ def ratios(ones: np.ndarray, zeros: np.ndarray) -> np.ndarray:
     return np.log((p / p.sum()) / (q / q.sum()))
 
 
-def descent(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: float, passes: int) -> tuple[np.ndarray, float]:
+def descent(rows: list[bytes], y: np.ndarray, ratio: np.ndarray, cost: float, passes: int) -> tuple[np.ndarray, float]:
     """Weights and bias of the hinge-loss model: one dual variable at a time moves to its optimum within its box.
 
     ``rows`` are packed indicators; violated margins of both classes cost the same in all.
@@ -119,10 +121,11 @@ def descent(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: floa
     weights, bias, dual = np.zeros(BUCKETS), 0.0, np.zeros(len(rows))
     share = np.where(y == 1, (y == 1).mean(), (y == 0).mean())
     most = cost / (2 * np.maximum(share, 1e-9))
+    few = [own if len(own) < FEW else None for own in map(unpacked, rows)]
     for _ in range(passes):
         moves = 0.0
         for i in rng.permutation(len(rows)):
-            own = unpacked(rows[i])
+            own = unpacked(rows[i]) if few[i] is None else few[i]
             value = ratio[own]
             norm = max(np.sqrt(value @ value), 1e-12)
             sign = 2 * y[i] - 1
@@ -171,7 +174,7 @@ def packed(own: np.ndarray) -> bytes:
 
 
 def unpacked(bits: bytes) -> np.ndarray:
-    return np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8)))
+    return np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8))).astype(np.int32)
 
 
 def fit(ones: np.ndarray, zeros: np.ndarray, rows: list[bytes], y: np.ndarray) -> Model:
