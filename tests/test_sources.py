@@ -1,6 +1,10 @@
 """Sources, page structure, places, answers and locks on small fixtures."""
 
 import datetime
+import random
+import re
+import sys
+from html.parser import HTMLParser
 
 from pyspark.sql import functions as F
 
@@ -156,3 +160,151 @@ def test_article_links_of_a_page(spark):
     page = "<a href='/a/una-noticia-muy-larga#x'>T</a><a href='/a/una-noticia-muy-larga/'>U</a><a href='/tag/una-noticia-muy-larga'>V</a><a href='mailto:x'>m</a><a href='http://z/a/una-noticia-muy-larga'>W</a>"
     df = spark.createDataFrame([(1, "http://a.pe/q", page)], "page_id long, url string, html string")
     assert [(r.titulo, r.url) for r in html.article_links(df).collect()] == [("T", "http://a.pe/a/una-noticia-muy-larga")]
+
+
+def plain_article(page):
+    """A tree of nodes read by plain recursion: an independent form of the choice of the main text."""
+    from tidewell.sources.elements import clean, folded
+    from tidewell.sources.tags import ASIDE_NAME, ASIDE_TAGS, ASIDE_TEXT, BODY_NAME, BODY_TAGS, ENDS_PARAGRAPH, INLINE, LENGTHS
+
+    nodes = [{"tag": "#root", "name": "", "up": None, "kids": []}]
+
+    class Tree(HTMLParser):
+        at = 0
+
+        def handle_starttag(self, tag, attrs):
+            here = nodes[self.at]
+            if here["tag"] == tag and tag in ("p", "li") or here["tag"] == "p" and tag in ENDS_PARAGRAPH:
+                self.at = here["up"]
+            nodes.append({"tag": tag, "name": dict(attrs).get("class") or "", "up": self.at, "kids": []})
+            nodes[self.at]["kids"].append(len(nodes) - 1)
+            self.at = len(nodes) - 1
+
+        def handle_endtag(self, tag):
+            n = self.at
+            while n is not None and nodes[n]["tag"] != tag:
+                n = nodes[n]["up"]
+            if n:
+                self.at = nodes[n]["up"]
+
+        def handle_data(self, data):
+            if data.strip():
+                nodes[self.at]["kids"].append(data)
+
+    reader = Tree()
+    reader.feed(page)
+    reader.close()
+
+    def text(n, linked=None):
+        out = []
+        for k in nodes[n]["kids"]:
+            if isinstance(k, str):
+                out += [k] if linked is None or linked else []
+            else:
+                out += text(k, linked if linked is None else linked or nodes[k]["tag"] == "a")
+        return out
+
+    def inside(n):
+        yield n
+        for k in nodes[n]["kids"]:
+            if not isinstance(k, str):
+                yield from inside(k)
+
+    def paragraphs(box, p_least=40):
+        out = []
+        for n in inside(box):
+            node, t = nodes[n], clean(" ".join(text(n)))
+            if node["tag"] not in LENGTHS:
+                continue
+            least, most = LENGTHS[node["tag"]]
+            least = p_least if least == 40 else least
+            tags = [nodes[k]["tag"] for k in node["kids"] if not isinstance(k, str)]
+            up, aside = n, False
+            while up != box:
+                aside = aside or nodes[up]["tag"] in ASIDE_TAGS and re.search(ASIDE_NAME, nodes[up]["name"])
+                up = nodes[up]["up"]
+            bad = node["tag"] == "div" and not set(tags) <= set(INLINE) or node["tag"] == "li" and nodes[node["up"]]["tag"] not in ("ul", "ol")
+            linked = sum(len(x.strip()) for x in text(n, False))
+            if len(t) >= least and not (most and len(t) > most) and not (bad or aside or linked > len(t) / 2 or re.match(ASIDE_TEXT, folded(t))):
+                if out[-1:] != [t]:
+                    out.append(t)
+        return out
+
+    def longest(boxes):
+        return max((paragraphs(b) for b in boxes), key=lambda ps: sum(map(len, ps)), default=[])
+
+    scores = {}
+    for n in inside(0):
+        t = clean(" ".join(text(n)))
+        if nodes[n]["tag"] == "p" and len(t) >= 60 and sum(len(x.strip()) for x in text(n, False)) <= len(t) / 2 and not re.match(ASIDE_TEXT, folded(t)):
+            up, weight = nodes[n]["up"], 1
+            while up is not None and weight > 0.3:
+                scores[up] = scores.get(up, 0) + weight * (1 + min(len(t) // 100, 3) + t.count(","))
+                up, weight = nodes[up]["up"], weight / 2
+    ways = {
+        "pista_de_cuerpo": longest([n for n in inside(0) if nodes[n]["tag"] in BODY_TAGS and re.search(BODY_NAME, nodes[n]["name"])]),
+        "article": longest([n for n in inside(0) if nodes[n]["tag"] == "article"]),
+        "main": longest([n for n in inside(0) if nodes[n]["tag"] == "main"]),
+        "contenedor_denso": paragraphs(max(scores, key=scores.get)) if scores else [],
+    }
+    for way, ps in ways.items():
+        if sum(map(len, ps)) > 250:
+            return way, "\n".join(ps)
+    rest = paragraphs(0, 30)
+    return ("todos_los_p", "\n".join(rest)) if rest else ("vacio", "")
+
+
+def test_main_text_equals_a_plain_tree(spark):
+    """Random nested pages, unclosed and wrongly closed tags among them, give the rows of the plain form."""
+    rng = random.Random(8)
+    tags = ["p", "p", "p", "div", "div", "li", "ul", "blockquote", "section", "article", "main", "span", "b", "a", "h2", "td"]
+    names = ["", "", "", "cuerpo", "related", "menu", "x"]
+    words = ["uno", "dos,", "tres", "publicidad", "Lee también:", "cuatro cinco seis siete ocho nueve diez once doce", "año"]
+
+    def page():
+        out, open_ = [], []
+        for _ in range(rng.randint(1, 60)):
+            kind = rng.random()
+            if kind < 0.4:
+                open_.append(rng.choice(tags))
+                out.append(f"<{open_[-1]} class='{rng.choice(names)}'>")
+            elif kind < 0.65:
+                out.append(f"</{open_.pop() if open_ and rng.random() < 0.8 else rng.choice(tags)}>")
+            else:
+                out.append(" ".join(rng.choices(words, k=rng.choice([1, 3, 9, 9]))))
+        return "".join(out)
+
+    pages = {i: page() for i in range(400)}
+    df = spark.createDataFrame(list(pages.items()), "page_id long, html string")
+    got = {r.page_id: (r.estrategia, r.texto) for r in html.page_articles(df).collect()}
+    want = {i: plain_article(p) for i, p in pages.items()}
+    assert got == want and len({way for way, _ in want.values()}) >= 5
+
+
+def test_one_row_for_each_page(spark):
+    page = f"<article>{''.join(f'<p>{LONG}{i}</p>' for i in range(4))}</article>"
+    df = spark.createDataFrame([(1, page, "u"), (1, page, "u"), (None, page, "u"), (2, None, None)], "page_id long, html string, title string")
+    got = html.page_articles(df).collect()
+    assert sorted((r.page_id or 0, r.estrategia) for r in got) == [(0, "article"), (1, "article"), (1, "article"), (2, "vacio")]
+    assert html.page_articles(df.limit(0)).count() == 0
+    assert [r.pos for r in html.page_paragraphs(df.where("page_id IS NULL")).orderBy("pos").collect()] == [0, 1, 2, 3]
+
+
+def test_elements_in_linear_time():
+    """Work grows with the elements, however deep they are nested."""
+    from tidewell.sources import elements
+
+    def steps(n):
+        counted = 0
+
+        def tick(*_):
+            nonlocal counted
+            counted += 1
+
+        sys.setprofile(tick)
+        elements.read("<div class='cuerpo'><p><span>" * n + "texto " * 20)
+        sys.setprofile(None)
+        return counted
+
+    assert steps(4000) < 4.4 * steps(1000)
+    assert elements.read("<div class='cuerpo'>" * 100_000 + "x" * 300).count == 100_001

@@ -12,6 +12,7 @@ from .functions import urls as U
 from .operators import catalog, docs, graph, history, rows, similarity
 from .plans import news
 from .sources import html
+from .sources.tags import ASIDE_TEXT
 from .streaming import events as streams
 
 QUERIES: dict = {}
@@ -625,11 +626,92 @@ def page_links(spark, sf):
     return html.page_links(table(spark, sf, "pages"))
 
 
-@query()
+# The pages have one article: a heading, then paragraphs; one that begins with <b> is not closed, so it holds all that follow it.
+PAGE_PARTS = r"""
+    plain AS (
+      SELECT page_id, html, regexp_replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', '"'), '&amp;?', '&', 'g') AS title,
+             regexp_extract_all(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '<p>(?:<b>)?[^<]*<') AS parts,
+             trim(regexp_replace(regexp_replace(replace(regexp_extract(html, '<div class="ad">([^<]*)</div>', 1), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS ad
+      FROM pages
+    ),
+    items AS (
+      SELECT page_id, i, parts[i] LIKE '<p><b>%' AS opened,
+             trim(regexp_replace(regexp_replace(replace(regexp_extract(parts[i], '>([^<>]*)<$', 1), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS own
+      FROM plain, range(1, len(parts) + 1) r(i)
+    ),
+    paragraphs AS (
+      SELECT page_id, i, CASE WHEN opened THEN string_agg(nullif(own, ''), ' ') OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) ELSE own END AS text
+      FROM items
+    ),
+    {kept}
+"""
+#: Paragraphs of at least so many letters that are no asides and differ from the one before.
+KEPT = """{name} AS (
+      SELECT page_id, i, text FROM (SELECT *, lag(text) OVER (PARTITION BY page_id ORDER BY i) AS before FROM (SELECT * FROM {source} WHERE length(text) >= {least}
+        AND NOT regexp_matches(lower(strip_accents(text)), '""" + ASIDE_TEXT.removeprefix("(?i)") + """')))
+      WHERE before IS NULL OR before <> text
+    )"""
+
+
+@query(
+    "WITH" + PAGE_PARTS.format(kept=KEPT.format(name="strict", source="paragraphs", least=40) + "," + KEPT.format(
+        name="loose", source="(SELECT * FROM paragraphs UNION ALL SELECT page_id, 0, ad FROM plain WHERE length(ad) >= 60)", least=30)) + r"""
+    , main AS (SELECT page_id, string_agg(text, chr(10) ORDER BY i) AS text, sum(length(text)) AS letters FROM strict GROUP BY page_id),
+    rest AS (SELECT page_id, string_agg(text, chr(10) ORDER BY i) AS text FROM loose GROUP BY page_id)
+    SELECT page_id, CASE WHEN length(title) > 40 THEN trim(regexp_split_to_array(title, '\s[|\-–—]\s')[1]) ELSE title END AS titulo,
+           CASE WHEN letters > 250 THEN main.text ELSE coalesce(rest.text, '') END AS texto,
+           CASE WHEN letters > 250 THEN 'article' WHEN rest.text IS NOT NULL THEN 'todos_los_p' ELSE 'vacio' END AS estrategia, '' AS fecha
+    FROM (SELECT page_id, trim(regexp_replace(title, '\s+', ' ', 'g')) AS title FROM plain) LEFT JOIN main USING (page_id) LEFT JOIN rest USING (page_id)"""
+)
 def page_article(spark, sf):
     return html.page_articles(table(spark, sf, "pages"))
 
 
+@query(
+    "WITH" + PAGE_PARTS.format(kept=KEPT.format(name="strict", source="(SELECT * FROM paragraphs UNION ALL SELECT page_id, 0, ad FROM plain WHERE length(ad) >= 60)", least=40)) + r"""
+    SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INTEGER AS pos, text AS parrafo FROM strict"""
+)
+def page_paragraphs(spark, sf):
+    return html.page_paragraphs(table(spark, sf, "pages"))
+
+
+@query(
+    r"""WITH lines AS (
+      SELECT doc_id AS page_id, i, trim(regexp_replace(split_part(text, chr(10), i::INTEGER), '\s+', ' ', 'g')) AS text
+      FROM documents, range(1, length(text) - length(replace(text, chr(10), '')) + 2) r(i)
+    ),
+    telling AS (SELECT page_id, count(*) AS n FROM lines WHERE length(text) >= 60 AND NOT regexp_matches(lower(strip_accents(text)), '""" + ASIDE_TEXT.removeprefix("(?i)") + r"""') GROUP BY page_id),
+    """ + KEPT.format(name="strict", source="lines", least=40) + "," + KEPT.format(name="loose", source="lines", least=30) + r""",
+    main AS (SELECT page_id, string_agg(text, chr(10) ORDER BY i) AS text, sum(length(text)) AS letters FROM strict GROUP BY page_id),
+    rest AS (SELECT page_id, string_agg(text, chr(10) ORDER BY i) AS text FROM loose GROUP BY page_id),
+    chosen AS (
+      SELECT d.doc_id, main.text AS main, rest.text AS rest, trim(regexp_replace(d.text, '\s+', ' ', 'g')) AS whole,
+             CASE WHEN d.doc_id % 5 = 4 THEN CASE WHEN length(d.text) > 200 THEN 'json_ld' END
+                  WHEN letters > 250 THEN CASE d.doc_id % 5 WHEN 0 THEN 'pista_de_cuerpo' WHEN 1 THEN 'article' WHEN 2 THEN 'main' WHEN 3 THEN CASE WHEN telling.n > 0 THEN 'contenedor_denso' END END END AS way
+      FROM documents d LEFT JOIN main ON main.page_id = d.doc_id LEFT JOIN rest ON rest.page_id = d.doc_id LEFT JOIN telling ON telling.page_id = d.doc_id
+    )
+    SELECT doc_id, coalesce(way, CASE WHEN doc_id % 5 <> 4 AND rest IS NOT NULL THEN 'todos_los_p' ELSE 'vacio' END) AS estrategia,
+           CASE WHEN way = 'json_ld' THEN whole WHEN way IS NOT NULL THEN main WHEN doc_id % 5 = 4 THEN '' ELSE coalesce(rest, '') END AS texto
+    FROM chosen"""
+)
+def page_article_ways(spark, sf):
+    """Each document as a page, in one of five forms that the five ways to the main text are for."""
+    d = table(spark, sf, "documents")
+    marked = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
+    body = F.concat(F.lit("<p>"), F.regexp_replace(marked, "\n", "</p>\n<p>"), F.lit("</p>"))
+    aside = f"<div class='related'><p>{'Another story that is no part of this one. ' * 3}</p></div>"
+    ld = F.concat(F.lit('{"@graph": [{"name": "x"}, '), F.to_json(F.struct(F.col("text").alias("articleBody"))), F.lit("]}"))
+    form = [
+        F.concat(F.lit("<div><div class='post entry-content'>"), body, F.lit(aside + "</div></div>")),
+        F.concat(F.lit("<main><article>"), body, F.lit(aside + "</article></main>")),
+        F.concat(F.lit(aside + "<main><div>"), body, F.lit("</div></main>")),
+        F.concat(F.lit("<nav><p>No text.</p></nav><section><div>"), body, F.lit("</div></section>")),
+        F.concat(F.lit('<script type="application/ld+json">'), ld, F.lit("</script>")),
+    ]
+    pages = d.select(F.col("doc_id").alias("page_id"), F.element_at(F.array(*form), F.expr("cast(doc_id % 5 + 1 AS INT)")).alias("html"))
+    return html.page_articles(pages).select(F.col("page_id").alias("doc_id"), "estrategia", "texto")
+
+
 @query()
 def page_heading_ffill(spark, sf):
     return html.page_lines(table(spark, sf, "pages"))

@@ -11,16 +11,14 @@ from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame
 
-# Tags that end a line, tags whose content is not read, hosts of maps.
-LINE_TAGS = (
-    "p div li br tr td th h1 h2 h3 h4 h5 h6 section article address ul ol table footer header nav main aside form dd dt option"
-).split()
+from .tags import HEADINGS, LINE_TAGS
+
+# Tags whose content is not read, hosts of maps.
 UNREAD_TAGS = "script style noscript svg template".split()
 MAP_LINK = (
     r"(?i)(maps\.google\.|google\.[a-z.]+/maps|goo\.gl/maps|maps\.app\.goo\.gl|waze\.com|openstreetmap\.org|"
     r"maps\.apple\.com|bing\.com/maps)"
 )
-HEADINGS = ["h1", "h2", "h3", "h4"]
 
 SCHEMA = (
     "page_id long, url string, titulo string, h1 string, lineas array<struct<encabezado:string,linea:string>>, "
