@@ -202,7 +202,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int =
     if not total:
         return constant(0.5)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(named(docs, text), F.lit("")).alias("text"))
-    met = own.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).join(known, "doc_id")
+    # the same plan at every size: neither side is bounded
+    met = own.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).join(known.hint("merge"), "doc_id")
     order = F.xxhash64(F.lit(13), "doc_id", "text").bitwiseAND(F.lit((1 << 63) - 1))
     chosen = (order < F.lit(chosen_below(sample, total))) if total > sample else F.lit(True)
     learned = scratch.keep(met.select("quality", "text", chosen.alias("chosen")).mapInArrow(counted, COUNTS), "quality-counts")
