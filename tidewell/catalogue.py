@@ -264,10 +264,12 @@ VECTORS = f"""
   df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), n AS (SELECT count(*) AS n FROM d),
   raw AS (SELECT id, term, df, n, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS r FROM tf JOIN df USING (term), n),
   v AS (SELECT id, term, df, n, r / sqrt(sum(r * r) OVER (PARTITION BY id)) AS w FROM raw)"""
-PAIRS = f"""{VECTORS},
+RARE = f"""{VECTORS},
   rare AS (SELECT id, term FROM v WHERE df <= greatest(3, floor(n * 0.25)) AND df BETWEEN 2 AND 60),
   cand AS (SELECT x.id AS a, y.id AS b FROM rare x JOIN rare y ON x.term = y.term AND x.id < y.id GROUP BY 1, 2 HAVING count(*) >= 2),
   sim AS (SELECT a, b, sum(x.w * y.w) AS sim FROM cand JOIN v x ON x.id = a JOIN v y ON y.id = b AND y.term = x.term GROUP BY a, b HAVING sum(x.w * y.w) >= 0.4)"""
+PAIRS = f"""{VECTORS},
+  sim AS (SELECT x.id AS a, y.id AS b, sum(x.w * y.w) AS sim FROM v x JOIN v y ON y.term = x.term AND x.id < y.id GROUP BY 1, 2 HAVING sum(x.w * y.w) >= 0.4)"""
 
 
 @query(f"WITH d AS (SELECT doc_id AS id, text AS body FROM documents), {VECTORS} SELECT id AS doc_id, term, round(w, 6) AS w FROM v")
@@ -275,16 +277,23 @@ def txt_tfidf(spark, sf):
     return similarity.tfidf(table(spark, sf, "documents"), "doc_id", F.col("text")).select("doc_id", "term", F.round("w", 6).alias("w"))
 
 
-@query(f"WITH d AS (SELECT doc_id AS id, substr(text, 1, 1200) AS body FROM documents), {PAIRS} SELECT a, b, round(sim, 4) AS sim FROM sim")
+@query(f"WITH d AS (SELECT doc_id AS id, text AS body FROM documents), {PAIRS} SELECT a, b, round(sim, 4) AS sim FROM sim")
 def txt_similar(spark, sf):
-    return similarity.similar_pairs(table(spark, sf, "documents"), "doc_id", F.substring("text", 1, 1200))
+    """All pairs of whole texts."""
+    return similarity.similar_pairs(table(spark, sf, "documents"), "doc_id", F.col("text"))
+
+
+@query(f"WITH d AS (SELECT doc_id AS id, substr(text, 1, 1200) AS body FROM documents), {RARE} SELECT a, b, round(sim, 4) AS sim FROM sim")
+def join_similar_pairs(spark, sf):
+    """Starts of texts by rare terms in at most 60 documents, as the daily report compares them."""
+    return similarity.pairs_of_rare_terms(table(spark, sf, "documents"), "doc_id", F.substring("text", 1, 1200), 0.4)
 
 
 NEWS = f"""WITH RECURSIVE art AS (
     SELECT doc_id AS id, source AS medio, substr(split_part(text, chr(10), 1), 1, 80) AS titulo, text,
            'https://' || source || '.example.com/' || lang || '/' || doc_id AS url
     FROM documents WHERE length(text) >= 250),
-  d AS (SELECT id, medio, titulo, url, titulo || ' ' || substr(text, 1, 1200) AS body,
+  d AS (SELECT id, medio, titulo, url, titulo || ' ' || text AS body,
         (regexp_matches(' ' || {NORM.format("titulo || ' ' || text")} || ' ', '[^a-z0-9_](tion|der|les|ciones)[^a-z0-9_]'))::INT AS rel FROM art),
   {PAIRS},
   e AS (SELECT a, b FROM sim JOIN d x ON x.id = a JOIN d y ON y.id = b WHERE x.medio <> y.medio),
@@ -304,6 +313,17 @@ def news_daily(spark, sf):
     return news.news_daily(table(spark, sf, "documents"))
 
 
+@query(NEWS.replace("SELECT d.id AS _seq, medio, titulo, url, NULL::VARCHAR AS fecha_iso, rel", "SELECT row_number() OVER (ORDER BY medio, d.id) AS lugar, d.id AS _seq, medio, titulo, url, NULL::VARCHAR AS fecha_iso, rel")
+       + " UNION ALL SELECT NULL, NULL, m, NULL, NULL, NULL, NULL, 'sin noticias', NULL, NULL, NULL FROM (VALUES ('src1'), ('src 99')) x(m) WHERE m NOT IN (SELECT medio FROM d)")
+def txt_recurrence(spark, sf):
+    """The daily report by outlet, each row with its place, and the expected outlets without news."""
+    kept = news.news_daily(table(spark, sf, "documents"), order="medio")
+    placed = similarity.numbered(kept, ["medio", "fecha_iso", "_seq"], "lugar")
+    expected = spark.createDataFrame([("src1",), ("src 99",)], "medio string")
+    missing = similarity.missing_outlets(kept, expected).withColumn("recurrencia", F.lit("sin noticias"))
+    return placed.unionByName(missing, allowMissingColumns=True)
+
+
 @query("SELECT l_orderkey, to_json(list({'id': l_linenumber, 'texto': l_returnflag} ORDER BY l_linenumber, l_returnflag)) AS lote FROM lineitem GROUP BY l_orderkey")
 def agg_batch_prompt(spark, sf):
     piece = F.struct(F.col("l_linenumber").alias("id"), F.col("l_returnflag").alias("texto"))

@@ -379,7 +379,7 @@ def sort_date(spark, sf):
     return similarity.sorted_by(table(spark, sf, "orders").select("o_orderkey", "o_orderdate"), "fecha", date="o_orderdate", place="o_orderkey")
 
 
-@query("SELECT o_orderkey, o_orderpriority, o_orderdate FROM orders ORDER BY o_orderpriority, o_orderdate DESC, o_orderkey")
+@query("SELECT o_orderkey, o_orderpriority, o_orderdate FROM orders ORDER BY o_orderpriority, o_orderdate, o_orderkey")
 def sort_outlet(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate")
     return similarity.sorted_by(o, "medio", date="o_orderdate", place="o_orderkey", outlet="o_orderpriority")

@@ -1,4 +1,4 @@
-"""The same story in several outlets: TF-IDF vectors, rare-term candidates, cosine, components."""
+"""The same story in several outlets: TF-IDF vectors, exact cosine join by prefixes, components."""
 
 from __future__ import annotations
 
@@ -32,24 +32,79 @@ def tfidf(df: DataFrame, key: str, text) -> DataFrame:
     return weighed.withColumn("raw", raw).select(key, "term", "df", "n", (F.col("raw") / length).alias("w"))
 
 
-def similar_pairs(df: DataFrame, key: str, text, threshold: float = 0.4) -> DataFrame:
+def pairs_of_rare_terms(df: DataFrame, key: str, text, threshold: float, longest: int = LONGEST_POSTING) -> DataFrame:
     """(a, b, sim) with a < b for documents that share two rare terms and have at least this cosine.
 
-    Rare terms are in at most a quarter of the documents and in at most ``LONGEST_POSTING``, so a term
-    gives a bounded number of candidates.
+    Rare terms are in at most a quarter of the documents and in at most ``longest``, so a term gives a bounded
+    number of candidates; a story with more copies than that is found by its rarer terms only.
     """
     # used three times: written once
     vectors = stored(tfidf(df, key, text))
-    rare = vectors.where((F.col("df") <= F.greatest(F.lit(3), F.floor(F.col("n") * 0.25))) & F.col("df").between(2, LONGEST_POSTING))
+    rare = vectors.where((F.col("df") <= F.greatest(F.lit(3), F.floor(F.col("n") * 0.25))) & F.col("df").between(2, longest))
     one = rare.select("term", F.col(key).alias("a"))
     two = rare.select("term", F.col(key).alias("b"))
     candidates = one.join(two, "term").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(f"shared >= {SHARED}")
-    wa = vectors.select(F.col(key).alias("a"), "term", F.col("w").alias("wa"))
-    wb = vectors.select(F.col(key).alias("b"), "term", F.col("w").alias("wb"))
+    return cosines(candidates.select("a", "b"), vectors.withColumnRenamed(key, "id"), threshold)
+
+
+def cosines(candidates: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, sim) of the candidates (a, b) whose vectors (id, term, w) reach the threshold."""
+    wa = vectors.select(F.col("id").alias("a"), "term", F.col("w").alias("wa"))
+    wb = vectors.select(F.col("id").alias("b"), "term", F.col("w").alias("wb"))
     dot = candidates.join(wa, "a").join(wb, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("sim"))
     return dot.where(F.col("sim") >= threshold).select("a", "b", F.round("sim", 4).alias("sim"))
 
 
+def similar_classes(df: DataFrame, key: str, text, threshold: float = 0.4) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, sim), a < b, of different texts whose cosine is at least ``threshold``, all of them, and (id, class).
+
+    Documents with the same terms, equally often, are one class, named by the smallest of them, and pairs are
+    between classes.  A vector's terms stand in one order for all, the rarest first, and its prefix reaches to
+    where the rest is shorter than the threshold: two vectors without a common term in both prefixes can't
+    reach it.  Of those that have one, what the common terms of the prefixes give, and the lengths of both
+    rests behind the prefix that ends first, bound the cosine; what passes is computed.
+    """
+    tf = stored(term_frequencies(df, key, text).withColumnRenamed(key, "id"))
+    n = df.count()
+    prints = tf.groupBy("id").agg(F.bit_xor(F.xxhash64("term", "tf")).alias("p"), F.bit_xor(F.xxhash64("tf", "term")).alias("q"), F.count(F.lit(1)).alias("size"))
+    prints = stored(prints)
+    first = prints.groupBy("p", "q", "size").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("copies"))
+    members = stored(prints.join(first, ["p", "q", "size"]).select("id", "class"))
+    known = document_frequencies(tf)
+    own = tf.join(members.where("id = class").select("id"), "id", "left_semi").join(known, "term")
+    raw = (1 + F.log("tf")) * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)
+    whole = Window.partitionBy("id")
+    onward = whole.orderBy("df", "term")
+    w = own.withColumn("raw", raw).withColumn("w", F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(whole)))
+    # squared length of the rest behind each term
+    behind = w.withColumn("rest", 1 - F.sum(F.col("w") * F.col("w")).over(onward.rowsBetween(Window.unboundedPreceding, 0)))
+    least = threshold * threshold - 1e-9
+    behind = behind.withColumn("within", F.col("rest") + F.col("w") * F.col("w") >= least)
+    ends = behind.withColumn("end", F.max(F.when(F.col("within"), F.struct("df", "term"))).over(whole)).withColumn("tail", F.min(F.when(F.col("within"), F.col("rest"))).over(whole))
+    vectors = stored(ends.select("id", "term", "df", "w", "rest", "within", "end", "tail"))
+    prefix = vectors.where("within AND df > 1")
+    sides = [prefix.select("term", *(F.col(c).alias(c + side) for c in ("id", "w", "rest", "end", "tail"))) for side in ("a", "b")]
+    met = sides[0].join(sides[1], "term").where("ida < idb").withColumn("before", F.col("enda") <= F.col("endb"))
+    together = met.groupBy(F.col("ida").alias("a"), F.col("idb").alias("b")).agg(
+        F.sum(F.col("wa") * F.col("wb")).alias("shared"),
+        F.min(F.when(F.col("before"), F.col("taila")).otherwise(F.col("resta"))).alias("ra"),
+        F.min(F.when(F.col("before"), F.col("restb")).otherwise(F.col("tailb"))).alias("rb"),
+    )
+    enough = F.col("shared") + F.sqrt(F.greatest("ra", F.lit(0.0)) * F.greatest("rb", F.lit(0.0))) >= threshold - 1e-9
+    candidates = stored(together.where(enough).select("a", "b"))
+    return cosines(candidates, vectors, threshold), members
+
+
+def similar_pairs(df: DataFrame, key: str, text, threshold: float = 0.4) -> DataFrame:
+    """(a, b, sim) with a < b of all pairs of documents with at least this cosine, copies included."""
+    pairs, members = similar_classes(df, key, text, threshold)
+    pairs = stored(pairs)
+    own = [members.select(F.col("id").alias(c), F.col("class").alias("c" + c)) for c in ("x", "y")]
+    between = pairs.join(own[0], F.col("a") == F.col("cx")).join(own[1], F.col("b") == F.col("cy")).select("x", "y", "sim")
+    within = own[0].join(own[1], F.col("cx") == F.col("cy")).where("x < y").select("x", "y", F.lit(1.0).alias("sim"))
+    return between.union(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "sim")
+
+
 def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
     """Rows numbered from 1 in this order: within ranges of it, after as many as the ranges before hold."""
     ranged = cut(df.orderBy(*order).withColumn("at", F.monotonically_increasing_id()))
@@ -62,29 +117,44 @@ def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
     return met.withColumn(name, F.col("before") + F.col("place")).drop("part", "place", "before", "at")
 
 
-def recurrence(df: DataFrame, threshold: float = 0.4, cross: bool = True, only_relevant: bool = False, max_rows: int = 0, chars: int = 1200) -> DataFrame:
+def story_groups(kept: DataFrame, body, threshold: float, cross: bool, longest: int | None) -> DataFrame:
+    """(_seq, medio, root) of the articles that share a story with another, of another outlet if ``cross``."""
+    if longest is not None:
+        pairs = pairs_of_rare_terms(kept, "_seq", body, threshold, longest)
+        members = kept.select(F.col("_seq").alias("id"), F.col("_seq").alias("class"))
+    else:
+        pairs, members = similar_classes(kept, "_seq", body, threshold)
+    # the outlets of a class tell which of its members are linked: all, as soon as two outlets meet in it or in a pair
+    outlets = members.join(kept.select(F.col("_seq").alias("id"), F.coalesce("medio", F.lit("")).alias("medio")), "id")
+    own = stored(outlets.groupBy("class").agg(F.min("medio").alias("low"), F.max("medio").alias("high"), F.count(F.lit(1)).alias("n")))
+    links = pairs.select("a", "b")
+    linked = own.where("low <> high" if cross else "n > 1").select(F.col("class").alias("a"), F.col("class").alias("b"))
+    if cross:
+        for side in ("a", "b"):
+            links = links.join(own.select(F.col("class").alias(side), F.col("low").alias("low" + side), F.col("high").alias("high" + side)), side)
+        links = links.where("least(lowa, lowb) <> greatest(higha, highb)").select("a", "b")
+    roots = components(links.union(linked))
+    return outlets.join(roots.select(F.col("node").alias("class"), "root"), "class").select(F.col("id").alias("_seq"), "medio", "root")
+
+
+def recurrence(
+    df: DataFrame, threshold: float = 0.4, cross: bool = True, only_relevant: bool = False, max_rows: int = 0,
+    chars: int | None = None, longest: int | None = None, order: str = "relevancia",
+) -> DataFrame:
     """Articles once per URL, with the group of the same story: id_recurrencia, recurrencia, nro_medios, medios.
 
-    ``df``: _seq, medio, titulo, url, contenido, fecha_iso, ind_relevante.  Sorted by relevance, outlets and date.
+    ``df``: _seq, medio, titulo, url, contenido, fecha_iso, ind_relevante.  Sorted by relevance, outlets and date, or as
+    ``order`` says.  ``chars`` compares the first letters only, ``longest`` takes no candidates from terms in more documents.
     """
     kept, _ = first_per_key(df.where(news_key(F.col("url")) != ""), news_key(F.col("url")), ["_seq"])
     if only_relevant:
         kept = kept.where("ind_relevante = 1")
-    body = F.concat(F.coalesce("titulo", F.lit("")), F.lit(" "), F.substring(F.coalesce("contenido", F.lit("")), 1, chars))
-    pairs = similar_pairs(kept, "_seq", body, threshold)
-    if cross:
-        outlet = kept.select(F.col("_seq"), "medio")
-        pairs = (
-            pairs.join(outlet.withColumnsRenamed({"_seq": "a", "medio": "ma"}), "a")
-            .join(outlet.withColumnsRenamed({"_seq": "b", "medio": "mb"}), "b")
-            .where(~F.col("ma").eqNullSafe(F.col("mb")))
-        )
-    roots = components(pairs.select("a", "b"))
-    members = kept.join(roots.select(F.col("node").alias("_seq"), "root"), "_seq").select("_seq", "medio", "root")
-    groups = members.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.array_sort(F.collect_set(F.coalesce("medio", F.lit("")))).alias("outlets"))
-    if cross:
-        groups = groups.where("size(outlets) >= 2")
-    groups = numbered(groups, [F.desc("size"), "root"], "nth").select("root", F.format_string("REC_%04d", "nth").alias("id_recurrencia"), "outlets")
+    content = F.coalesce("contenido", F.lit(""))
+    body = F.concat(F.coalesce("titulo", F.lit("")), F.lit(" "), F.substring(content, 1, chars) if chars else content)
+    members = stored(story_groups(kept, body, threshold, cross, longest))
+    groups = members.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.min("_seq").alias("first"), F.array_sort(F.collect_set("medio")).alias("outlets"))
+    groups = groups.where("size(outlets) >= 2" if cross else "size >= 2")
+    groups = numbered(groups, [F.desc("size"), "first"], "nth").select("root", F.format_string("REC_%04d", "nth").alias("id_recurrencia"), "outlets")
     met = kept.join(members.select("_seq", "root"), "_seq", "left").join(groups, "root", "left")
     out = met.select(
         "_seq", "medio", "titulo", "url", "fecha_iso", F.coalesce("ind_relevante", F.lit(0)).alias("ind_relevante"),
@@ -93,7 +163,7 @@ def recurrence(df: DataFrame, threshold: float = 0.4, cross: bool = True, only_r
         F.coalesce(F.size("outlets"), F.lit(1)).alias("nro_medios"),
         F.coalesce(F.array_join("outlets", ", "), "medio").alias("medios"),
     )
-    out = out.orderBy(F.desc("ind_relevante"), F.desc("nro_medios"), F.desc("fecha_iso"), "_seq")
+    out = sorted_by(out, order)
     return out.limit(max_rows) if max_rows else out
 
 
@@ -116,6 +186,6 @@ def global_summary(df: DataFrame) -> DataFrame:
 
 
 def sorted_by(df: DataFrame, how: str, date: str = "fecha_iso", place: str = "_seq", outlet: str = "medio") -> DataFrame:
-    """The rows by relevance, by date, newest first, or by outlet and date; equal ones in their own order."""
-    orders = {"relevancia": [F.desc("ind_relevante"), F.desc("nro_medios"), F.desc(date)], "fecha": [F.desc(date)], "medio": [F.asc(outlet), F.desc(date)]}
+    """The rows by relevance, by date, newest first, or by outlet and date, oldest first; equal ones in their own order."""
+    orders = {"relevancia": [F.desc("ind_relevante"), F.desc("nro_medios"), F.desc(date)], "fecha": [F.desc(date)], "medio": [F.asc(outlet), F.asc(date)]}
     return df.orderBy(*orders[how], place)

@@ -46,6 +46,6 @@ def reasons(df: DataFrame) -> DataFrame:
     )
 
 
-def news_daily(documents: DataFrame, threshold: float = 0.4) -> DataFrame:
+def news_daily(documents: DataFrame, threshold: float = 0.4, order: str = "relevancia") -> DataFrame:
     kept = reasons(articles(documents)).where("motivo IS NULL").drop("motivo")
-    return recurrence(relevant(kept, RELEVANT), threshold)
+    return recurrence(relevant(kept, RELEVANT), threshold, order=order)
