@@ -162,7 +162,7 @@ def first_centroids(vectors: DataFrame, count: int, seed: int) -> np.ndarray:
     """The ``count`` vectors with the smallest hashes of their ids."""
     key = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("vec_id").cast("string"), F.lit(""))), 256)
     rows = vectors.select("v", key.alias("h")).orderBy("h", "v").limit(count).collect()
-    return np.array([r.v for r in rows], np.int64).reshape(len(rows), -1)
+    return np.array([r.v for r in rows], np.int64).reshape(len(rows), len(rows[0].v) if rows else 0)
 
 
 def clusters(rows: DataFrame, dimensions: int = DIMENSIONS, count: int = CENTROIDS, rounds: int = ROUNDS, scale: int = SCALE, seed: int = SEED) -> DataFrame:
