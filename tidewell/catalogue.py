@@ -54,9 +54,11 @@ def norm(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.norm(F.col("text")).alias("plain"))
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g')) AS plain FROM documents")
+@query(r"SELECT doc_id, trim(regexp_replace(lower(strip_accents(text || CASE WHEN doc_id % 2 = 0 THEN ' fin 1 2 full' ELSE '' END)), '[^a-z0-9]+', ' ', 'g')) AS plain FROM documents")
 def norm_alnum(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.norm_alnum(F.col("text")).alias("plain"))
+    """Every other text ends with signs that only their compatible forms make letters and digits."""
+    more = F.when(F.col("doc_id") % 2 == 0, " ﬁn ½ ＦＵＬＬ").otherwise("")
+    return table(spark, sf, "documents").select("doc_id", T.norm_alnum(F.concat("text", more)).alias("plain"))
 
 
 @query(f"SELECT page_id, {HOST} AS host, regexp_replace(split_part({HOST}, ':', 1), '^www\\.', '') AS clave FROM pages")
@@ -524,6 +526,37 @@ def agg_term_hits(spark, sf):
     return hits.groupBy("doc_id", "termino").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list("page")).alias("paginas"))
 
 
+@query(
+    "WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS page, unnest(string_split(text, chr(10))) AS linea FROM documents), f AS (SELECT *, "
+    + PLAIN + " AS plano FROM l) "
+    + " UNION ALL ".join(
+        f"""SELECT doc_id, page::INT AS page, '{t}' AS termino, trim(regexp_replace(substr(linea, greatest(a - 90, 1), least(a - 1, 90) + b + 90), '\\s+', ' ', 'g')) AS contexto
+            FROM (SELECT *, 1 + length(regexp_extract(plano, '^(.*?(?:^|[^a-z0-9])){p[13:-13]}($|[^a-z0-9])', 1)) AS a,
+                  length(regexp_extract(plano, '^(.*?(?:^|[^a-z0-9]))({p[13:-13]})($|[^a-z0-9])', 2)) AS b FROM f WHERE regexp_matches(plano, '{p}'))"""
+        for t, p in FOUND.items()
+    )
+)
+def txt_term_contexts(spark, sf):
+    """What surrounds the first hit on each page."""
+    hits = docs.term_hits(doc_pages(spark, sf), SEARCHED, ["doc_id", "page"])
+    return hits.select("doc_id", "page", "termino", F.col("contextos")[0].alias("contexto"))
+
+
+@query(r"""WITH terms AS (
+      SELECT DISTINCT w[1] AS w1, w[2] AS w2 FROM (SELECT regexp_extract_all(lower(strip_accents(text)), '[a-z0-9]+') AS w FROM benchmark) WHERE len(w) >= 2 AND left(w[1], 3) <> left(w[2], 3)
+    ),
+    p AS (SELECT doc_id, regexp_extract_all(lower(strip_accents(text)), '[a-z0-9]+|[^a-z0-9]+') AS parts FROM documents),
+    pairs AS (SELECT doc_id, parts[i] AS a, parts[i + 2] AS b FROM p, range(1, len(parts) - 1) r(i) WHERE regexp_full_match(parts[i], '[a-z0-9]+') AND regexp_full_match(parts[i + 1], '\s+'))
+    SELECT doc_id, w1 || ' ' || w2 AS termino, count(*) AS n FROM pairs JOIN terms ON (a = w1 OR a = w1 || 's' OR a = w1 || 'es') AND (b = w2 OR b = w2 || 's' OR b = w2 || 'es') GROUP BY ALL""")
+def txt_term_dictionary(spark, sf):
+    """The first two words of each passage of the benchmark in all documents, as whole pages."""
+    words = F.regexp_extract_all(T.fold_1to1(F.col("text")), F.lit("[a-z0-9]+"), F.lit(0))
+    pairs = table(spark, sf, "benchmark").select(words.alias("w")).where("size(w) >= 2 AND left(w[0], 3) <> left(w[1], 3)")
+    # a dictionary of users' terms is theirs to bound
+    terms = sorted(r[0] for r in pairs.select(F.concat_ws(" ", F.col("w")[0], F.col("w")[1])).distinct().collect())
+    return docs.term_hits(table(spark, sf, "documents"), terms, ["doc_id"]).select("doc_id", "termino", "n")
+
+
 def doc_pages(spark, sf):
     """The lines of a document stand for its pages."""
     return table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("page", "text"))
@@ -581,6 +614,33 @@ def dag_levels(spark, sf):
     return graph.levels(part_tree(spark, sf))[0]
 
 
+CYCLIC = """(SELECT p_partkey AS source, (p_partkey * p_partkey + p_size) % 397 AS target FROM part UNION SELECT p_partkey, p_partkey * 2 FROM part WHERE p_partkey * 2 IN (SELECT p_partkey FROM part))"""
+
+
+def part_maze(spark, sf):
+    """Parts that lead to another by a rule with cycles, and to their doubles."""
+    part = table(spark, sf, "part")
+    doubles = part.select(F.col("p_partkey").alias("source"), (F.col("p_partkey") * 2).alias("target")).join(part.select(F.col("p_partkey").alias("target")), "target", "left_semi")
+    return part.select(F.col("p_partkey").alias("source"), F.expr("(p_partkey * p_partkey + p_size) % 397").alias("target")).union(doubles.select("source", "target")).distinct()
+
+
+@query(f"""WITH RECURSIVE e AS {CYCLIC}, up(node, ancestor) AS (SELECT target, source FROM e UNION SELECT up.node, e.source FROM up JOIN e ON e.target = up.ancestor),
+   loops AS (SELECT DISTINCT node FROM up WHERE node = ancestor) SELECT node FROM loops UNION SELECT up.node FROM up JOIN loops ON loops.node = up.ancestor""")
+def dag_cycle(spark, sf):
+    """Parts on or behind a cycle."""
+    return graph.levels(part_maze(spark, sf))[1]
+
+
+@query("""WITH RECURSIVE e AS (SELECT l_orderkey AS a, l_partkey + 100000000 AS b FROM lineitem WHERE l_partkey % 7 = 0 AND l_quantity < 9),
+   arcs AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+   walk(node, root) AS (SELECT a, a FROM arcs UNION SELECT arcs.b, walk.root FROM walk JOIN arcs ON arcs.a = walk.node WHERE walk.root < arcs.b)
+   SELECT node, min(root) AS root FROM walk GROUP BY node""")
+def txt_components(spark, sf):
+    """Orders that share a part of some kinds, by way of others."""
+    lines = table(spark, sf, "lineitem").where("l_partkey % 7 = 0 AND l_quantity < 9")
+    return graph.components(lines.select(F.col("l_orderkey").alias("a"), (F.col("l_partkey") + 100000000).alias("b")))
+
+
 @query("SELECT p_partkey AS node, floor(log2(p_partkey) + 1e-9)::INT AS depth FROM part WHERE p_partkey BETWEEN 1 AND 15")
 def crawl_bfs(spark, sf):
     """What a walk of three links from the first part reaches."""

@@ -22,6 +22,9 @@ KINDS = [
     '<p>Jr. Unión de Lima %s, piso 2</p><p>Fono 01 7654321</p><a href="https://maps.google.com/?q=-12.5,-77.25&amp;z=1">mapa</a>',
     '<div data-lat="-12,5" data-lng="-77.25" data-name="L%s" data-address="Plaza %s"></div>',
     '<a href="https://www.google.com/maps/place/Parque+%s/@-12.5,-77.25,17z">Parque</a>',
+    # a mark without an address, then two named maps, of which the first stands for the place
+    '<b data-latitud="-12.5" data-longitud="-77.25" aria-label="M%s"></b><a href="https://www.google.com/maps/place/Sur+%s/@-12.5,-77.25,17z">Sur</a>'
+    '<a href="https://www.google.com/maps/place/Norte+%s/@-12.5,-77.25,17z">Norte</a>',
 ]
 OPTIONS = '<select id="s"><option value="/a/%s">Uno</option><option value="2">Dos</option></select>'
 ENDPOINTS = "<script>u='/api/stores/%s'; v='/locales.css'; w=\"//cdn.x/locales.json\"; x='/otra'</script>"
@@ -34,7 +37,7 @@ def filled(template: str):
 
 
 def shops(spark, sf) -> DataFrame:
-    kind = F.col("s_suppkey") % 5
+    kind = F.col("s_suppkey") % 6
     body = F.coalesce(*(F.when(kind == k, filled(t)) for k, t in enumerate(KINDS)))
     page = F.concat(F.lit("<html><head><title>Nuestras tiendas</title></head><body><h2>"), "s_name", F.lit("</h2>"), body, filled(OPTIONS), filled(ENDPOINTS), F.lit("</body></html>"))
     url = F.concat(F.lit("https://s"), F.col("s_suppkey").cast("string"), F.lit(".pe/"))
@@ -47,7 +50,7 @@ def parts(spark, sf) -> DataFrame:
 
 def found(method: str, name: str, address: str, phone: str, kind: int, point: bool = True, lng: bool = True) -> str:
     lat_lng = ("-12.5::DOUBLE", "-77.25::DOUBLE" if lng else "NULL::DOUBLE") if point else ("NULL::DOUBLE", "NULL::DOUBLE")
-    return f"SELECT s_suppkey AS page_id, '{method}' AS metodo, {name} AS nombre, {address} AS direccion, {phone} AS telefono, {lat_lng[0]} AS lat, {lat_lng[1]} AS lng FROM supplier WHERE s_suppkey % 5 = {kind}"
+    return f"SELECT s_suppkey AS page_id, '{method}' AS metodo, {name} AS nombre, {address} AS direccion, {phone} AS telefono, {lat_lng[0]} AS lat, {lat_lng[1]} AS lng FROM supplier WHERE s_suppkey % 6 = {kind}"
 
 
 SHOWN = ["page_id", "metodo", "nombre", "direccion", "telefono", "lat", "lng"]
@@ -58,12 +61,12 @@ FOUND = {
     "address": found("address", "s_name", f"'Av. República del Perú ' || {KEY} || ' Tel: (01) 555 1234'", "'(01) 555 1234'", 1, point=False),
     "lines": found("texto", "s_name", f"'Av. República del Perú ' || {KEY}", "'(01) 555 1234'", 1, point=False) + " UNION ALL "
     + found("texto", "s_name", f"'Jr. Unión de Lima ' || {KEY} || ', piso 2'", "'01 7654321'", 2),
-    "data": found("data", f"'L' || {KEY}", f"'Plaza ' || {KEY}", "''", 3),
-    "map": found("mapa", "'Parque'", f"'Parque ' || {KEY}", "''", 4),
+    "data": found("data", f"'L' || {KEY}", f"'Plaza ' || {KEY}", "''", 3) + " UNION ALL " + found("data", f"'M' || {KEY}", "''", "''", 5),
+    "map": found("mapa", "'Parque'", f"'Parque ' || {KEY}", "''", 4) + " UNION ALL " + found("mapa", "'Sur'", f"'Sur ' || {KEY}", "''", 5),
 }
 
 
-@query("SELECT s_suppkey AS page_id, 'Nuestras tiendas' AS titulo, s_name AS encabezado, (s_suppkey % 5 = 0)::INT AS n_ld, (s_suppkey % 5 IN (2, 4))::INT AS n_mapas, (s_suppkey % 5 = 3)::INT AS n_datos FROM supplier")
+@query("SELECT s_suppkey AS page_id, 'Nuestras tiendas' AS titulo, s_name AS encabezado, (s_suppkey % 6 = 0)::INT AS n_ld, CASE s_suppkey % 6 WHEN 2 THEN 1 WHEN 4 THEN 1 WHEN 5 THEN 2 ELSE 0 END::INT AS n_mapas, (s_suppkey % 6 IN (3, 5))::INT AS n_datos FROM supplier")
 def page_struct(spark, sf):
     heading = F.element_at(F.transform("lineas", lambda x: x["encabezado"]), -1)
     return parts(spark, sf).select("page_id", "titulo", heading.alias("encabezado"), F.size("ld").alias("n_ld"), F.size("mapas").alias("n_mapas"), F.size("datos").alias("n_datos"))
@@ -104,7 +107,9 @@ def loc_text_lines(spark, sf):
     return locations.line_candidates(parts(spark, sf)).select(*SHOWN)
 
 
-@query("SELECT s_suppkey AS page_id, 0::INT AS pos, 1::BIGINT AS n_mapas, -12.5::DOUBLE AS lat, -77.25::DOUBLE AS lng, CASE WHEN s_suppkey % 5 = 4 THEN 'Parque ' || s_suppkey ELSE '' END AS consulta, CASE WHEN s_suppkey % 5 = 4 THEN 'Parque' ELSE 'mapa' END AS texto FROM supplier WHERE s_suppkey % 5 IN (2, 4)")
+@query("""SELECT s_suppkey AS page_id, pos::INT AS pos, CASE WHEN kind = 5 THEN 2 ELSE 1 END::BIGINT AS n_mapas, -12.5::DOUBLE AS lat, -77.25::DOUBLE AS lng,
+   CASE WHEN kind = 2 THEN '' ELSE name || ' ' || s_suppkey END AS consulta, name AS texto
+   FROM supplier JOIN (VALUES (2, 0, 'mapa'), (4, 0, 'Parque'), (5, 0, 'Sur'), (5, 1, 'Norte')) m(kind, pos, name) ON kind = s_suppkey % 6""")
 def loc_map_links(spark, sf):
     return locations.map_points(parts(spark, sf))
 
@@ -121,14 +126,15 @@ def loc_candidates(spark, sf):
 
 
 @query("""SELECT s_nationkey AS sitio, 'calle real ' || s_suppkey % 7 || ' lima' AS clave, coalesce(arg_min(s_name, s_suppkey) FILTER (s_suppkey % 2 = 1), '') AS nombre,
-   min(s_acctbal) FILTER (false) AS lng, bool_or(s_suppkey % 4 = 3) AS es_ubicacion,
+   coalesce(arg_min(s_suppkey / 2, s_suppkey) FILTER (s_suppkey % 3 = 1), 0.0) AS lng, bool_or(s_suppkey % 4 = 3) AS es_ubicacion,
    'https://p/' || coalesce(min(s_suppkey) FILTER (s_suppkey % 4 = 3), min(s_suppkey)) AS pagina_url FROM supplier GROUP BY s_nationkey, s_suppkey % 7""")
 def agg_candidates_merge(spark, sf):
+    """A coordinate of zero is a gap that a later row fills."""
     key = F.col("s_suppkey")
     rows = table(spark, sf, "supplier").select(
         F.col("s_nationkey").alias("sitio"), key.alias("orden"), F.when(key % 2 == 1, F.col("s_name")).otherwise("").alias("nombre"),
         F.concat(F.lit("Calle Réal "), (key % 7).cast("string"), F.lit(", Lima")).alias("direccion"), F.lit("").alias("telefono"), F.lit("").alias("horario"),
-        F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lng"), F.lit("texto").alias("metodo"), F.lit("").alias("contexto"),
+        F.lit(0.0).alias("lat"), F.when(key % 3 == 1, key / 2).otherwise(0.0).alias("lng"), F.lit("texto").alias("metodo"), F.lit("").alias("contexto"),
         (key % 4 == 3).alias("es_ubicacion"), F.concat(F.lit("https://p/"), key.cast("string")).alias("pagina_url"),
     )
     return locations.merged(rows, "sitio", ["orden"]).select("sitio", "clave", "nombre", "lng", "es_ubicacion", "pagina_url")
@@ -198,12 +204,12 @@ ANCHOR = r"(' ' || trim(regexp_replace(lower(strip_accents(p_name)), '[^a-z0-9]+
 WORDS = ["blue", "red", "réd", "small", "tion"]
 
 
-@query("SELECT p_partkey, least(40, " + " + ".join(f"CASE WHEN contains({ANCHOR}, '{w.replace('é', 'e')}') THEN 10 ELSE 0 END" for w in WORDS) + " + CASE WHEN p_partkey % 3 = 0 THEN 12 ELSE 0 END)::INT AS puntaje FROM part")
+@query("SELECT p_partkey, least(40, " + " + ".join(f"CASE WHEN contains({ANCHOR}, '{w.replace('é', 'e')}') THEN 10 ELSE 0 END" for w in WORDS) + " + CASE p_partkey % 3 WHEN 0 THEN 12 WHEN 1 THEN 12 ELSE 0 END)::INT AS puntaje FROM part")
 def lnk_score(spark, sf):
-    """Words that fold to the same text count twice."""
-    url = F.when(F.col("p_partkey") % 3 == 0, "https://blue.pe/x/RED?small").otherwise("https://red.pe/y?z#tion")
-    url = F.when(F.col("p_partkey") % 3 == 0, "https://blue.pe/x/RED").otherwise("https://red.pe/y?z#tion")
-    return table(spark, sf, "part").select("p_partkey", U.link_score(F.col("p_name"), url, WORDS).alias("puntaje"))
+    """Words that fold to the same text count twice, in percent escapes too."""
+    kind = F.col("p_partkey") % 3
+    url = F.when(kind == 0, "https://blue.pe/x/RED").when(kind == 1, "https://blue.pe/x%2/%52%C3%A9d?100%").otherwise("https://red.pe/y?z#tion")
+    return table(spark, sf, "part").select("p_partkey", U.link_score(F.col("p_name"), url, [*WORDS, ""]).alias("puntaje"))
 
 
 @query("SELECT p_partkey, (5 + 2 + CASE WHEN p_partkey % 2 = 0 THEN CASE p_partkey % 3 WHEN 0 THEN 8 WHEN 1 THEN 6 ELSE 0 END ELSE 0 END)::INT AS prioridad FROM part")

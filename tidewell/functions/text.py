@@ -52,8 +52,14 @@ def base_letters() -> tuple[str, str]:
 ACCENTED, PLAIN = base_letters()
 
 
+def unless_ascii(text: Column, change: Callable[[Column], Column]) -> Column:
+    """Texts of ASCII signs alone, which have as many bytes as letters, need no change."""
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(change(text))
+
+
 def fold_accents(text) -> Column:
-    return F.regexp_replace(F.translate(text, ACCENTED, PLAIN), "\\p{Mn}", "")
+    text = F.col(text) if isinstance(text, str) else text
+    return unless_ascii(text, lambda t: F.regexp_replace(F.translate(t, ACCENTED, PLAIN), "\\p{Mn}", ""))
 
 
 def norm(text) -> Column:
@@ -62,7 +68,17 @@ def norm(text) -> Column:
 
 
 def norm_alnum(text) -> Column:
-    return F.trim(F.regexp_replace(F.lower(fold_accents(text)), "[^a-z0-9]+", " "))
+    """Letters and digits in lower case, compatible forms of others among them, one space between words."""
+    plain = F.octet_length(text) == F.length(text)
+    # only texts with other signs go to Python
+    known = F.when(plain, text).otherwise(decomposed(F.when(~plain, text)))
+    return F.trim(F.regexp_replace(F.lower(known), "[^a-z0-9]+", " "))
+
+
+def alnum_words(text: str) -> str:
+    """``norm_alnum`` of a word that is known here."""
+    plain = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+    return " ".join(re.findall("[a-z0-9]+", plain.lower()))
 
 
 def terms(text, stop: list[str] = STOP_WORDS) -> Column:
@@ -82,9 +98,14 @@ def kw_match(text, keywords: list[str]) -> Column:
     return F.flatten(F.transform(F.array(norm(text)), hits))
 
 
+def unbroken(text) -> Column:
+    """Words that a hyphen breaks at the end of a line are joined."""
+    return F.regexp_replace(F.replace(text, F.lit("­"), F.lit("")), "-[ \\t]*\\r?\\n[ \\t]*", "")
+
+
 def clean_page(text) -> Column:
     """Hyphens at line ends joined, control characters and white space collapsed."""
-    joined = F.regexp_replace(F.replace(F.coalesce(text, F.lit("")), F.lit("­"), F.lit("")), "-[ \\t]*\\r?\\n[ \\t]*", "")
+    joined = unbroken(F.coalesce(text, F.lit("")))
     return F.trim(F.regexp_replace(F.regexp_replace(joined, "[\\x00-\\x08\\x0b-\\x1f\\x7f]", " "), "(?U)\\s+", " "))
 
 
@@ -181,7 +202,7 @@ def verified_share(address, source) -> Column:
 
 def fold_1to1(text) -> Column:
     """Without accents, in lower case, letter for letter, so that places in the text stay."""
-    return F.lower(F.translate(text, ACCENTED, PLAIN))
+    return F.lower(unless_ascii(text, lambda t: F.translate(t, ACCENTED, PLAIN)))
 
 
 @arrow("string")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from urllib.parse import parse_qsl, urldefrag, urlencode, urljoin
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import arrow, norm_alnum
+from .text import alnum_words, arrow, norm_alnum
 
 # Parameters that only track, files that are no pages, schemes that are no links.
 TRACKING = r"^(utm_|fbclid|gclid|mc_|_ga|ref$|sessionid|phpsessid)"
@@ -107,17 +109,21 @@ def is_link(href) -> Column:
     return (plain != "") & ~F.array_contains(F.transform(F.array(*map(F.lit, NO_LINKS)), lambda start: plain.startswith(start)), True)
 
 
+def percent_decoded(text) -> Column:
+    """Percent escapes as what they stand for; what is no escape stays."""
+    return F.try_url_decode(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25"))
+
+
 def link_score(anchor, url, words: list[str]) -> Column:
-    """Ten for each word in the anchor text, six for each in the path or query, at most forty.
+    """Ten for each word in the anchor text, six for each in the decoded path or query, at most forty.
 
-    Words count as they are listed: two that fold to the same text count twice.
+    Words count as they are listed: two that fold to the same text count twice; empty ones don't count.
     """
-    said = F.concat(F.lit(" "), norm_alnum(F.coalesce(anchor, F.lit(""))), F.lit(" "))
+    said = norm_alnum(F.coalesce(anchor, F.lit("")))
     p = parts(F.coalesce(url, F.lit("")))
-    way = F.concat(F.lit(" "), norm_alnum(F.concat_ws(" ", p["path"], p["query"])), F.lit(" "))
-    listed = F.array(*(F.struct(norm_alnum(F.lit(w)).alias("w")) for w in words))
-    points = F.transform(listed, lambda x: F.when(said.contains(x["w"]), 10).otherwise(0) + F.when(way.contains(x["w"]), 6).otherwise(0))
-    return F.least(F.aggregate(points, F.lit(0), lambda a, b: a + b), F.lit(40))
+    way = norm_alnum(percent_decoded(F.concat_ws(" ", p["path"], p["query"])))
+    points = [F.when(text.contains(w), worth).otherwise(0) for w in map(alnum_words, words) if w for text, worth in ((said, 10), (way, 6))]
+    return F.least(reduce(Column.__add__, points, F.lit(0)), F.lit(40))
 
 
 def blocked_by_robots(pages: DataFrame, rules: DataFrame, agent: str, url: str = "url") -> DataFrame:

@@ -44,14 +44,14 @@ def pairs_of_rare_terms(df: DataFrame, key: str, text, threshold: float, longest
     one = rare.select("term", F.col(key).alias("a"))
     two = rare.select("term", F.col(key).alias("b"))
     candidates = one.join(two, "term").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(f"shared >= {SHARED}")
-    return cosines(candidates.select("a", "b"), vectors.withColumnRenamed(key, "id"), threshold)
+    return cosines(candidates.select("a", "b"), vectors.withColumnsRenamed({key: "id", "term": "rank"}), threshold)
 
 
 def cosines(candidates: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, sim) of the candidates (a, b) whose vectors (id, term, w) reach the threshold."""
-    wa = vectors.select(F.col("id").alias("a"), "term", F.col("w").alias("wa"))
-    wb = vectors.select(F.col("id").alias("b"), "term", F.col("w").alias("wb"))
-    dot = candidates.join(wa, "a").join(wb, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("sim"))
+    """(a, b, sim) of the candidates (a, b) whose vectors (id, rank, w) reach the threshold; ``rank`` stands for a term."""
+    wa = vectors.select(F.col("id").alias("a"), "rank", F.col("w").alias("wa"))
+    wb = vectors.select(F.col("id").alias("b"), "rank", F.col("w").alias("wb"))
+    dot = candidates.join(wa, "a").join(wb, ["b", "rank"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("sim"))
     return dot.where(F.col("sim") >= threshold).select("a", "b", F.round("sim", 4).alias("sim"))
 
 
@@ -70,21 +70,22 @@ def similar_classes(df: DataFrame, key: str, text, threshold: float = 0.4) -> tu
     prints = stored(prints)
     first = prints.groupBy("p", "q", "size").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("copies"))
     members = stored(prints.join(first, ["p", "q", "size"]).select("id", "class"))
-    known = document_frequencies(tf)
+    # a term's number in the order of all
+    known = stored(numbered(document_frequencies(tf), ["df", "term"], "rank"))
     own = tf.join(members.where("id = class").select("id"), "id", "left_semi").join(known, "term")
     raw = (1 + F.log("tf")) * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)
     whole = Window.partitionBy("id")
-    onward = whole.orderBy("df", "term")
+    onward = whole.orderBy("rank")
     w = own.withColumn("raw", raw).withColumn("w", F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(whole)))
     # squared length of the rest behind each term
     behind = w.withColumn("rest", 1 - F.sum(F.col("w") * F.col("w")).over(onward.rowsBetween(Window.unboundedPreceding, 0)))
     least = threshold * threshold - 1e-9
     behind = behind.withColumn("within", F.col("rest") + F.col("w") * F.col("w") >= least)
-    ends = behind.withColumn("end", F.max(F.when(F.col("within"), F.struct("df", "term"))).over(whole)).withColumn("tail", F.min(F.when(F.col("within"), F.col("rest"))).over(whole))
-    vectors = stored(ends.select("id", "term", "df", "w", "rest", "within", "end", "tail"))
+    ends = behind.withColumn("end", F.max(F.when(F.col("within"), F.col("rank"))).over(whole)).withColumn("tail", F.min(F.when(F.col("within"), F.col("rest"))).over(whole))
+    vectors = stored(ends.select("id", "rank", "df", "w", "rest", "within", "end", "tail"))
     prefix = vectors.where("within AND df > 1")
-    sides = [prefix.select("term", *(F.col(c).alias(c + side) for c in ("id", "w", "rest", "end", "tail"))) for side in ("a", "b")]
-    met = sides[0].join(sides[1], "term").where("ida < idb").withColumn("before", F.col("enda") <= F.col("endb"))
+    sides = [prefix.select("rank", *(F.col(c).alias(c + side) for c in ("id", "w", "rest", "end", "tail"))) for side in ("a", "b")]
+    met = sides[0].join(sides[1], "rank").where("ida < idb").withColumn("before", F.col("enda") <= F.col("endb"))
     together = met.groupBy(F.col("ida").alias("a"), F.col("idb").alias("b")).agg(
         F.sum(F.col("wa") * F.col("wb")).alias("shared"),
         F.min(F.when(F.col("before"), F.col("taila")).otherwise(F.col("resta"))).alias("ra"),

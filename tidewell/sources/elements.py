@@ -12,8 +12,10 @@ Paragraphs are compared by their length and a hash of 61 bits.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
+import sys
 import unicodedata
 from html.parser import HTMLParser
 
@@ -33,13 +35,19 @@ ROW = (
 )
 
 
+@functools.cache
+def unseen() -> list[dict[int, None]]:
+    """Format characters and combining marks by what they are replaced with: nothing."""
+    return [{c: None for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == kind} for kind in ("Cf", "Mn")]
+
+
 def clean(text: str) -> str:
     """NFKC, without format characters, white space collapsed."""
-    return " ".join("".join(c for c in unicodedata.normalize("NFKC", text) if unicodedata.category(c) != "Cf").split())
+    return " ".join((text if text.isascii() else unicodedata.normalize("NFKC", text).translate(unseen()[0])).split())
 
 
 def folded(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn").lower()
+    return (text if text.isascii() else unicodedata.normalize("NFD", text).translate(unseen()[1])).lower()
 
 
 class Element:

@@ -15,6 +15,10 @@ from .tags import HEADINGS, LINE_TAGS
 
 # Tags whose content is not read, hosts of maps.
 UNREAD_TAGS = "script style noscript svg template".split()
+# Attributes of a place's point and name.
+LATITUDES = "data-lat data-latitude data-latitud".split()
+LONGITUDES = "data-lng data-lon data-longitude data-long data-longitud".split()
+PLACE_NAMES = "data-name data-title title aria-label".split()
 MAP_LINK = (
     r"(?i)(maps\.google\.|google\.[a-z.]+/maps|goo\.gl/maps|maps\.app\.goo\.gl|waze\.com|openstreetmap\.org|"
     r"maps\.apple\.com|bing\.com/maps)"
@@ -94,9 +98,9 @@ class StructureReader(HTMLParser):
             self.list_id = a.get("id") or a.get("name", "")
         if tag == "option":
             self.gather(tag, lambda text, value=a.get("value", ""), where=self.list_id: self.out["opciones"].append((value, text, where)))
-        lat, lng = (next((a[k] for k in keys if a.get(k)), "") for keys in (["data-lat", "data-latitude"], ["data-lng", "data-lon", "data-longitude"]))
+        lat, lng = (next((a[k] for k in keys if a.get(k)), "") for keys in (LATITUDES, LONGITUDES))
         if lat and lng:
-            name = a.get("data-name") or a.get("data-title") or a.get("title", "")
+            name = next((a[k] for k in PLACE_NAMES if a.get(k)), "")
             self.out["datos"].append((name, a.get("data-address") or a.get("data-direccion", ""), lat, lng))
 
     def handle_startendtag(self, tag: str, attrs) -> None:
