@@ -25,6 +25,8 @@ STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
 TERMS = f"list_filter(regexp_extract_all({NORM}, '[a-z0-9ñ]{{{{4,}}}}'), lambda x: NOT list_contains({STOP}, x))"
 KEYWORDS = ["the", "der", "que", "les"]
 SEARCHED = ["licen", "version", "general public"]
+#: Bytes of a file that one task reads.
+SPLIT = 128 << 20
 
 
 def query(sql: str | None = None):
@@ -41,6 +43,17 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table for work that costs much more than reading: one that gives fewer tasks than there are cores is dealt out first.
+
+    Larger tables, with a split of a file for each core or more, are read as they lie.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/{name}.parquet")
+    held = at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    cores, whole = spark.sparkContext.defaultParallelism, table(spark, sf, name)
+    return whole.repartition(cores) if held < cores * SPLIT else whole
+
+
 # ---------------------------------------------------------------- scalar functions
 
 
@@ -208,7 +221,7 @@ TAGGED = " OR ".join(f"regexp_matches(' ' || {NORM.format('text')} || ' ', '[^a-
 @query(f"SELECT doc_id, ({TAGGED})::INT AS ind_relevante FROM documents")
 def txt_kw_tag(spark, sf):
     found = T.kw_match(F.col("text"), KEYWORDS)
-    return table(spark, sf, "documents").select("doc_id", (F.size(found) > 0).cast("int").alias("ind_relevante"))
+    return dealt(spark, sf, "documents").select("doc_id", (F.size(found) > 0).cast("int").alias("ind_relevante"))
 
 
 TITLED = "substr(split_part(text, chr(10), 1), 1, 80) || ' https://' || source || '.example.com/' || lang"
@@ -253,12 +266,12 @@ def agg_summary_text(spark, sf):
 
 @query(f"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({TERMS.format('text')}) AS term FROM documents) GROUP BY term")
 def agg_doc_freq(spark, sf):
-    return similarity.document_frequencies(similarity.term_frequencies(table(spark, sf, "documents"), "doc_id", F.col("text")))
+    return similarity.document_frequencies(similarity.term_frequencies(dealt(spark, sf, "documents"), "doc_id", F.col("text")))
 
 
 @query(f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TERMS.format('text')}) AS term FROM documents) GROUP BY doc_id, term")
 def agg_term_freq(spark, sf):
-    return similarity.term_frequencies(table(spark, sf, "documents"), "doc_id", F.col("text"))
+    return similarity.term_frequencies(dealt(spark, sf, "documents"), "doc_id", F.col("text"))
 
 
 VECTORS = f"""
@@ -276,19 +289,19 @@ PAIRS = f"""{VECTORS},
 
 @query(f"WITH d AS (SELECT doc_id AS id, text AS body FROM documents), {VECTORS} SELECT id AS doc_id, term, round(w, 6) AS w FROM v")
 def txt_tfidf(spark, sf):
-    return similarity.tfidf(table(spark, sf, "documents"), "doc_id", F.col("text")).select("doc_id", "term", F.round("w", 6).alias("w"))
+    return similarity.tfidf(dealt(spark, sf, "documents"), "doc_id", F.col("text")).select("doc_id", "term", F.round("w", 6).alias("w"))
 
 
 @query(f"WITH d AS (SELECT doc_id AS id, text AS body FROM documents), {PAIRS} SELECT a, b, round(sim, 4) AS sim FROM sim")
 def txt_similar(spark, sf):
     """All pairs of whole texts."""
-    return similarity.similar_pairs(table(spark, sf, "documents"), "doc_id", F.col("text"))
+    return similarity.similar_pairs(dealt(spark, sf, "documents"), "doc_id", F.col("text"))
 
 
 @query(f"WITH d AS (SELECT doc_id AS id, substr(text, 1, 1200) AS body FROM documents), {RARE} SELECT a, b, round(sim, 4) AS sim FROM sim")
 def join_similar_pairs(spark, sf):
     """Starts of texts by rare terms in at most 60 documents, as the daily report compares them."""
-    return similarity.pairs_of_rare_terms(table(spark, sf, "documents"), "doc_id", F.substring("text", 1, 1200), 0.4)
+    return similarity.pairs_of_rare_terms(dealt(spark, sf, "documents"), "doc_id", F.substring("text", 1, 1200), 0.4)
 
 
 NEWS = f"""WITH RECURSIVE art AS (
@@ -312,14 +325,14 @@ NEWS = f"""WITH RECURSIVE art AS (
 
 @query(NEWS)
 def news_daily(spark, sf):
-    return news.news_daily(table(spark, sf, "documents"))
+    return news.news_daily(dealt(spark, sf, "documents"))
 
 
 @query(NEWS.replace("SELECT d.id AS _seq, medio, titulo, url, NULL::VARCHAR AS fecha_iso, rel", "SELECT row_number() OVER (ORDER BY medio, d.id) AS lugar, d.id AS _seq, medio, titulo, url, NULL::VARCHAR AS fecha_iso, rel")
        + " UNION ALL SELECT NULL, NULL, m, NULL, NULL, NULL, NULL, 'sin noticias', NULL, NULL, NULL FROM (VALUES ('src1'), ('src 99')) x(m) WHERE m NOT IN (SELECT medio FROM d)")
 def txt_recurrence(spark, sf):
     """The daily report by outlet, each row with its place, and the expected outlets without news."""
-    kept = news.news_daily(table(spark, sf, "documents"), order="medio")
+    kept = news.news_daily(dealt(spark, sf, "documents"), order="medio")
     placed = similarity.numbered(kept, ["medio", "fecha_iso", "_seq"], "lugar")
     expected = spark.createDataFrame([("src1",), ("src 99",)], "medio string")
     missing = similarity.missing_outlets(kept, expected).withColumn("recurrencia", F.lit("sin noticias"))
@@ -554,12 +567,12 @@ def txt_term_dictionary(spark, sf):
     pairs = table(spark, sf, "benchmark").select(words.alias("w")).where("size(w) >= 2 AND left(w[0], 3) <> left(w[1], 3)")
     # a dictionary of users' terms is theirs to bound
     terms = sorted(r[0] for r in pairs.select(F.concat_ws(" ", F.col("w")[0], F.col("w")[1])).distinct().collect())
-    return docs.term_hits(table(spark, sf, "documents"), terms, ["doc_id"]).select("doc_id", "termino", "n")
+    return docs.term_hits(dealt(spark, sf, "documents"), terms, ["doc_id"]).select("doc_id", "termino", "n")
 
 
 def doc_pages(spark, sf):
     """The lines of a document stand for its pages."""
-    return table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("page", "text"))
+    return dealt(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("page", "text"))
 
 
 @query()
@@ -744,7 +757,7 @@ KEPT = """{name} AS (
     FROM (SELECT page_id, trim(regexp_replace(title, '\s+', ' ', 'g')) AS title FROM plain) LEFT JOIN main USING (page_id) LEFT JOIN rest USING (page_id)"""
 )
 def page_article(spark, sf):
-    return html.page_articles(table(spark, sf, "pages"))
+    return html.page_articles(dealt(spark, sf, "pages"))
 
 
 @query(
@@ -752,7 +765,7 @@ def page_article(spark, sf):
     SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INTEGER AS pos, text AS parrafo FROM strict"""
 )
 def page_paragraphs(spark, sf):
-    return html.page_paragraphs(table(spark, sf, "pages"))
+    return html.page_paragraphs(dealt(spark, sf, "pages"))
 
 
 @query(
@@ -776,7 +789,7 @@ def page_paragraphs(spark, sf):
 )
 def page_article_ways(spark, sf):
     """Each document as a page, in one of five forms that the five ways to the main text are for."""
-    d = table(spark, sf, "documents")
+    d = dealt(spark, sf, "documents")
     marked = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
     body = F.concat(F.lit("<p>"), F.regexp_replace(marked, "\n", "</p>\n<p>"), F.lit("</p>"))
     aside = f"<div class='related'><p>{'Another story that is no part of this one. ' * 3}</p></div>"
