@@ -308,3 +308,22 @@ def test_elements_in_linear_time():
 
     assert steps(4000) < 4.4 * steps(1000)
     assert elements.read("<div class='cuerpo'>" * 100_000 + "x" * 300).count == 100_001
+
+
+def test_results_tables(spark):
+    from tidewell.sources import tables
+
+    page = (
+        "<table id='menu'><tr><td>a<td>b<tr><td><table id='inner'><tr><td>x</td></tr></table></td></tr></table>"
+        "<table><tr><th>Empresa<th>Documentó<th>N<th>Fecha</tr>"
+        "<tr><td rowspan=2>Acme<td>Acta<td>1<td>hoy <a href='/d?a=1&amp;b=2' title='T'>v</a></tr>"
+        "<tr><td>Hecho<td colspan='2'>2 <a href='e'>v</a></tr>"
+        "<tr><td>x<td>y<td>z<td>w <a href='javascript:1'>v</a></tr><tr><td>corta<a href='f'>v</a></tr>"
+    )
+    df = spark.createDataFrame([(1, "https://v.pe/x/l", page), (None, None, None), (2, "https://v.pe/", "<table id='a_grd'><tr><td>A<td>B<td>C<td>D<a href='g'></a>")], "page_id long, url string, html string")
+    got = sorted(map(tuple, tables.result_rows(df, "grd").collect()))
+    assert got == [
+        (1, 1, "Acme", "Acta", "1", "hoy v", "https://v.pe/d?a=1&b=2", "T"), (1, 2, "Acme", "Hecho", "2 v", "2 v", "https://v.pe/x/e", ""),
+        (2, 0, "A", "B", "C", "D", "https://v.pe/g", ""),
+    ]
+    assert tables.result_rows(df.limit(0), "grd").count() == 0

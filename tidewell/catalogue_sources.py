@@ -11,7 +11,7 @@ from .catalogue import HOST, NORM, PATH, drained, query, table
 from .functions import text as T
 from .functions import urls as U
 from .operators import docs, graph, history, rows, similarity
-from .sources import feeds, html, links
+from .sources import feeds, html, links, tables
 from .streaming import events as streams
 from .streaming import locks
 
@@ -423,3 +423,22 @@ def str_failure_lock(spark, sf):
     """SQL has no refused attempts, which depend on those before; a test walks through them."""
     e = streams.table_stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return drained(spark, locks.failure_locks(e, ["user_id"], "ts", F.col("event_type") == "error", most=2, window=86400))
+
+
+# ---------------------------------------------------------------- results tables
+
+
+@query("""SELECT o_orderkey AS page_id, l_linenumber AS pos, 'Cliente ' || o_custkey AS denominacion, CASE WHEN l_linenumber % 2 = 1 THEN 'Acta' ELSE 'Hecho' END AS documento,
+   o_orderkey || '-' || l_linenumber AS expediente, o_orderstatus AS fecha, 'https://v.pe/x/d' || l_linenumber || '?k=1' AS url, 'ver ' || l_linenumber AS titulo
+   FROM orders JOIN (SELECT unnest([1, 2]) AS l_linenumber) ON l_linenumber = 1 OR o_orderkey % 3 <> 0""")
+def src_html_table_rows(spark, sf):
+    """Each order as a page with a results table, found by its id or by its header; a customer's cell spans two rows."""
+    key = F.col("o_orderkey").cast("string")
+    line = lambda n, first: F.concat(F.lit("<tr>"), first, F.lit(f"<td>{'Acta' if n % 2 else ' Hecho '}</td><td>"), key, F.lit(f"-{n}</td><td>"), F.col("o_orderstatus"), F.lit(f"<a href='d{n}?k=1' title='ver {n}'>v</a>" if n < 3 else "<a href='javascript:x()'>v</a>"), F.lit("</td></tr>"))
+    both = F.col("o_orderkey") % 3 != 0
+    customer = F.concat(F.when(both, F.lit("<td rowspan=2>")).otherwise(F.lit("<td>")), F.lit("Cliente "), F.col("o_custkey").cast("string"), F.lit("</td>"))
+    rows = F.concat(line(1, customer), F.when(both, line(2, F.lit(""))).otherwise(F.lit("<tr><td colspan=4>nada</td></tr>")), line(3, F.lit("<td>x</td>")))
+    table_id = F.when(F.col("o_orderkey") % 2 == 0, F.lit("c_grdInfo")).otherwise("otra")
+    html_ = F.concat(F.lit("<table><tr><td>menu</td></tr></table><table id='"), table_id, F.lit("'><tr><th>Empresa</th><th>DOCUMENTO</th><th>N</th><th>F</th></tr>"), rows, F.lit("</table>"))
+    pages = table(spark, sf, "orders").select(F.col("o_orderkey").alias("page_id"), F.lit("https://v.pe/x/lista").alias("url"), F.regexp_replace(html_, "<a ([^>]*)>v</a>", "<a $1></a>").alias("html"))
+    return tables.result_rows(pages, "grdInfo")
