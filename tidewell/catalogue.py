@@ -14,6 +14,7 @@ from .plans import news
 from .sources import html
 from .sources.tags import ASIDE_TEXT
 from .streaming import events as streams
+from .streaming import locks
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -839,4 +840,14 @@ def str_outlet_counts(spark, sf):
     return drained(spark, streams.daily_counts(stream, "event_type", "ts"), "complete").withColumn("dia", F.col("dia").cast("timestamp_ntz"))
 
 
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) >= 43200000000 THEN 1 ELSE 0 END AS f FROM events),
+   s AS (SELECT user_id, ts, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
+   SELECT user_id, min(ts)::TIMESTAMP AS inicio, (max(ts) + INTERVAL 12 HOURS)::TIMESTAMP AS fin, count(*) AS eventos FROM s GROUP BY user_id, n""")
+def str_sessions(spark, sf):
+    """A stream's sessions, which end twelve hours after their last event."""
+    stream = streams.table_stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = drained(spark, locks.sessions(stream, ["user_id"], "ts"), "complete")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("inicio", "fin")})
+
+
 from . import catalogue_places, catalogue_sources  # noqa: E402, F401  they register their queries here
