@@ -84,12 +84,12 @@ def page_endpoints(spark, sf):
 
 @query(FOUND["jsonld"])
 def loc_jsonld(spark, sf):
-    return locations.json_candidates(parts(spark, sf), "ld", "jsonld", locations.ld_places).select(*SHOWN)
+    return locations.json_candidates(parts(spark, sf), "jsonld").select(*SHOWN)
 
 
 @query(FOUND["json"])
 def loc_script_json(spark, sf):
-    return locations.json_candidates(parts(spark, sf), "guiones", "json", locations.script_places).select(*SHOWN)
+    return locations.json_candidates(parts(spark, sf), "json").select(*SHOWN)
 
 
 @query(FOUND["address"])
