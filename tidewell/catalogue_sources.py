@@ -12,8 +12,8 @@ from .functions import text as T
 from .functions import urls as U
 from .operators import docs, graph, history, rows, similarity
 from .sources import feeds, html, links, tables
+from .streaming import arrivals, locks
 from .streaming import events as streams
-from .streaming import locks
 
 
 def stored(spark, df: DataFrame, write) -> str:
@@ -418,11 +418,31 @@ def str_recent_window(spark, sf):
     return drained(spark, locks.recent(e, "ts", "2024-01-15 00:00:00", 48).select("event_id"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, ts, epoch_us(ts) AS us, event_type = 'error' AS bad, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+   w AS (SELECT DISTINCT user_id, 0::BIGINT AS n, NULL::TIMESTAMP AS ts, false AS fallo, []::BIGINT[] AS near, []::BIGINT[] AS recorded FROM events
+     UNION ALL SELECT user_id, n, ts, bad, near, CASE WHEN len(near) >= 2 THEN near WHEN bad THEN list_append(near, us) ELSE [] END FROM (
+       SELECT e.user_id, e.n, e.ts::TIMESTAMP AS ts, e.bad, e.us, list_filter(w.recorded, lambda t: e.us - t < 86400000000) AS near FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1))
+   SELECT user_id, ts, fallo, len(near) >= 2 AS bloqueado, CASE WHEN len(near) >= 2 THEN (86400000000 - (epoch_us(ts) - near[1])) // 1000000 + 1 ELSE 0 END::BIGINT AS espera FROM w WHERE n > 0""")
 def str_failure_lock(spark, sf):
-    """SQL has no refused attempts, which depend on those before; a test walks through them."""
+    """Refused attempts depend on those before; the SQL walks through them."""
     e = streams.table_stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return drained(spark, locks.failure_locks(e, ["user_id"], "ts", F.col("event_type") == "error", most=2, window=86400))
+    out = drained(spark, locks.failure_locks(e, ["user_id"], "ts", F.col("event_type") == "error", most=2, window=86400))
+    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("""SELECT event_id, user_id, event_type, (event_id % 3)::INT AS dia FROM (
+     SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id % 3, event_id) AS r FROM events) WHERE r = 1""")
+def str_arrivals(spark, sf):
+    """Events that come in three lots: of each user and type, the first that comes."""
+    at = f"{graph.shared_folder(spark)}/arrivals-{uuid.uuid4().hex}"
+    events = table(spark, sf, "events").select("event_id", F.col("user_id").cast("string").alias("user"), "user_id", "event_type")
+    store = arrivals.SeenStore(f"{at}/store", "user", "event_type", "user string, event_type string")
+    for lot in range(3):
+        events.where(F.col("event_id") % 3 == lot).write.mode("append").parquet(f"{at}/in")
+        stream = spark.readStream.schema(events.schema).parquet(f"{at}/in")
+        arrivals.arrivals(stream, store, f"{at}/out", f"{at}/state", ["event_id"])
+    out = spark.read.option("basePath", f"{at}/out").parquet(f"{at}/out")
+    return out.select("event_id", "user_id", "event_type", F.col("lote").cast("int").alias("dia"))
 
 
 # ---------------------------------------------------------------- results tables
