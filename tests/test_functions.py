@@ -90,3 +90,22 @@ def test_csv_sink(spark, tmp_path):
     df = spark.createDataFrame([("=x", 1.5, True)], "a string, b double, c boolean")
     rows.write_csv(df, str(tmp_path / "out"))
     assert [tuple(r) for r in spark.read.option("header", True).option("sep", ";").csv(str(tmp_path / "out")).collect()] == [("'=x", "1.5", "true")]
+
+
+def test_names_by_their_rarest_letters(spark):
+    """Lines and names that all begin alike: equal to all pairs, with few candidates."""
+    names = [f"Compañía {a}{b}{c} del Norte" for a in "abcdef" for b in "ghijkl" for c in "mnopqr"] + ["ab", "x", "Cía. Ab"]
+    lines = [f"compania {n[9:12]}" for n in names[:216]] + [f"COMPAÑÍA {a}zz" for a in "abc"] + [f"{n[9:12]} del" for n in names[:50]] + ["a", "ab", "x", "qq", "norte", ""]
+    known = spark.createDataFrame(list(enumerate(names)), "id int, nombre string")
+    asked = spark.createDataFrame([(n,) for n in lines * 2], "linea string")
+    hits, misses = catalog.name_match(asked, known)
+    fold = {n: text.lower().replace("ñ", "n").replace("í", "i") for n in lines + names for text in [n]}
+    want = set()
+    for line in filter(None, set(lines)):
+        same = [(line, str(i), n) for i, n in enumerate(names) if fold[n] == fold[line]]
+        want |= set(same or [(line, str(i), n) for i, n in enumerate(names) if fold[line] in fold[n]])
+    assert {tuple(r) for r in hits.collect()} == want
+    assert {r.linea for r in misses.collect()} == {"COMPAÑÍA azz", "COMPAÑÍA bzz", "COMPAÑÍA czz", "qq", ""}
+    folded = lambda df, c, name: df.select(F.translate(F.lower(c), "ñí", "ni").alias(name)).distinct()
+    beginning = folded(asked.where("linea LIKE 'compania%'"), "linea", "line")
+    assert catalog.containing(beginning, folded(known, "nombre", "name")).count() <= 40 * 216  # of 216 * 216 that begin alike
