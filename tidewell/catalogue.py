@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .functions import urls as U
 from .operators import catalog, docs, graph, history, rows, similarity
-from .plans import news
+from .plans import discards, news
 from .sources import html
 from .sources.tags import ASIDE_TEXT
 from .streaming import events as streams
@@ -247,6 +247,32 @@ def agg_discards(spark, sf):
     )
 
 
+SAYS = lambda text, words: f"regexp_matches(' ' || {NORM.format(text)} || ' ', '[^a-z0-9_]({words})[^a-z0-9_]')"
+
+
+@query(f"""WITH a AS (SELECT doc_id, coalesce(lang, '?') AS medio, 'https://x.pe/S' || doc_id % 3 || '/der-n' || doc_id // 30 AS url, doc_id % 50 AS hour, doc_id % 11 = 0 AS undated,
+     coalesce(text, '') AS body, substr(string_split(coalesce(text, ''), chr(10))[1], 1, 80) AS title FROM documents),
+   e AS (SELECT *, CASE WHEN doc_id % 3 = 1 THEN 'otra_seccion' WHEN NOT undated AND hour < 5 THEN 'fuera_de_ventana' END AS early FROM a),
+   f AS (SELECT *, min(doc_id) FILTER (early IS NULL) OVER (PARTITION BY medio, url) AS first FROM e),
+   r AS (SELECT medio, CASE WHEN doc_id > first THEN 'duplicadas' WHEN early IS NOT NULL THEN early
+     WHEN {SAYS("title || ' n' || doc_id // 30", "les|n7")} THEN 'excluidas_titulo' WHEN doc_id % 13 = 0 THEN 'errores' WHEN body = '' THEN 'cuerpo_vacio' WHEN length(body) < 250 THEN 'cuerpo_corto'
+     WHEN undated AND hour < 25 THEN 'fuera_de_ventana' WHEN {SAYS("title || ' ' || body", "que")} THEN 'excluidas_contenido'
+     WHEN NOT {SAYS("title || ' ' || body", "the|der")} THEN 'no_relevantes' END AS motivo FROM f)
+   SELECT medio, {", ".join(f"count(*) FILTER (motivo = '{m}') AS {m}" for m in discards.REASONS)}, count(*) FILTER (motivo IS NULL) AS quedan FROM r GROUP BY medio""")
+def agg_feed_discards(spark, sf):
+    """Documents as the feed of their language, in the order of their ids: why they go, by all nine reasons."""
+    key, start = F.col("doc_id"), "TIMESTAMP '2024-01-01 00:00:00'"
+    text = F.coalesce("text", F.lit(""))
+    items = table(spark, sf, "documents").select(
+        key, F.coalesce("lang", F.lit("?")).alias("medio"), F.concat(F.lit("https://x.pe/S"), (key % 3).cast("string"), F.lit("/der-n"), F.expr("doc_id div 30").cast("string")).alias("url"),
+        F.substring(F.split(text, "\n")[0], 1, 80).alias("titulo"), "text", text.alias("contenido"), F.when(key % 13 == 0, "HTTP").alias("error"),
+        F.when(key % 11 != 0, F.expr(f"{start} + make_interval(0, 0, 0, 0, CAST(doc_id % 50 AS INT))")).alias("fecha"),
+        F.expr(f"{start} + make_interval(0, 0, 0, 0, CAST(doc_id % 50 AS INT) - 20)").alias("fecha_pagina"),
+    )
+    rules = discards.FeedRules(exclude=["/s1/"], since="2024-01-01 05:00:00", left_out_title=["les", "n7"], left_out_text=["Qué"], relevant=["the", "der"], only_relevant=True, shortest=250)
+    return discards.discard_counts(discards.feed_reasons(items, rules, "doc_id"))
+
+
 # ---------------------------------------------------------------- aggregates
 
 
