@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions import urls as U
-from .operators import catalog, docs, graph, history, rows, similarity
+from .operators import catalog, crawl, docs, graph, history, rows, similarity
 from .plans import discards, news
 from .sources import html
 from .sources.tags import ASIDE_TEXT
@@ -700,6 +700,26 @@ def crawl_sites(spark, sf):
     return graph.crawled(links, links.groupBy("site").agg(F.min("source").alias("node")), "site", 3, 40)
 
 
+@query("""WITH RECURSIVE l AS (SELECT l_suppkey AS sup, l_partkey AS par, (2 + sum(l_linenumber) % 5 * 4)::DOUBLE AS puntaje, min(l_orderkey) AS pos FROM lineitem WHERE l_suppkey % 10 = l_partkey % 10 GROUP BY 1, 2),
+   e AS (SELECT sup % 10 AS site, sup AS source, par AS target, puntaje, pos FROM l UNION ALL SELECT sup % 10, par, sup, 22 - puntaje, pos FROM l),
+   pages AS (SELECT site, source, min_by(struct_pack(n := -puntaje, o := pos), (pos, -puntaje)) AS x, target FROM e GROUP BY site, source, target),
+   outs AS (SELECT site, source, list(struct_pack(o := x.o, t := target, n := x.n) ORDER BY x.o, target) AS links FROM pages GROUP BY site, source),
+   w AS (SELECT site, 0 AS visita, NULL::BIGINT AS node, 0 AS profundidad, 0::DOUBLE AS puntaje, [struct_pack(n := -100::DOUBLE, d := 0, via := 0, o := 0::BIGINT, t := min(source)::BIGINT)] AS heap, [min(source)::BIGINT] AS queued FROM e GROUP BY site
+     UNION ALL SELECT site, visita + 1, heap[1].t, heap[1].d, -heap[1].n,
+       list_sort(list_concat(heap[2:], list_transform(fresh, lambda x: struct_pack(n := x.n, d := heap[1].d + 1, via := visita + 1, o := x.o, t := x.t)))), list_concat(queued, list_transform(fresh, lambda x: x.t))
+       FROM (SELECT w.*, CASE WHEN w.heap[1].d < 3 THEN list_filter(outs.links, lambda x: NOT list_contains(w.queued, x.t)) ELSE [] END AS fresh FROM w LEFT JOIN outs ON outs.site = w.site AND outs.source = w.heap[1].t WHERE w.visita < 40 AND len(w.heap) > 0))
+   SELECT site, node, visita::INT AS visita, profundidad::INT AS profundidad, puntaje FROM w WHERE visita > 0""")
+def crawl_best_first(spark, sf):
+    """The sites of ``crawl_sites``, walked by the scores of their links; the SQL pops one page of each site at a time."""
+    own = table(spark, sf, "lineitem").where("l_suppkey % 10 = l_partkey % 10").groupBy("l_suppkey", "l_partkey")
+    own = own.agg((F.sum("l_linenumber") % 5 * 4 + 2).cast("double").alias("puntaje"), F.min("l_orderkey").alias("pos"))
+    site = (F.col("l_suppkey") % 10).alias("site")
+    links = own.select(site, F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("target"), "puntaje", "pos")
+    links = links.union(own.select(site, "l_partkey", "l_suppkey", (22 - F.col("puntaje")).alias("puntaje"), "pos"))
+    starts = links.groupBy("site").agg(F.min("source").alias("node")).select("site", "node", F.lit(100).alias("puntaje"), F.lit(0).alias("profundidad"), F.lit(0).alias("pos"))
+    return crawl.best_first(links, starts, "site")
+
+
 @query("SELECT o_orderkey FROM orders WHERE o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 90 DAYS")
 def run_retention(spark, sf):
     o = table(spark, sf, "orders")
