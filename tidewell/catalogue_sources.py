@@ -426,7 +426,7 @@ def str_recent_window(spark, sf):
 def str_failure_lock(spark, sf):
     """Refused attempts depend on those before; the SQL walks through them."""
     e = streams.table_stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = drained(spark, locks.failure_locks(e, ["user_id"], "ts", F.col("event_type") == "error", most=2, window=86400))
+    out = drained(spark, locks.failure_locks(e, ["user_id"], "ts", F.col("event_type") == "error", most=2, window=86400, order=F.col("event_id")))
     return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
