@@ -26,16 +26,21 @@ def stored(spark, df: DataFrame, write) -> str:
 # ---------------------------------------------------------------- lists of links
 
 
+#: Lines of a list, entries of a feed and feeds of an index are bounded, so no source is one group.
+LINES, ENTRIES, CHILDREN = 100, 50, 16
+
+
 def link_lists(spark, sf) -> DataFrame:
-    """The pages of a host as a text file: a header, then a name and a URL in each line."""
-    host = U.host_key(F.col("url"))
+    """Up to ``LINES`` pages of a host as a text file: a header, then a name and a URL in each line."""
+    path = F.concat(U.host_key(F.col("url")), F.lit("/"), F.expr(f"page_id div {LINES}").cast("string"))
     line = F.concat_ws(";", F.concat(F.lit("n"), F.col("page_id").cast("string")), "url", F.lit("x, y"))
-    listed = table(spark, sf, "pages").groupBy(host.alias("path")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", line.alias("line")))), lambda x: x["line"]), "\r\n").alias("lines"))
+    listed = table(spark, sf, "pages").groupBy(path.alias("path")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", line.alias("line")))), lambda x: x["line"]), "\r\n").alias("lines"))
     return listed.select("path", F.concat(F.lit("# lista\nNombre;Enlace;Nota\n"), "lines").alias("texto"))
 
 
 HOST_KEY = f"regexp_replace(split_part({HOST}, ':', 1), '^www\\.', '')"
-LISTED = f"SELECT {HOST_KEY} AS path, page_id, url, row_number() OVER (PARTITION BY {HOST_KEY} ORDER BY page_id) AS n FROM pages"
+LIST_PATH = f"{HOST_KEY} || '/' || page_id // {LINES}"
+LISTED = f"SELECT {LIST_PATH} AS path, page_id, url, row_number() OVER (PARTITION BY {LIST_PATH} ORDER BY page_id) AS n FROM pages"
 URL_KEY = r"regexp_replace(regexp_replace(lower(url), '^https?://(www\.)?', ''), '/+$', '')"
 
 
@@ -45,17 +50,17 @@ def src_link_list(spark, sf):
     return links.link_rows(link_lists(spark, sf))
 
 
-@query(f"SELECT DISTINCT {HOST_KEY} AS path, ';' AS delimitador FROM pages")
+@query(f"SELECT DISTINCT {LIST_PATH} AS path, ';' AS delimitador FROM pages")
 def src_sniff_delimiter(spark, sf):
     return links.delimiter(links.numbered_lines(link_lists(spark, sf)))
 
 
-@query(f"SELECT DISTINCT {HOST_KEY} AS path, true AS encabezado, 1::INT AS columna FROM pages")
+@query(f"SELECT DISTINCT {LIST_PATH} AS path, true AS encabezado, 1::INT AS columna FROM pages")
 def src_header_detect(spark, sf):
     return links.layout(links.cells(links.numbered_lines(link_lists(spark, sf))))
 
 
-@query(f"SELECT DISTINCT {HOST_KEY} AS path, true AS encabezado, 2::INT AS columna FROM pages")
+@query(f"SELECT DISTINCT {LIST_PATH} AS path, true AS encabezado, 2::INT AS columna FROM pages")
 def src_url_column_detect(spark, sf):
     """A column that is asked for by its name, in any case, comes before the first with a link."""
     return links.layout(links.cells(links.numbered_lines(link_lists(spark, sf))), "NOTA")
@@ -91,10 +96,11 @@ def src_doc_files(spark, sf):
 
 
 def feed_bodies(spark, sf, entry, start: str, end: str) -> DataFrame:
-    """The documents of a source as a feed, in the order of their ids."""
+    """Up to ``ENTRIES`` documents of a source as a feed, in the order of their ids, with its source and number."""
     parts = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", entry.alias("e")))), lambda x: x["e"])
-    bodies = table(spark, sf, "documents").groupBy("source").agg(F.array_join(parts, "\n").alias("inner"))
-    return bodies.select(F.concat(F.lit("https://f/"), "source").alias("feed_url"), F.concat(F.lit(start), "inner", F.lit(end)).alias("body"))
+    bodies = table(spark, sf, "documents").groupBy("source", F.expr(f"doc_id div {ENTRIES}").alias("lote")).agg(F.array_join(parts, "\n").alias("inner"))
+    url = F.concat(F.lit("https://f/"), "source", F.lit("/"), F.col("lote").cast("string"))
+    return bodies.select("source", "lote", url.alias("feed_url"), F.concat(F.lit(start), "inner", F.lit(end)).alias("body"))
 
 
 def rss_bodies(spark, sf) -> DataFrame:
@@ -103,30 +109,33 @@ def rss_bodies(spark, sf) -> DataFrame:
     return feed_bodies(spark, sf, entry, '<rss xmlns:dc="x"><channel>', "</channel></rss>")
 
 
-PLACE = "(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1)::INT"
+PLACE = f"(row_number() OVER (PARTITION BY source, doc_id // {ENTRIES} ORDER BY doc_id) - 1)::INT"
 
 
-@query(f"SELECT 'https://f/' || source AS feed_url, {PLACE} AS pos, 'T & ' || lang AS titulo, '2026-10-07' AS fecha_raw, 'https://a/' || doc_id AS url FROM documents")
+@query(f"SELECT 'https://f/' || source || '/' || doc_id // {ENTRIES} AS feed_url, {PLACE} AS pos, 'T & ' || lang AS titulo, '2026-10-07' AS fecha_raw, 'https://a/' || doc_id AS url FROM documents")
 def feed_rss(spark, sf):
     """The bodies have bare ampersands, which are mended."""
     return feeds.feed_items(rss_bodies(spark, sf))
 
 
-@query(f"SELECT 'https://f/' || source AS feed_url, {PLACE} AS pos, '' AS titulo, '2026-01-01' AS fecha_raw, 'https://a/' || doc_id AS url FROM documents")
+@query(f"SELECT 'https://f/' || source || '/' || doc_id // {ENTRIES} AS feed_url, {PLACE} AS pos, '' AS titulo, '2026-01-01' AS fecha_raw, 'https://a/' || doc_id AS url FROM documents")
 def feed_sitemap(spark, sf):
     entry = F.concat(F.lit("<url><loc>https://a/"), F.col("doc_id").cast("string"), F.lit("</loc><lastmod>2026-01-01</lastmod></url>"))
     return feeds.feed_items(feed_bodies(spark, sf, entry, "<urlset>", "</urlset>"))
 
 
-@query(f"""WITH i AS (SELECT source, {PLACE} AS pos, lang, doc_id FROM documents), s AS (SELECT source FROM (SELECT DISTINCT source FROM documents) ORDER BY source LIMIT 10)
-   SELECT 'https://f/index' AS feed_url, pos, 'T & ' || lang AS titulo, '2026-10-07' AS fecha_raw, 'https://a/' || doc_id AS url FROM i SEMI JOIN s USING (source)""")
+@query(f"""WITH i AS (SELECT source, doc_id // {ENTRIES} AS lote, {PLACE} AS pos, lang, doc_id FROM documents),
+   r AS (SELECT *, dense_rank() OVER (PARTITION BY source, lote // {CHILDREN} ORDER BY lote) AS n FROM i)
+   SELECT 'https://i/' || source || '/' || lote // {CHILDREN} AS feed_url, pos, 'T & ' || lang AS titulo, '2026-10-07' AS fecha_raw, 'https://a/' || doc_id AS url FROM r WHERE n <= 10""")
 def feed_sitemap_index(spark, sf):
-    """An index follows ten of its children."""
+    """An index of a source's feeds follows ten of its children."""
     bodies = rss_bodies(spark, sf)
-    child = lambda url: F.concat(F.lit("<sitemap><loc>"), url, F.lit("</loc></sitemap>"))
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list("feed_url")), child), "")
-    index = bodies.agg(F.lit("https://f/index").alias("feed_url"), F.concat(F.lit("<sitemapindex>"), listed, F.lit("</sitemapindex>")).alias("body"))
-    return feeds.feed_items(bodies.union(index)).where("feed_url = 'https://f/index'")
+    each = F.array_sort(F.collect_list(F.struct("lote", "feed_url")))
+    listed = F.array_join(F.transform(each, lambda x: F.concat(F.lit("<sitemap><loc>"), x["feed_url"], F.lit("</loc></sitemap>"))), "")
+    url = F.concat(F.lit("https://i/"), "source", F.lit("/"), F.col("part").cast("string"))
+    indexes = bodies.groupBy("source", F.expr(f"lote div {CHILDREN}").alias("part")).agg(listed.alias("listed"))
+    indexes = indexes.select(url.alias("feed_url"), F.concat(F.lit("<sitemapindex>"), "listed", F.lit("</sitemapindex>")).alias("body"))
+    return feeds.feed_items(bodies.select("feed_url", "body").union(indexes)).where("startswith(feed_url, 'https://i/')")
 
 
 @query("SELECT page_id AS id, 'html' AS tipo FROM pages WHERE lower(ltrim(substr(html, 1, 600))) LIKE '<!doctype html%' UNION ALL SELECT doc_id, 'feed' FROM documents")
