@@ -602,7 +602,24 @@ def doc_pages(spark, sf):
     return dealt(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("page", "text"))
 
 
-@query()
+@query(
+    "WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS page, unnest(string_split(text, chr(10))) AS linea FROM documents), f AS (SELECT *, "
+    + PLAIN + " AS plano FROM l), h AS ("
+    + " UNION ALL ".join(
+        f"""SELECT doc_id, page, {i} AS orden, '{t}' AS termino, linea, regexp_extract_all(plano, '.*?{p}') AS trozos, '^(.*?(?:^|[^a-z0-9]))({p[13:-13]})(?:$|[^a-z0-9])$' AS forma
+            FROM f WHERE regexp_matches(plano, '{p}')"""
+        for i, (t, p) in enumerate(FOUND.items())
+    )
+    + r"""), v AS (SELECT doc_id, page, termino, linea, i, coalesce(list_sum(list_transform(trozos[:i - 1], lambda x: length(x))), 0) + length(regexp_extract(trozos[i], forma, 1)) + 1 AS a,
+            length(regexp_extract(trozos[i], forma, 2)) AS b FROM h, range(1, 3) r(i) WHERE i <= len(trozos)),
+    c AS (SELECT doc_id, termino, list(trim(regexp_replace(substr(linea, greatest(a - 90, 1)::BIGINT, (least(a - 1, 90) + b + 90)::BIGINT), '\s+', ' ', 'g')) ORDER BY page, i) AS vistas
+          FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, termino ORDER BY page, i) AS nth FROM v) WHERE nth <= 2 GROUP BY doc_id, termino),
+    t AS (SELECT doc_id, termino, orden, sum(len(trozos)) AS n, min(page) AS primera FROM h GROUP BY ALL),
+    w AS (SELECT doc_id, string_agg(termino || ' (' || n || ')', '; ' ORDER BY primera, orden) AS palabras, left(string_agg(array_to_string(vistas, ' | '), ' | ' ORDER BY primera, orden), 600) AS contextos, sum(n)::BIGINT AS total
+          FROM t JOIN c USING (doc_id, termino) GROUP BY doc_id),
+    q AS (SELECT doc_id, string_agg(page, ', ' ORDER BY page) AS paginas FROM (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS nth FROM (SELECT DISTINCT doc_id, page FROM h)) WHERE nth <= 40 GROUP BY doc_id)
+    SELECT doc_id, palabras, contextos, total, q.paginas FROM w JOIN q USING (doc_id)"""
+)
 def agg_doc_rollup(spark, sf):
     return docs.doc_rollup(docs.term_hits(doc_pages(spark, sf), SEARCHED, ["doc_id", "page"]), "doc_id", "page")
 
