@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rows import beyond
+
 
 def last_run(workflows: DataFrame, runs: DataFrame, key: str, order: list) -> DataFrame:
     """Each workflow with its newest run; nulls for those that never ran."""
@@ -14,9 +16,8 @@ def last_run(workflows: DataFrame, runs: DataFrame, key: str, order: list) -> Da
 
 
 def beyond_newest(runs: DataFrame, key: str, order: list, keep: int) -> DataFrame:
-    """The runs that go when the newest ``keep`` of each workflow stay."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return runs.withColumn("__place", place).where(F.col("__place") > keep).drop("__place")
+    """The runs that go when the newest ``keep`` of each workflow stay; ``order`` must leave no ties."""
+    return beyond(runs, [key], order, keep)
 
 
 def run_status(nodes: DataFrame, run: str) -> DataFrame:

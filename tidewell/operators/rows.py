@@ -8,18 +8,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import csv_cell
+from .graph import cut
 
 
 def first_per_key(df: DataFrame, key: Column, order: list) -> tuple[DataFrame, DataFrame]:
     """The first row of each key, and the others; an empty or null key is never a duplicate.
 
-    Rows without a key take no part in the ranking.
+    Rows without a key take no part in the ranking.  ``order`` must leave no ties.
     """
     keyed = df.select(F.struct("*").alias("row"), F.nullif(key, F.lit("")).alias("key"))
-    place = F.row_number().over(Window.partitionBy("key").orderBy(*(F.col(f"row.`{c}`") if isinstance(c, str) else c for c in order)))
-    ranked = keyed.where("key IS NOT NULL").withColumn("place", place)
-    first = ranked.where("place = 1").select("row.*").union(keyed.where("key IS NULL").select("row.*"))
-    return first, ranked.where("place > 1").select("row.*")
+    order = [F.col(f"row.`{c}`") if isinstance(c, str) else c for c in order]
+    given = keyed.where("key IS NOT NULL")
+    ranked = given.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(*order))).where("place = 1")
+    first = ranked.select("row.*").union(keyed.where("key IS NULL").select("row.*"))
+    return first, beyond(given, ["key"], order, 1).select("row.*")
+
+
+def beyond(df: DataFrame, keys: list[str], order: list, keep: int) -> DataFrame:
+    """The rows past the first ``keep`` of their keys; ``order`` must leave no ties.
+
+    A key's rows are ranked in shares, by the partition that they come from, and only the first ``keep`` of each share
+    once more together, so a key of many rows is not sorted in one task.
+    """
+    share, local, again = "__share", "__local", "__again"
+    shared = df.withColumn(share, F.spark_partition_id())
+    shared = shared.withColumn(local, F.row_number().over(Window.partitionBy(*keys, share).orderBy(*order)))
+    group = F.when(F.col(local) <= keep, F.lit(-1)).otherwise(F.col(share))
+    ranked = shared.withColumn(again, F.row_number().over(Window.partitionBy(*keys, group).orderBy(*order)))
+    return ranked.where((F.col(local) > keep) | (F.col(again) > keep)).drop(share, local, again)
 
 
 def discard_reason(df: DataFrame, rules: list[tuple[str, Column]], name: str = "motivo") -> DataFrame:
@@ -42,10 +58,28 @@ def union_rows(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def numbered(df: DataFrame, order: list, name: str, keys: list[str] | None = None) -> DataFrame:
+    """Rows numbered from 1 in this order, within the keys if there are any; null is a key like others.
+
+    Rows are sorted by ranges; in each range a key's rows follow as many as it has in the ranges before.
+    """
+    keys = keys or []
+    named = [f"k{i}" for i in range(len(keys))]
+    wrapped = df.orderBy(*keys, *order).select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), *(F.col(k).alias(n) for k, n in zip(keys, named, strict=True)), F.monotonically_increasing_id().alias("at"))
+    ranged = cut(wrapped).withColumn("part", F.shiftright("at", 33))
+    sizes = ranged.groupBy(*named, "part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    # of each key one row for each range, so one task is enough
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*named).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(*(F.col(n).alias(f"o{n}") for n in named), F.col("part").alias("opart"), "first", before.alias("before"))
+    same = F.col("part") == F.col("opart")
+    for n in named:
+        same &= F.col(n).eqNullSafe(F.col(f"o{n}"))
+    return ranged.join(offsets, same).select("row.*", (F.col("before") + F.col("at") - F.col("first") + 1).alias(name))
+
+
 def batches(df: DataFrame, order: list, size: int, keys: list[str] | None = None) -> DataFrame:
     """``lote`` numbers batches of ``size`` rows within the keys, from 0."""
-    place = F.row_number().over(Window.partitionBy(*(keys or [])).orderBy(*order))
-    return df.withColumn("lote", F.floor((place - 1) / size).cast("long"))
+    return numbered(df, order, "lote", keys).withColumn("lote", F.floor((F.col("lote") - 1) / size).cast("long"))
 
 
 def neighbours_differ(df: DataFrame, keys: list[str], order: list, value: str) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import terms
 from ..functions.urls import news_key
-from .graph import components, cut, stored
-from .rows import first_per_key
+from .graph import components, stored
+from .rows import first_per_key, numbered
 
 #: A posting list longer than this gives no candidates; how many rare terms a pair shares.
 LONGEST_POSTING, SHARED = 60, 2
@@ -106,18 +106,6 @@ def similar_pairs(df: DataFrame, key: str, text, threshold: float = 0.4) -> Data
     return between.union(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "sim")
 
 
-def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
-    """Rows numbered from 1 in this order: within ranges of it, after as many as the ranges before hold."""
-    ranged = cut(df.orderBy(*order).withColumn("at", F.monotonically_increasing_id()))
-    part, place = F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
-    sizes = ranged.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
-    # one row for each range, so one task is enough
-    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("part", before.alias("before"))
-    met = ranged.select("*", part, place.alias("place")).join(offsets, "part")
-    return met.withColumn(name, F.col("before") + F.col("place")).drop("part", "place", "before", "at")
-
-
 def story_groups(kept: DataFrame, body, threshold: float, cross: bool, longest: int | None) -> DataFrame:
     """(_seq, medio, root) of the articles that share a story with another, of another outlet if ``cross``."""
     if longest is not None:
