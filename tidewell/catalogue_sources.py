@@ -220,10 +220,18 @@ def sink_csv(spark, sf):
     return spark.read.option("header", True).option("sep", ";").option("escape", '"').schema("doc_id long, q string, celda string").csv(at)
 
 
-@query("SELECT doc_id, CASE WHEN quality = 1 THEN 'IDENTIFICADOS' ELSE 'REVISAR_MANUAL' END AS ruta FROM labels WHERE quality = 1 OR toxic = 1")
+@query("""SELECT '/d/' || source || '/' || CASE WHEN doc_id % 7 > 0 THEN (2000 + doc_id % 7) || '/' ELSE '' END || doc_id || '.pdf' AS path, source AS empresa,
+   CASE WHEN doc_id % 7 > 0 THEN (2000 + doc_id % 7)::VARCHAR ELSE '' END AS anio, CASE WHEN quality = 1 THEN 'IDENTIFICADOS' ELSE 'REVISAR_MANUAL' END AS ruta
+   FROM documents JOIN labels USING (doc_id) WHERE quality = 1 OR toxic = 1""")
 def sink_routed(spark, sf):
-    routed = table(spark, sf, "labels").select("doc_id", docs.route(F.col("quality"), F.col("toxic")).alias("ruta"))
-    return spark.read.schema("doc_id long, ruta string").parquet(stored(spark, routed, docs.write_routed))
+    """Documents as files in folders by company and, but for some, year; the manifest is read again."""
+    key = F.col("doc_id").cast("string")
+    year = F.when(F.col("doc_id") % 7 > 0, F.concat((F.col("doc_id") % 7 + 2000).cast("string"), F.lit("/"))).otherwise("")
+    files = links.document_files(table(spark, sf, "documents").select(F.concat(F.lit("/d/"), "source", F.lit("/"), year, key, F.lit(".pdf")).alias("path")))
+    found = files.withColumn("doc_id", F.regexp_extract("path", "(\\d+)[.]pdf$", 1).cast("long")).join(table(spark, sf, "labels"), "doc_id")
+    routed = found.select("path", "empresa", "anio", docs.route(F.col("quality"), F.col("toxic")).alias("ruta"))
+    at = stored(spark, routed, docs.write_routed)
+    return spark.read.schema("path string, ruta string, empresa string, anio string").parquet(at).fillna("", ["empresa", "anio"])
 
 
 @query("""WITH s AS (SELECT source AS medio, 'https://a/' || doc_id AS url FROM documents UNION SELECT 'src1', url FROM pages)
