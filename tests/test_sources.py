@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 
 from pyspark.sql import functions as F
 
+from tidewell import catalogue
 from tidewell.functions import text as T
 from tidewell.functions import urls as U
 from tidewell.operators import answers, docs, history, locations, rows
@@ -58,6 +59,23 @@ def test_link_file(spark, tmp_path):
     assert [r.nombre for r in links.link_rows(text).orderBy("linea").collect()] == ["b.pe", "b.pe"]
 
 
+def test_list_in_parts(spark):
+    parts = [("a", None, "# c\nNombre;Enlace"), ("a", 7, "z;http://a.pe/1\nz;nada"), ("a", -2, "y;http://a.pe/1/\r\n\r\ny;http://a.pe/2"), ("b", 7, "w;http://a.pe/1")]
+    got = links.link_rows(spark.createDataFrame(parts, "path string, parte long, texto string")).orderBy("path", "linea").collect()
+    assert [(r.path, r.linea, r.nombre, r.motivo) for r in got] == [
+        ("a", 3, "y", None), ("a", 5, "y", None), ("a", 6, "z", "duplicado"), ("a", 7, "z", "no parece un enlace"), ("b", 1, "w", None),
+    ]
+
+
+def test_a_host_is_one_list(spark, tmp_path):
+    urls = [(3, "http://www.a.pe/x"), (150, "http://b.pe/"), (170, "https://a.pe/x/"), (2_500, "http://a.pe/y"), (9_001, "http://a.pe/X")]
+    spark.createDataFrame([(*u, None) for u in urls], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = catalogue.QUERIES["src_link_list"](spark, str(tmp_path)).orderBy("path", "linea").collect()
+    assert [(r.path, r.linea, r.nombre, r.motivo) for r in got] == [
+        ("a.pe", 3, "n3", None), ("a.pe", 4, "n170", "duplicado"), ("a.pe", 5, "n2500", None), ("a.pe", 6, "n9001", "duplicado"), ("b.pe", 3, "n150", None),
+    ]
+
+
 def test_document_files(spark):
     df = spark.createDataFrame([("/d/Acme/2020/a.PDF",), ("/d/Acme/b.pdf",), ("/d/Acme/c.txt",), ("/d/Acme/b.pdf",)], "path string")
     assert sorted(map(tuple, links.document_files(df).collect())) == [("/d/Acme/2020/a.PDF", "Acme", "2020"), ("/d/Acme/b.pdf", "Acme", "")]

@@ -28,26 +28,46 @@ def stored(spark, df: DataFrame, write) -> str:
 
 #: Lines of a list, entries of a feed and feeds of an index are bounded, so no source is one group.
 LINES, ENTRIES, CHILDREN = 100, 50, 16
+#: A host's whole list, and a source's whole feed, comes in parts: what lies in so many ids.
+SPAN = 1000
+
+
+def joined_lines(lines: DataFrame, *keys: str) -> DataFrame:
+    """The keys and ``lines``, the text of each group in the order of the ids."""
+    each = F.transform(F.array_sort(F.collect_list(F.struct("page_id", "line"))), lambda x: x["line"])
+    return lines.groupBy(*keys).agg(F.array_join(each, "\r\n").alias("lines"))
+
+
+def listed_lines(spark, sf) -> DataFrame:
+    """(host, page_id, line): a name and a URL of each page."""
+    line = F.concat_ws(";", F.concat(F.lit("n"), F.col("page_id").cast("string")), "url", F.lit("x, y"))
+    return table(spark, sf, "pages").select(U.host_key(F.col("url")).alias("host"), "page_id", line.alias("line"))
 
 
 def link_lists(spark, sf) -> DataFrame:
     """Up to ``LINES`` pages of a host as a text file: a header, then a name and a URL in each line."""
-    path = F.concat(U.host_key(F.col("url")), F.lit("/"), F.expr(f"page_id div {LINES}").cast("string"))
-    line = F.concat_ws(";", F.concat(F.lit("n"), F.col("page_id").cast("string")), "url", F.lit("x, y"))
-    listed = table(spark, sf, "pages").groupBy(path.alias("path")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", line.alias("line")))), lambda x: x["line"]), "\r\n").alias("lines"))
+    path = F.concat("host", F.lit("/"), F.expr(f"page_id div {LINES}").cast("string"))
+    listed = joined_lines(listed_lines(spark, sf).withColumn("path", path), "path")
     return listed.select("path", F.concat(F.lit("# lista\nNombre;Enlace;Nota\n"), "lines").alias("texto"))
 
 
+def host_lists(spark, sf) -> DataFrame:
+    """All pages of a host as one text file in parts: the header, whose ``parte`` is null, then the lines of ``SPAN`` ids each."""
+    lines = listed_lines(spark, sf).withColumnRenamed("host", "path").withColumn("parte", F.expr(f"page_id div {SPAN}"))
+    heads = lines.select("path", F.lit(None).cast("long").alias("parte"), F.lit("# lista\nNombre;Enlace;Nota").alias("texto")).distinct()
+    return heads.union(joined_lines(lines, "path", "parte").select("path", "parte", F.col("lines").alias("texto")))
+
+
 HOST_KEY = f"regexp_replace(split_part({HOST}, ':', 1), '^www\\.', '')"
 LIST_PATH = f"{HOST_KEY} || '/' || page_id // {LINES}"
-LISTED = f"SELECT {LIST_PATH} AS path, page_id, url, row_number() OVER (PARTITION BY {LIST_PATH} ORDER BY page_id) AS n FROM pages"
+LISTED = f"SELECT {HOST_KEY} AS path, page_id, url, row_number() OVER (PARTITION BY {HOST_KEY} ORDER BY page_id) AS n FROM pages"
 URL_KEY = r"regexp_replace(regexp_replace(lower(url), '^https?://(www\.)?', ''), '/+$', '')"
 
 
 @query(f"""WITH l AS ({LISTED}) SELECT path, (n + 2)::INT AS linea, url AS valor, 'n' || page_id AS nombre, url,
    CASE WHEN row_number() OVER (PARTITION BY path, {URL_KEY} ORDER BY n) > 1 THEN 'duplicado' END AS motivo FROM l""")
 def src_link_list(spark, sf):
-    return links.link_rows(link_lists(spark, sf))
+    return links.link_rows(host_lists(spark, sf))
 
 
 @query(f"SELECT DISTINCT {LIST_PATH} AS path, ';' AS delimitador FROM pages")
