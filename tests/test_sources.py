@@ -90,6 +90,25 @@ def test_feed_forms(spark):
     assert feeds.read_feed("no feed")[0][0] == "error" and feeds.read_feed(None)[0][0] == "error"
 
 
+def test_feed_in_pages(spark):
+    url = "<url><loc>{}</loc></url>"
+    pages = [("f", 12, url.format("c")), ("f", 3, url.format("a") + url.format("b")), ("f", None, url.format("z")), ("g", 0, url.format("a"))]
+    bodies = [(u, p, f"<urlset>{b}</urlset>") for u, p, b in pages] + [("f", 5, "<urlset>")]
+    index = [("i", p, "<sitemapindex>" + "<sitemap><loc>no</loc></sitemap>" * n + f"<sitemap><loc>{u}</loc></sitemap></sitemapindex>") for p, n, u in ((1, 8, "g"), (2, 0, "g"), (3, 0, "f"))]
+    got = feeds.feed_items(spark.createDataFrame(bodies + index, "feed_url string, pagina long, body string")).collect()
+    assert sorted((r.feed_url, r.pos, r.url) for r in got) == [("f", 0, "z"), ("f", 1, "a"), ("f", 2, "b"), ("f", 3, "c"), ("g", 0, "a"), ("i", 0, "a"), ("i", 0, "a")]
+
+
+def test_a_source_is_one_sitemap(spark, tmp_path):
+    ids = [(5, "s"), (70, "s"), (2_000, "s"), (3_100, "s"), (60, "t")]
+    spark.createDataFrame(ids, "doc_id long, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalogue.QUERIES["feed_sitemap"](spark, str(tmp_path)).collect()
+    assert sorted((r.feed_url, r.pos, r.url) for r in got) == [
+        ("https://f/s", 0, "https://a/5"), ("https://f/s", 1, "https://a/70"), ("https://f/s", 2, "https://a/2000"), ("https://f/s", 3, "https://a/3100"),
+        ("https://f/t", 0, "https://a/60"),
+    ]
+
+
 def test_robots_rules(spark):
     pages = spark.createDataFrame([("http://a.pe/privado/x",), ("http://a.pe/x",), ("http://b.pe/privado/",)], "url string")
     rules = spark.createDataFrame([("a.pe", "*", 1, False, "/privado/"), ("b.pe", "*", 1, False, "/"), ("b.pe", "me", 1, True, "/")], "host string, agent string, rule_no int, allow boolean, prefix string")

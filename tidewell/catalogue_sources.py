@@ -115,12 +115,17 @@ def src_doc_files(spark, sf):
 # ---------------------------------------------------------------- feeds
 
 
+def grouped_entries(spark, sf, entry, start: str, end: str, size: int) -> DataFrame:
+    """(source, lote, body): the documents of a source in groups of up to ``size`` ids, each in the order of the ids."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", entry.alias("e")))), lambda x: x["e"])
+    bodies = table(spark, sf, "documents").groupBy("source", F.expr(f"doc_id div {size}").alias("lote")).agg(F.array_join(parts, "\n").alias("inner"))
+    return bodies.select("source", "lote", F.concat(F.lit(start), "inner", F.lit(end)).alias("body"))
+
+
 def feed_bodies(spark, sf, entry, start: str, end: str) -> DataFrame:
     """Up to ``ENTRIES`` documents of a source as a feed, in the order of their ids, with its source and number."""
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", entry.alias("e")))), lambda x: x["e"])
-    bodies = table(spark, sf, "documents").groupBy("source", F.expr(f"doc_id div {ENTRIES}").alias("lote")).agg(F.array_join(parts, "\n").alias("inner"))
     url = F.concat(F.lit("https://f/"), "source", F.lit("/"), F.col("lote").cast("string"))
-    return bodies.select("source", "lote", url.alias("feed_url"), F.concat(F.lit(start), "inner", F.lit(end)).alias("body"))
+    return grouped_entries(spark, sf, entry, start, end, ENTRIES).select("source", "lote", url.alias("feed_url"), "body")
 
 
 def rss_bodies(spark, sf) -> DataFrame:
@@ -138,10 +143,12 @@ def feed_rss(spark, sf):
     return feeds.feed_items(rss_bodies(spark, sf))
 
 
-@query(f"SELECT 'https://f/' || source || '/' || doc_id // {ENTRIES} AS feed_url, {PLACE} AS pos, '' AS titulo, '2026-01-01' AS fecha_raw, 'https://a/' || doc_id AS url FROM documents")
+@query("SELECT 'https://f/' || source AS feed_url, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1)::INT AS pos, '' AS titulo, '2026-01-01' AS fecha_raw, 'https://a/' || doc_id AS url FROM documents")
 def feed_sitemap(spark, sf):
+    """All documents of a source are one sitemap, in pages of ``SPAN`` ids."""
     entry = F.concat(F.lit("<url><loc>https://a/"), F.col("doc_id").cast("string"), F.lit("</loc><lastmod>2026-01-01</lastmod></url>"))
-    return feeds.feed_items(feed_bodies(spark, sf, entry, "<urlset>", "</urlset>"))
+    pages = grouped_entries(spark, sf, entry, "<urlset>", "</urlset>", SPAN)
+    return feeds.feed_items(pages.select(F.concat(F.lit("https://f/"), "source").alias("feed_url"), F.col("lote").alias("pagina"), "body"))
 
 
 @query(f"""WITH i AS (SELECT source, doc_id // {ENTRIES} AS lote, {PLACE} AS pos, lang, doc_id FROM documents),

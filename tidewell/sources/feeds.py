@@ -9,9 +9,11 @@ from __future__ import annotations
 import re
 from xml.parsers import expat
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.graph import cut
+
 #: Fixed value: children of a sitemap index that are followed.
 CHILDREN = 10
 #: Elements that are entries, and the elements that hold each field of one.
@@ -86,18 +88,37 @@ def read_feed(body: str | None) -> list[tuple[str, str, str, str]]:
 
 
 def parsed(feeds: DataFrame) -> DataFrame:
+    """(feed_url, pagina, pos, kind, …): the entries of each body, ``pos`` from 0."""
+    paged = "pagina" in feeds.columns
+
     def run(frames):
         import pandas as pd
 
         for frame in frames:
-            rows = [(u, n, *item) for u, body in zip(frame["feed_url"], frame["body"], strict=True) for n, item in enumerate(read_feed(body))]
-            yield pd.DataFrame(rows, columns=["feed_url", "pos", "kind", *FIELDS])
+            rows = [(u, p, n, *item) for u, p, body in zip(frame["feed_url"], frame["pagina"], frame["body"], strict=True) for n, item in enumerate(read_feed(body))]
+            yield pd.DataFrame(rows, columns=["feed_url", "pagina", "pos", "kind", *FIELDS]).astype({"pagina": "Int64"})
+
+    page = F.col("pagina") if paged else F.lit(0)
+    each = feeds.select("feed_url", page.cast("long").alias("pagina"), "body").mapInPandas(run, "feed_url string, pagina long, pos int, kind string, titulo string, fecha_raw string, url string")
+    return following(cut(each)) if paged else each
 
-    return feeds.select("feed_url", "body").mapInPandas(run, "feed_url string, pos int, kind string, titulo string, fecha_raw string, url string")
+
+def following(each: DataFrame) -> DataFrame:
+    """Entries of feeds in pages, with ``pos`` running on from page to page."""
+    sizes = each.where("kind <> 'error'").groupBy(F.col("feed_url").alias("of"), F.col("pagina").alias("nth")).agg(F.count(F.lit(1)).alias("n"))
+    # a row for each page, so a feed's pages fit one task
+    order = Window.partitionBy("of").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("of", "nth", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
+    met = each.join(offsets, F.col("feed_url").eqNullSafe(F.col("of")) & F.col("pagina").eqNullSafe(F.col("nth")))
+    met = met.select("feed_url", "pagina", (F.col("before") + F.col("pos")).cast("int").alias("pos"), "kind", *FIELDS)
+    return met.where((F.col("kind") != "child") | (F.col("pos") < CHILDREN))
 
 
 def feed_items(feeds: DataFrame) -> DataFrame:
-    """(feed_url, pos, titulo, fecha_raw, url); the items of an index are those of its children in ``feeds``."""
+    """(feed_url, pos, titulo, fecha_raw, url); the items of an index are those of its children in ``feeds``.
+
+    A feed may come in pages, (feed_url, pagina, body), each a body of its own, so no feed has to be one row.
+    """
     each = parsed(feeds)
     own = each.where("kind = 'item'").select("feed_url", "pos", *FIELDS)
     children = each.where("kind = 'child'").select(F.col("feed_url").alias("index_url"), F.col("url").alias("feed_url"))
