@@ -192,6 +192,22 @@ def test_bpe_equals_the_library(spark, docs):
     assert bpe.decode(bpe.encode(docs.limit(3), VOCAB), VOCAB).count() == 3
 
 
+def test_language_is_learned_in_a_task(spark, monkeypatch):
+    import os
+
+    driver, fit = os.getpid(), language.fit
+
+    def elsewhere(x, labels):
+        assert os.getpid() != driver, "the sample came to the driver"
+        return fit(x, labels)
+
+    monkeypatch.setattr(language, "fit", elsewhere)
+    d = spark.createDataFrame([(i, *(("der hund und die katze", "de") if i % 2 else ("the dog and the cat", "en"))) for i in range(400)], "doc_id long, text string, lang string")
+    model = language.train(d.repartition(7))
+    assert model.languages == ["de", "en"] and model.weights.shape == (language.BUCKETS, 2)
+    assert [model.predict(t)[0] for t in ("die katze", "the cat")] == ["de", "en"]
+
+
 def test_language(spark):
     import os
 

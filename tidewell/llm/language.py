@@ -5,6 +5,7 @@ embeddings of its byte n-grams, hashed to a fixed number of buckets; a linear so
 the language.  Embeddings and softmax are trained together by stochastic gradient descent in numpy
 on a sample of labelled documents whose size is the parameter ``sample``; a part of it that training
 does not see sets the temperature of the scores and the threshold below which a text is rejected.
+The sample, which does not grow with the table, is learned from in one task; the driver gets the model.
 
 Defined results: a null text, or one without letters, gets ``und`` and the score 0 and is rejected;
 without any labelled rows all get ``und`` and only texts without letters are rejected; of languages
@@ -152,15 +153,17 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
     def run(frames):
         import pandas as pd
 
-        for frame in frames:
-            yield pd.DataFrame({"lang": frame["lang"], "x": [counts(t).astype(np.float32).tobytes() for t in frame["text"]]})
-
-    # at most twice the sample, of a fixed size each
-    rows = chosen.mapInPandas(run, "lang string, x binary").toArrow().combine_chunks()
-    langs, held = rows.column("lang").to_pylist(), rows.column("x")
-    x = np.array([np.frombuffer(v.as_buffer(), np.float32) for v in held]).reshape(len(langs), BUCKETS)
-    place = sorted(range(len(langs)), key=lambda i: (langs[i], zlib.crc32(x[i])))
-    return fit(x[place], [langs[i] for i in place])
+        # at most twice the sample, of a fixed size each
+        rows = [(lang, counts(t)) for frame in frames for lang, t in zip(frame["lang"], frame["text"], strict=True)]
+        rows.sort(key=lambda row: (row[0], zlib.crc32(row[1])))
+        model = fit(np.array([x for _, x in rows], np.float32).reshape(len(rows), BUCKETS), [lang for lang, _ in rows])
+        yield pd.DataFrame({"languages": [model.languages], "weights": [model.weights.astype(np.float64).tobytes()], "bias": [model.bias.astype(np.float64).tobytes()], "threshold": [model.threshold]})
+
+    # one task learns, as the sample is bounded; the driver gets the model alone
+    found = chosen.select("lang", "text").coalesce(1).mapInPandas(run, "languages array<string>, weights binary, bias binary, threshold double").first()
+    languages = list(found.languages)
+    weights = np.frombuffer(bytes(found.weights), np.float64).reshape(BUCKETS, len(languages))
+    return Model(languages, weights, np.frombuffer(bytes(found.bias), np.float64), found.threshold)
 
 
 def predictor(model: Model):
