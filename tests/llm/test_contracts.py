@@ -178,6 +178,19 @@ def test_components_of_long_paths(spark):
     assert got == {i: 0 for i in range(201)} | {1000 + i: 1000 for i in range(30)}
 
 
+def test_signatures_go_before_lines_are_compared(spark, monkeypatch):
+    seen, verify = [], line_dedup.LineVerifier.verify
+
+    def watched(self, pairs):
+        seen.append([path for _, path in self.scratch.tables if "line-signatures" in path])
+        return verify(self, pairs)
+
+    monkeypatch.setattr(line_dedup.LineVerifier, "verify", watched)
+    rows = [(i, f"a line of text that is all but the same in each of them {i}") for i in range(5)]
+    assert {r.class_doc_id for r in line_dedup.line_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {0}
+    assert seen and not any(seen)
+
+
 def test_lines_of_few_words(spark):
     """Lines of a few long words, and of one without spaces, with one letter changed."""
     rng, letters, rows = random.Random(5), "abcdefghijklmnopqrstuvwxyz", []

@@ -135,11 +135,14 @@ def hashed(lines: DataFrame, *names: str) -> DataFrame:
 
 
 class LineVerifier(Verifier):
-    def __init__(self, lines: LineTable, marks: DataFrame, threshold: float, scratch: Scratch):
-        self.lines, self.marks, self.threshold, self.scratch = lines, marks, threshold, scratch
+    def __init__(self, lines: LineTable, marks: DataFrame, spent: list[DataFrame], threshold: float, scratch: Scratch):
+        self.lines, self.marks, self.spent, self.threshold, self.scratch = lines, marks, spent, threshold, scratch
 
     def begin(self, nodes: DataFrame) -> None:
-        """The lines that share a bucket are fetched, and sketched, once; a node is a line's number."""
+        """The lines that share a bucket are fetched, and sketched, once; a node is a line's number.
+
+        Nothing reads the tables of signatures, ``spent``, any more after this.
+        """
         keep = self.scratch.keep
         keys = keep(self.marks.select("number", "key").join(nodes.withColumnRenamed("node", "number"), "number"), "line-keys")
         own = keys.hint("shuffle_hash").join(self.lines.rows.select("key", "line"), "key")
@@ -148,7 +151,7 @@ class LineVerifier(Verifier):
         sketches = keep(some.select("number", F.array_distinct("sketch").alias("sketch")), "line-sketches")
         empty = F.array().cast("array<bigint>")
         self.pool = keep(texts.join(sketches, "number", "left").withColumn("sketch", F.coalesce("sketch", empty)), "line-pool")
-        self.scratch.drop(keys, texts, sketches)
+        self.scratch.drop(keys, texts, sketches, *self.spent)
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         one, two = (self.pool.select(F.col("number").alias(c), F.col("line").alias(t), F.col("sketch").alias(t + "k")) for c, t in (("a", "s"), ("b", "t")))
@@ -173,11 +176,14 @@ def classes(docs: DataFrame, text: str, threshold: float, scratch: Scratch) -> D
         marks = first.where(plain).union(rest)
         members = marks.select(F.explode(F.array_distinct("bands")).alias("bucket"), F.col("number").alias("node"))
         profiles = marks.select(F.col("number").alias("node"), "n", *(f"s{r}" for r in range(ROWS)))
-        roots = linked(members, LineVerifier(lines, marks, threshold, scratch), scratch, "lines", profiles, alike)
+        verifier = LineVerifier(lines, marks, [first, rest], threshold, scratch)
+        roots = linked(members, verifier, scratch, "lines", profiles, alike)
+        scratch.drop(verifier.pool)
         # only lines of classes of several need another first occurrence than their own
         several = scratch.keep(lines.loose.select("number", "key", "first").join(roots.withColumnRenamed("node", "number"), "number"), "line-classes")
         least = scratch.keep(several.groupBy("root").agg(F.min("first").alias("least")), "line-firsts")
         named_by = scratch.keep(several.join(least, "root").select("key", "least"), "line-names")
+        scratch.drop(several, least)
         own = lines.loose.select("key", "first").join(named_by, "key", "left").select("key", F.coalesce("least", "first").alias("class_first"))
         firsts = scratch.keep(own, "line-decisions")
         placed = occurrences(docs, text).select("doc_id", "line_no", text_key(F.col("line")).alias("key"))
