@@ -172,6 +172,18 @@ def test_one_bucket_of_many_links(spark, members, size):
     assert got == {node: node // size * size for node in range(members)}
 
 
+def test_small_buckets_are_compared_at_once(spark, monkeypatch):
+    """Several components in each bucket, and no step after the first for them; a large bucket still is linked whole."""
+    rows = [(node // 10, node) for node in range(40)] + [(100 + b, 1000 + node) for b in (1, 2) for node in range(40)]
+    calls, verify = [], Pairs.verify
+    monkeypatch.setattr(Pairs, "verify", lambda self, pairs: calls.append(pairs) or verify(self, pairs))
+    # samples that tell nothing: before, such pairs met in the third step only
+    profiles = spark.createDataFrame([(node, 1) for _, node in rows], "node long, n long").distinct()
+    of = lambda some, alike: {r.node: r.root for r in linking.linked(spark.createDataFrame(some, "bucket long, node long"), Pairs(2), Scratch(spark), "t", profiles, alike, pairwise=16).collect()}
+    assert of(rows[:40], lambda x, y: x("n") + y("n") < 0) == {node: node // 2 * 2 for node in range(40)} and len(calls) == 1
+    assert of(rows, linking.always) == {node: node // 2 * 2 for node in [*range(40), *range(1000, 1040)]}
+
+
 def test_components_of_long_paths(spark):
     path = [(i, i + 1) for i in range(200)] + [(1000 + i, 1000 + (i + 1) % 30) for i in range(30)]
     got = {r.node: r.root for r in linking.components(spark.createDataFrame(path, "a long, b long"), Scratch(spark), "t").collect()}

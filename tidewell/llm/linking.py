@@ -2,7 +2,8 @@
 
 Members of a bucket may be similar; ``alike`` tells cheaply, from the samples in their profiles, which
 pairs can't be, and ``verify`` decides.  Only pairs of different components count, as all others
-cannot change a class.  That takes three steps:
+cannot change a class.  In buckets of up to ``pairwise`` members all pairs are verified at once, and no
+samples are asked; with none, and in larger buckets, that takes three steps:
 
 1. every member meets the centre of its bucket, the member that shares most with others over all its
    buckets;
@@ -41,9 +42,11 @@ class Verifier:
     """What a kind of similarity gives: the exact test of pairs, and the weighted tokens that it is about."""
 
     threshold: float
+    #: Fields of the profiles that ``begin`` needs.
+    needs: tuple[str, ...] = ()
 
     def begin(self, nodes: DataFrame) -> None:
-        """``nodes``: (node), all that will be asked about."""
+        """``nodes``: (node, needs), all that will be asked about."""
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The rows (a, b, …) of pairs whose weighted Jaccard similarity reaches the threshold."""
@@ -82,8 +85,8 @@ class Linking:
     ``profiles``: (node, …), what ``alike`` needs of each node.
     """
 
-    def __init__(self, scratch: Scratch, profiles: DataFrame | None, alike: Alike, what: str):
-        self.scratch, self.profiles, self.alike, self.what = scratch, profiles, alike, what
+    def __init__(self, scratch: Scratch, profiles: DataFrame | None, alike: Alike, what: str, pairwise: int = 0):
+        self.scratch, self.profiles, self.alike, self.what, self.pairwise = scratch, profiles, alike, what, pairwise
         self.fields = [c for c in profiles.columns if c != "node"] if profiles is not None else []
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
@@ -94,13 +97,14 @@ class Linking:
         return self.alike(F.col, lambda name: F.col("other_" + name))
 
     def shared(self, members: DataFrame) -> DataFrame:
-        """(bucket, node, score, fields) of buckets of two members or more."""
+        """(bucket, node, score, fields) of buckets of two members or more; with ``pairwise`` also their ``size``."""
         sizes = self.keep(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
         together = self.keep(members.join(sizes, "bucket"), "together")
         nodes = together.groupBy("node").agg(F.sum("n").alias("score"))
         if self.profiles is not None:
             nodes = nodes.join(self.profiles, "node")
-        out = self.keep(together.select("bucket", "node").join(nodes, "node"), "shared")
+        size = [F.col("n").alias("size")] if self.pairwise else []
+        out = self.keep(together.select("bucket", "node", *size).join(nodes, "node"), "shared")
         self.scratch.drop(sizes, together)
         return out
 
@@ -144,18 +148,26 @@ class Linking:
         """(node, root) for every node that a chain of links connects to another; root is the smallest."""
         keep, drop = self.keep, self.scratch.drop
         shared = self.shared(members)
-        verifier.begin(shared.select("node").distinct())
+        verifier.begin(shared.select("node", *verifier.needs).distinct())
 
+        small = None
+        if self.pairwise:
+            whole, shared = shared, shared.where(f"size > {self.pairwise}").drop("size")
+            few = whole.where(f"size <= {self.pairwise}").select("bucket", "node")
+            small = few.join(few.withColumnRenamed("node", "other_node"), "bucket").where("node < other_node")
         best = F.max_by(F.struct("node", *self.fields), F.struct("score", "node")).alias("centre")
         centres = keep(shared.groupBy("bucket").agg(best).select("bucket", *(F.col("centre")[c].alias("other_" + c) for c in ("node", *self.fields))), "centres")
         near = shared.join(centres, "bucket").where("node <> other_node").where(self.may_match())
-        pairs = keep(near.select(*ordered("node", "other_node")).distinct(), "pairs")
+        met = near.select(*ordered("node", "other_node"))
+        if small is not None:
+            met = met.union(small.select(*ordered("node", "other_node")))
+        pairs = keep(met.distinct(), "pairs")
         found = keep(verifier.verify(pairs), "found")
         roots = components(found, self.scratch, self.what)
         # a centre has met its whole bucket
         rest = shared.join(centres.select("bucket", "other_node"), "bucket").where("node <> other_node").drop("other_node")
         left = self.open_buckets(rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-        drop(shared, centres, pairs, found)
+        drop(shared if small is None else whole, centres, pairs, found)
 
         if not left.isEmpty():
             seconds = self.seconds(left)
@@ -188,9 +200,9 @@ class Linking:
         return roots, tops
 
 
-def linked(members: DataFrame, verifier: Verifier, scratch: Scratch, what: str, profiles: DataFrame | None = None, alike: Alike = always) -> DataFrame:
+def linked(members: DataFrame, verifier: Verifier, scratch: Scratch, what: str, profiles: DataFrame | None = None, alike: Alike = always, pairwise: int = 0) -> DataFrame:
     """(node, root): see ``Linking``."""
-    return Linking(scratch, profiles, alike, what).run(members, verifier)
+    return Linking(scratch, profiles, alike, what, pairwise).run(members, verifier)
 
 
 def components(links: DataFrame, scratch: Scratch, what: str) -> DataFrame:
