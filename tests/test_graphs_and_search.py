@@ -194,6 +194,20 @@ def test_contents_of_articles_are_not_moved(spark):
     assert similarity.recurrence(df, only_relevant=True).isEmpty() and shuffled(spark) - before < 1 << 20
 
 
+def test_places_in_the_report_move_no_contents(spark):
+    """The report by outlet: rows with their places, and the outlets that have none."""
+    rng = random.Random(6)
+    data = [(i, f"src{i % 3}", "t", f"http://a/{i}", " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=3)) for _ in range(4000)), None, 0) for i in range(150)]
+    df = spark.createDataFrame(data, "_seq long, medio string, titulo string, url string, contenido string, fecha_iso string, ind_relevante int")
+    before = shuffled(spark)
+    kept = similarity.recurrence(df, order="medio")
+    got = rows.numbered(kept, ["medio", "fecha_iso", "_seq"], "lugar").orderBy("lugar").collect()
+    assert [(r.lugar, r._seq) for r in got] == [*enumerate(sorted(range(150), key=lambda i: (i % 3, i)), 1)]
+    expected = spark.createDataFrame([("src1",), ("src9",)], "medio string")
+    assert [r.medio for r in similarity.missing_outlets(kept, expected).collect()] == ["src9"]
+    assert shuffled(spark) - before < 1 << 20
+
+
 def test_sorted_rows_keep_their_order(spark):
     data = [(1, "B", "2026-01-01", 0, 1), (2, "A", None, 1, 1), (3, "A", "2026-03-01", 1, 2), (4, "B", "2026-02-01", 1, 2)]
     df = spark.createDataFrame(data, "_seq long, medio string, fecha_iso string, ind_relevante int, nro_medios int").repartition(3)
